@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchwell.llm import jaccard, toxicity
+from sketchwell.llm import decontam, jaccard, mixing, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +23,18 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard)}
-ORACLES: dict[str, str] = {}
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_documents(tokens.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), tokens.default_vocabulary(), end=1))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return out.select("doc_id", *mixing.LEVELS, "mix_tokens", "mix_epoch")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontamination, op5_token_output, op10_mixing)}
+ORACLES: dict[str, str] = {"op10_mixing": mixing.oracle()}
