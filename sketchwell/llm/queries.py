@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchwell.llm import chat, decontam, jaccard, licenses, media, mixing, quality, tokens, toxicity
+from sketchwell.llm import chat, decontam, jaccard, licenses, media, mixing, quality, substrings, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
@@ -55,5 +59,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *mixing.LEVELS, "mix_tokens", "mix_epoch")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontamination, op4_licenses, op5_token_output, op6_chat_format, op8_quality, op9_media, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_ngram_jaccard, op3_decontamination, op4_licenses, op5_token_output, op6_chat_format, op7_substring_dedup, op8_quality, op9_media, op10_mixing)}
 ORACLES: dict[str, str] = {"op4_licenses": licenses.oracle(), "op6_chat_format": chat.oracle(), "op10_mixing": mixing.oracle()}
