@@ -1,3 +1,5 @@
 """Registered queries and their SQL twins."""
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+from sketchwell.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
