@@ -39,14 +39,18 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 PARTS = "p AS (SELECT l_returnflag AS key, l_orderkey * 10 + l_linenumber AS seq, l_partkey::VARCHAR AS item FROM lineitem)"
 
 
+def asked(spark: SparkSession, d: str, times: int, *keys: str) -> DataFrame:
+    """(key, item): customer ids, times a number, asked of each key."""
+    ids = table(spark, d, "customer").select((F.col("c_custkey") * times).cast("string").alias("item"))
+    return ids.select(F.explode(F.array(*map(F.lit, keys))).alias("key"), "item")
+
+
 def probes_of(spark: SparkSession, d: str) -> DataFrame:
-    """(key, item): every customer id asked of every return flag, and of a filter that doesn't exist."""
-    keys = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("key")).distinct().unionAll(spark.sql("SELECT 'none' AS key"))
-    ids = table(spark, d, "customer").select((F.col("c_custkey") * 3).cast("string").alias("item"))
-    return ids.join(F.broadcast(keys))  # three keys and one: bounded by the flags of the table
+    """Ids asked of every return flag, and of a filter that doesn't exist."""
+    return asked(spark, d, 3, "A", "N", "R", "none")
 
 
-PROBES = "q AS (SELECT k.key, (c_custkey * 3)::VARCHAR AS item FROM customer CROSS JOIN (SELECT DISTINCT l_returnflag AS key FROM lineitem UNION ALL SELECT 'none') k)"
+PROBES = "q AS (SELECT k.key, (c_custkey * 3)::VARCHAR AS item FROM customer CROSS JOIN (SELECT unnest(['A', 'N', 'R', 'none']) AS key) k)"
 
 # ---- Bloom ---------------------------------------------------------------------------------
 
@@ -291,12 +295,13 @@ def m3(spark, d):
     return cms.query(items, total, CMS)
 
 
-@query("M4_cms_query", f"WITH {ESTIMATE_SQL.replace('ASKED', '(SELECT key, (c_custkey * 3)::VARCHAR AS item FROM customer CROSS JOIN (SELECT DISTINCT key FROM w) k)')} SELECT key, item, estimate FROM e")
+ASKED_SQL = "(SELECT key, (c_custkey * 3)::VARCHAR AS item FROM customer CROSS JOIN (SELECT unnest(['F', 'O']) AS key) k)"
+
+
+@query("M4_cms_query", f"WITH {ESTIMATE_SQL.replace('ASKED', ASKED_SQL)} SELECT key, item, estimate FROM e")
 def m4(spark, d):
     items = weighted(spark, d)
-    keys = F.broadcast(items.select("key").distinct())
-    ask = table(spark, d, "customer").select((F.col("c_custkey") * 3).cast("string").alias("item")).join(keys)
-    return cms.query(ask, cms.build(items, CMS), CMS).select("key", "item", "estimate")
+    return cms.query(asked(spark, d, 3, "F", "O"), cms.build(items, CMS), CMS).select("key", "item", "estimate")
 
 
 @query("M5_cms_merge", f"WITH {CELLS_SQL} SELECT 'all' AS key, row, col, sum(cnt * CASE key WHEN 'F' THEN 3 ELSE 1 END)::BIGINT AS cnt FROM cells GROUP BY ALL")
@@ -314,6 +319,8 @@ def m6(spark, d):
 
 # ---- top-k ---------------------------------------------------------------------------------
 
+#: The event types of the sample tables.
+KINDS = ("click", "error", "purchase", "signup", "view")
 TOPK = TopKOptions(k=10, width=2000, depth=4, decay=1.0)
 
 
@@ -348,11 +355,10 @@ def t4(spark, d):
     return topk.contains(c.select("key", "item"), topk.top(c, TOPK.k))
 
 
-@query("T5_topk_count", f"WITH {COUNTS_SQL} SELECT k.key, c_custkey::VARCHAR AS item, coalesce(n.cnt, 0)::BIGINT AS cnt FROM customer CROSS JOIN (SELECT DISTINCT key FROM n) k LEFT JOIN n ON n.key = k.key AND n.item = c_custkey::VARCHAR")
+@query("T5_topk_count", f"WITH {COUNTS_SQL} SELECT k.key, c_custkey::VARCHAR AS item, coalesce(n.cnt, 0)::BIGINT AS cnt FROM customer CROSS JOIN (SELECT unnest({list(KINDS)}) AS key) k LEFT JOIN n ON n.key = k.key AND n.item = c_custkey::VARCHAR")
 def t5(spark, d):
     c = topk.counts(users(spark, d))
-    keys = F.broadcast(users(spark, d).select("key").distinct())
-    return topk.count_of(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("item")).join(keys), c)
+    return topk.count_of(asked(spark, d, 1, *KINDS), c)
 
 
 @query("T6_topk_list", f"WITH {TOP_SQL} SELECT key, rank, item, cnt FROM t")
