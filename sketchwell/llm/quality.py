@@ -21,18 +21,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchwell.llm.common import id_filter, in_filter, mix, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import mix, reachable, slices, stored, text_bytes
 
 
 @dataclass(frozen=True)
 class ResampleOptions:
-    """length: n-grams that a text counts as. keep: share of the rows that is sampled. smooth: added to each bucket."""
+    """length: n-grams that a text counts as. keep: share of the rows that is sampled. smooth: added to each bucket.
+    Up to broadcast_ids target ids are broadcast; more are joined by a shuffle."""
 
     buckets: int = 1 << 16
     length: float = 64.0
     keep: float = 0.5
     smooth: float = 1.0
     seed: int = 3
+    broadcast_ids: int = 4_000_000
 
 
 class Grams:
@@ -77,42 +79,40 @@ def counts(docs: DataFrame, target: DataFrame, o: ResampleOptions) -> tuple[np.n
     Each task sends blocks of 4096 counters, summed in Spark; the driver gets 2 x buckets numbers.
     """
     ids = stored(target.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct(), "target")
-    packed = docs.sparkSession.sparkContext.broadcast(id_filter(ids, "id"))
     block = 4096
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("hits", pa.list_(pa.int64()))])
-
-    def emit(kind, total):
-        parts = total.reshape(-1, block)
-        on = np.flatnonzero(parts.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(on), kind, np.int32)), pa.array(on.astype(np.int32)), pa.array([parts[i] for i in on], pa.list_(pa.int64()))], schema=schema)
-
-    def all_texts(batches):
-        to, total = _grams(o.buckets), np.zeros(-(-o.buckets // block) * block, np.int64)
-        for b in batches:
-            for _, texts in _texts(b, 0):
-                total += np.bincount(np.concatenate([to.of(t) for t in texts]), minlength=len(total))
-        yield emit(0, total)
-
-    def maybe_good(batches):
-        for b in batches:
-            b = b.filter(b.column(0).is_valid())
-            yield b.filter(pa.array(in_filter(packed.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-
-    def good_texts(batches):
-        to, total = _grams(o.buckets), np.zeros(-(-o.buckets // block) * block, np.int64)
-        for b in batches:
-            for _, texts in _texts(b, 0):
-                total += np.bincount(np.concatenate([to.of(t) for t in texts]), minlength=len(total))
-        yield emit(1, total)
-
-    form = "kind int, block int, hits array<long>"
     named = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    good = named.mapInArrow(maybe_good, "id long, text string").join(ids, "id", "left_semi").select("text").mapInArrow(good_texts, form)
-    every = named.select("text").mapInArrow(all_texts, form).unionAll(good)
+    small = ids.count() <= o.broadcast_ids
+    if small:  # 8 bytes an id
+        rows = named.select("*", F.lit(False).alias("good"))
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
+    else:
+        rows = named.join(ids.withColumn("good", F.lit(True)), "id", "left").select("id", "text", F.coalesce("good", F.lit(False)).alias("good"))
+
+    def counted(batches):
+        to, total = _grams(o.buckets), np.zeros((2, -(-o.buckets // block) * block), np.int64)
+        for b in batches:
+            good = b.column(2).to_numpy(zero_copy_only=False)
+            if small and len(sent.value):
+                at = np.searchsorted(sent.value, i := b.column(0).fill_null(0).to_numpy(zero_copy_only=False))
+                at[at == len(sent.value)] = 0
+                good = (sent.value[at] == i) & ~b.column(0).is_null().to_numpy(zero_copy_only=False)
+            for lo, texts in _texts(b, 1):
+                grams = [to.of(t) for t in texts]
+                total[0] += np.bincount(np.concatenate(grams), minlength=total.shape[1])
+                chosen = [g for k, g in enumerate(grams, lo) if good[k]]
+                if chosen:
+                    total[1] += np.bincount(np.concatenate(chosen), minlength=total.shape[1])
+        for kind in (0, 1):
+            parts = total[kind].reshape(-1, block)
+            on = np.flatnonzero(parts.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(on), kind, np.int32)), pa.array(on.astype(np.int32)), pa.array([parts[i] for i in on], pa.list_(pa.int64()))], schema=schema)
+
+    every = rows.mapInArrow(counted, "kind int, block int, hits array<long>")
     summed = every.select("kind", "block", F.posexplode("hits").alias("i", "n")).groupBy("kind", "block", "i").agg(F.sum("n").alias("n")).where("n > 0")
     out = np.zeros((2, -(-o.buckets // block) * block))
-    rows = summed.select("kind", (F.col("block") * block + F.col("i")).alias("at"), "n").toArrow()
-    out[rows.column(0).to_numpy(), rows.column(1).to_numpy()] = rows.column(2).to_numpy()
+    found = summed.select("kind", (F.col("block") * block + F.col("i")).alias("at"), "n").toArrow()
+    out[found.column(0).to_numpy(), found.column(1).to_numpy()] = found.column(2).to_numpy()
     return out[1][: o.buckets], out[0][: o.buckets]
 
 
