@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -10,19 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from sketchwell.functions.workers import reachable  # noqa: F401  the operators' one way to it
+
 M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)
 
 
-def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers that start elsewhere import this package."""
-    env = spark.sparkContext.environment
-    if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [REPO, env.get("PYTHONPATH", "")]))
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one below the warehouse is set only where the session names none."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -79,11 +79,11 @@ def budgets(rows: DataFrame, o: MixOptions) -> DataFrame:
     """(levels, size, given): the tokens of each leaf and its budget. rows: labelled."""
     size = stored(rows.groupBy(*LEVELS).agg(F.sum("mix_tokens").alias("size")), "leaves")
     cap = size.withColumn("cap", F.col("size") * o.max_epochs)
-    total = cap.agg(F.expr(f"coalesce(sum(cast(size as decimal(38,0))) * {int(o.share)} div 1000, 0)").alias("budget"))
-    nodes, above = total, []
+    total = cap.agg(F.expr(f"coalesce(sum(cast(size as decimal(38,0))) * {int(o.share)} div 1000, 0)")).first()[0]
+    nodes, above = None, []
     for depth, (level, weights) in enumerate(zip(LEVELS, (o.domains, o.langs, o.sources))):
         own = cap.groupBy(*LEVELS[: depth + 1]).agg(F.sum("cap").alias("cap"))
-        held = own.join(nodes, above) if above else own.withColumn("budget", F.lit(0)).drop("budget").join(F.broadcast(nodes))  # one row
+        held = own.join(nodes, above) if above else own.withColumn("budget", F.lit(total))
         nodes = deal(held, above, level, weights).withColumnRenamed("given", "budget")
         above = list(LEVELS[: depth + 1])
     return size.join(nodes, list(LEVELS)).withColumnRenamed("budget", "given")
@@ -103,8 +103,8 @@ def mixed(docs: DataFrame, o: MixOptions | None = None) -> DataFrame:
     cut = stored(ends.where("upto > mix_rest and upto - t <= mix_rest").select(*LEVELS, "mix_range", (F.col("mix_rest") - (F.col("upto") - F.col("t"))).alias("room")), "cuts")
     inside = keyed.select(*LEVELS, "mix_range", "mix_key", "doc_id", "mix_tokens").join(cut, [*LEVELS, "mix_range"])
     order = Window.partitionBy(*LEVELS).orderBy("mix_key", F.col("doc_id").asc_nulls_first(), "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("upto", F.sum("mix_tokens").over(order)).where("upto <= room").groupBy(*LEVELS).agg(F.max("mix_key").alias("mix_last"), F.count("*").alias("mix_n"))
-    cut = stored(leaf.join(cut.drop("room"), list(LEVELS), "left").join(last.drop("mix_n"), list(LEVELS), "left").withColumnRenamed("mix_range", "mix_cut"), "cuts")
+    last = inside.withColumn("upto", F.sum("mix_tokens").over(order)).where("upto <= room").groupBy(*LEVELS).agg(F.max("mix_key").alias("mix_last"))
+    cut = stored(leaf.join(cut.drop("room"), list(LEVELS), "left").join(last, list(LEVELS), "left").withColumnRenamed("mix_range", "mix_cut"), "cuts")
     chosen = rows.join(cut, list(LEVELS)).withColumn("mix_key", key)
     at = F.substring("mix_key", 1, 3)
     first = F.when(F.col("mix_cut").isNull(), F.lit(False)).otherwise((at < F.col("mix_cut")) | F.coalesce((at == F.col("mix_cut")) & (F.col("mix_key") <= F.col("mix_last")), F.lit(False)))
