@@ -33,6 +33,7 @@ def seeded(item: Column, seed: Column, family: str = "md5") -> Column:
 
 
 def probes(item: Column, bits: Column, hashes: Column, family: str = "md5") -> Column:
-    """Array of the places of an item: (a + i * b) mod bits for i below hashes."""
+    """Array of the places of an item: (a + i * b) mod bits for i below hashes; b is odd, as bits may be a power of two."""
     a, b = pair(item, family)
+    b = b.bitwiseOR(F.lit(1).cast("long"))
     return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(a + i * b, bits))

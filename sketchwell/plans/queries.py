@@ -59,7 +59,7 @@ _, _, BITS, HASHES = BLOOM.link()
 
 
 def _h(item: str) -> str:
-    return f"('0x' || substr(md5({item}), 1, 8))::BIGINT AS a, ('0x' || substr(md5({item}), 9, 8))::BIGINT AS b"
+    return f"('0x' || substr(md5({item}), 1, 8))::BIGINT AS a, (('0x' || substr(md5({item}), 9, 8))::BIGINT | 1) AS b"
 
 
 BLOOM_SQL = f"""{PARTS}, d AS (SELECT DISTINCT key, item FROM p),
