@@ -143,7 +143,7 @@ _OWNERS = "gram long, whole long, uid long, first long, last long"
 _RUNS = pa.schema([("uid", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
-def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: int = 3000, block: int = 2 << 20) -> DataFrame:
+def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: int = 800, block: int = 1 << 20, meeting: int = 1 << 19) -> DataFrame:
     """(uid, first, last): runs of places where a string starts that also starts elsewhere. named: (uid, text)."""
     spark = reachable(named.sparkSession)
     schema = pa.schema([(c.split()[0], pa.int64()) for c in _OWNERS.split(", ")])
@@ -167,7 +167,6 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
     whole = own.join(known.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("uid", "first", "last")
     open_ = stored(known.where("kinds > 1").select("gram", "n", "kinds", "r.uid", "r.first", "r.last"), "open")
 
-    asked = open_.groupBy("uid").agg(F.collect_list(F.struct("gram", "n", "kinds", "first", "last")).alias("asked"))
     packed = spark.sparkContext.broadcast(id_filter(open_.select("uid").distinct(), "uid"))
 
     def perhaps(batches):
@@ -184,7 +183,9 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
                 parts = [bytes(data[int(f) : int(t) + length]) for f, t in zip(first, last)]
                 yield pa.RecordBatch.from_arrays([pa.array(gram_), pa.array((n == 1).astype(np.int64)), pa.array(kinds), pa.array(np.full(len(first), u)), pa.array(first), pa.array(parts, pa.binary())], schema=cut_schema)
 
-    near = named.mapInArrow(perhaps, "uid long, text string").join(asked, "uid").mapInArrow(cut, "gram long, single long, kinds long, uid long, first long, bytes binary")
+    def near(some: DataFrame) -> DataFrame:
+        asked = some.groupBy("uid").agg(F.collect_list(F.struct("gram", "n", "kinds", "first", "last")).alias("asked"))
+        return named.mapInArrow(perhaps, "uid long, text string").join(asked, "uid").mapInArrow(cut, "gram long, single long, kinds long, uid long, first long, bytes binary")
 
     def meet(batches):
         """Grams in order; a group is complete before it is ranked."""
@@ -212,7 +213,7 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
                 continue
             held.append(b)
             size += b.column(5).nbytes
-            if size < block:
+            if size < meeting:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             g = rows.column(0).to_numpy(zero_copy_only=False)
@@ -220,7 +221,7 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
             at = 0
             while at < done:  # whole grams, about a block at once
                 _, off = text_bytes(rows.column(5))
-                to = max(at + 1, int(np.searchsorted(off, off[at] + block, "right")) - 1)
+                to = max(at + 1, int(np.searchsorted(off, off[at] + meeting, "right")) - 1)
                 to = min(done, to)
                 if to < done:
                     to = int(np.searchsorted(g, g[to], "left")) if g[to] != g[at] else int(np.searchsorted(g, g[at], "right"))
@@ -233,7 +234,7 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
             if rows:
                 yield from ranked(rows[0])
 
-    few = near.where(F.col("kinds") <= most).repartition("gram").sortWithinPartitions("gram").mapInArrow(meet, "uid long, first long, last long")
+    few = near(open_.where(F.col("kinds") <= most)).repartition("gram").sortWithinPartitions("gram").mapInArrow(meet, "uid long, first long, last long")
 
     def spread(batches):
         """A row per window of a gram that very many distinct stretches share."""
@@ -245,7 +246,10 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
                 marks = [xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array([b.column(3)[i].as_py()] * n, pa.int64()), pa.array(np.arange(n) + f)], schema=kinds)
 
-    windows = near.where(F.col("kinds") > most).mapInArrow(spread, "digest binary, single long, uid long, first long")
+    wide = open_.where(F.col("kinds") > most)
+    if not wide.limit(1).count():
+        return whole.unionAll(few)
+    windows = near(wide).mapInArrow(spread, "digest binary, single long, uid long, first long")
     twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     many = windows.where("single = 1").join(twice, "digest", "left_semi").select("uid", "first", F.col("first").alias("last"))
     return whole.unionAll(few).unionAll(many)
