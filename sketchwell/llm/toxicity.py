@@ -167,8 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = No
 
 
 def score(docs: DataFrame, model: CompressionModel, out: str = "toxicity") -> DataFrame:
-    """docs with a column of scores from 0 to 1; no shuffle, whole texts."""
+    """docs with a column of scores from 0 to 1, in place of one of that name; no shuffle, whole texts."""
     reachable(docs.sparkSession)
+    docs = docs.drop(out)
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
     at = docs.columns.index("text")
 
