@@ -14,8 +14,12 @@ their ids' bytes. Texts of any length (a shard takes whole documents). Empty inp
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -108,63 +112,137 @@ class Shard:
         return out
 
 
+#: A boundary that no token spans: an ASCII letter, then one of these marks.
+_CUT = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?|#$%&*])")
+
+
+class _Numbered(dict):
+    """Pieces by number; one that is asked for the first time gets the next number and waits to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
-    """Ids of whole texts by way of their pieces between ASCII white space, which no token spans."""
+    """Ids of whole texts by way of pieces that no token spans: cut at ASCII white space and after words.
 
-    def __init__(self, path: str, most: int = 1 << 20):
+    Ids of pieces are kept, `most` of them at once. Texts that might hold a special token are cut at
+    white space alone and keep their case; others are lowered first where the vocabulary does so.
+    """
+
+    def __init__(self, path: str, most: int = 800_000):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tok, self.most = Tokenizer.from_file(path), most
+        form = json.loads(self.tok.to_str())
+        self.lower = any(x.get("type") == "Lowercase" for x in (form.get("normalizer") or {}).get("normalizers", []))
+        suffix = form["model"].get("end_of_word_suffix")
+        self.ends = None
+        if suffix:
+            self.ends = np.zeros(self.tok.get_vocab_size(), bool)
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Numbered()
+        self.held = 0
         self.flat, self.used, self.at, self.n = np.empty(1 << 16, np.uint32), 0, np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _learn(self, new: list[bytes]):
-        for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            ids, k = e.ids, len(self.known)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            if k >= len(self.at):
-                self.at, self.n = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.n))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[k], self.n[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[w] = k
+        """Encode pieces in the order of their numbers. Runs of plain words, each closed by one word-end token, go as one text."""
+        encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        for i in range(0, len(new), 4096):  # encodings are large
+            words = [w.decode("utf-8", "replace") for w in new[i : i + 4096]]
+            plain = [w.isalpha() for w in words] if self.ends is not None else [False] * len(words)
+            ids: list = [None] * len(words)
+            some = [k for k, p in enumerate(plain) if p]
+            if some:
+                flat = encode([" ".join([words[k] for k in some])], add_special_tokens=False)[0].ids
+                stop = np.flatnonzero(self.ends[flat]) + 1
+                if len(stop) == len(some):
+                    at = 0
+                    for k, z in zip(some, stop.tolist()):
+                        ids[k] = flat[at:z]
+                        at = z
+            rest = [k for k, x in enumerate(ids) if x is None]
+            for k, e in zip(rest, encode([words[k] for k in rest], add_special_tokens=False)):
+                ids[k] = e.ids
+            self._keep(ids)
+
+    def _keep(self, ids: list[list[int]]):
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        k, total = self.held, int(n.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while k + len(ids) > len(self.at):
+            self.at, self.n = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.n))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.at[k : k + len(ids)] = self.used + np.cumsum(n) - n
+        self.n[k : k + len(ids)] = n
+        self.used += total
+        self.held += len(ids)
+
+    def _pieces(self, text: bytes) -> list[bytes]:
+        if b"<|" in text:  # perhaps a special token
+            return text.split()
+        return _CUT.sub(b" ", text.lower() if self.lower else text).split()
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each starts (one more entry than texts)."""
-        pieces = [t.split() for t in texts]
+        pieces = [self._pieces(t) for t in texts]
         if len(self.known) > self.most:
             self.clear()
-        new = list({w for p in pieces for w in p if w not in self.known}) if any(pieces) else []
-        if new:
-            self._learn(new)
-        n = np.array([len(p) for p in pieces], np.int64)
-        which = np.fromiter((self.known[w] for p in pieces for w in p), np.int64, int(n.sum()))
+        known = self.known
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        which = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), np.int64, int(n.sum()))
+        if known.new:
+            self._learn(known.new)
+            known.new = []
         size = self.n[which]
-        total = np.r_[0, np.cumsum(size)]
-        place = np.repeat(self.at[which] - total[:-1], size) + np.arange(total[-1])
-        ids = self.flat[place]
+        total = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
         starts = total[np.r_[0, np.cumsum(n)]]
-        if end is not None:
-            ids = np.insert(ids, starts[1:], np.uint32(end))
-            starts = starts + np.arange(len(starts))
+        gap = 0 if end is None else 1
+        shift = np.repeat(self.at[which] - total[:-1], size)
+        shift += np.arange(len(shift))
+        ids = self.flat[shift]
+        if gap:
+            out = np.full(len(ids) + len(texts), end, np.uint32)
+            hold = np.ones(len(out), bool)
+            hold[starts[1:] + np.arange(len(texts))] = False
+            out[hold] = ids
+            ids, starts = out, starts + np.arange(len(starts))
         return ids, starts
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This worker's encoder: its pieces serve later tasks too."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def encode(docs: DataFrame, path: str, end: int | None, bounds: list[int]) -> DataFrame:
     """(bucket, doc_id, ids): ids as little-endian uint16 (uint32 for vocabularies beyond 65,536)."""
     reachable(docs.sparkSession)
     schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
-        to = Encoder(path)
+        to = encoder(path)
         kind = "<u2" if max(to.tok.get_vocab_size(), end or 0) <= 1 << 16 else "<u4"
         edge = np.array(bounds, np.int64)
         for b in batches:
-            for lo, hi in slices(b.column(1), 4 << 20):
+            for lo, hi in slices(b.column(1), 1 << 20):
                 raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
                 ids, at = to.encode([raw[off[i] : off[i + 1]].tobytes() for i in range(hi - lo)], end)
                 ids = ids.astype(kind)
