@@ -5,11 +5,12 @@ Plan (everything is keyed and linear until real candidates are left):
 2. of each class an extended prefix in hash order, minus the most frequent lists that the overlap
    bound allows to skip (DivideSkip: long lists aren't merged);
 3. inverted lists of those shingles, cut into blocks; lists of one class vanish;
-4. each class meets the leader it shares most lists with; a star is joined exactly in one task,
-   large stars in several blocks that all hold the leader: short lists are heap-merged, long ones
-   probed by binary search;
-5. lists that still span several components give candidate pairs; those with enough common lists are
-   checked on whole sets;
+4. each class that shares many lists with a leader joins its star; a star is joined exactly in one
+   task, large stars in several blocks that all hold the leader: short lists are heap-merged, long
+   ones probed by binary search;
+5. lists that still span several components give pairs, unless 256 parity bits of the sets show that they
+   differ too much; those that occur together often enough (T-occurrence: linked sets share so many
+   prefix lists at least) are probed on whole sets;
 6. connected components of all links.
 
 Two sets link when den * |A n B| >= num * |A u B|. Null or blank texts: empty set, linked with
@@ -27,6 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sketchwell.llm.common import components, id_filter, in_filter, mix, reachable, slices, stored, text_bytes
 
@@ -35,6 +37,10 @@ B = np.uint64(0xC2B2AE3D27D4EB4F)
 C = np.uint64(0x165667B19E3779F9)
 
 
+#: A posting's size is kept above so many bits, the number of lists its set skips below.
+PACK = 24
+
+
 class Shingler:
     """Texts -> sorted arrays of shingle hashes. Words: runs of bytes that aren't ASCII white space, A-Z lowered."""
 
@@ -77,13 +83,18 @@ def slack(n: int, num: int, den: int) -> int:
 
 
 def spare(n: int, num: int, den: int) -> int:
-    """By how many lists the prefix of a set of n is extended."""
-    return slack(n, num, den) // 2
+    """By how many lists the prefix of a set of n is extended: linked sets share one list more at least."""
+    return slack(n, num, den) + 3
 
 
 def skipped(n: int, num: int, den: int) -> int:
-    """How many of them may be skipped: no more than the smallest linkable set was extended by."""
-    return spare(-(-num * n // den), num, den)
+    """How many lists are skipped at most: half of what the smallest linkable set's prefix was extended by."""
+    return spare(-(-num * n // den), num, den) // 2
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """256 bits: whether an odd number of hashes falls on each. Two sets differ in as many elements at least as bits."""
+    return np.packbits(np.bincount((s >> np.uint64(16) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
 
 
 def linked(common: int, n: int, m: int, num: int, den: int) -> bool:
@@ -102,8 +113,8 @@ def _lists(parts: list[np.ndarray], kind) -> pa.Array:
 
 
 def signatures(docs: DataFrame, num: int, den: int, width: int = 3) -> DataFrame:
-    """(id, n, key, prefix): size, a 128-bit digest of the set, the extended prefix in hash order."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+    """(id, n, key, prefix, odd): size, a 128-bit digest of the set, the extended prefix in hash order, parities."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def run(batches):
         to = Shingler(width)
@@ -111,17 +122,18 @@ def signatures(docs: DataFrame, num: int, den: int, width: int = 3) -> DataFrame
             texts = b.column(1)
             for lo, hi in slices(texts, 8 << 20):
                 raw, off = text_bytes(texts.slice(lo, hi - lo))
-                ns, keys, prefixes = [], [], []
+                ns, keys, prefixes, odd = [], [], [], []
                 for i in range(hi - lo):
                     s = to.set_of(raw[off[i] : off[i + 1]].tobytes())
                     n = len(s)
                     e = slack(n, num, den)
                     ns.append(n)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-                    prefixes.append(s[: e + 1 + spare(n, num, den)].view(np.int64) if e else s[:0].view(np.int64))
-                yield _frame(schema, b.column(0).slice(lo, hi - lo), ns, keys, _lists(prefixes, pa.int64()))
+                    prefixes.append(s[: e + 1 + spare(n, num, den)].view(np.int64) if e else s[:0].view(np.int64))  # without slack only equal sets link
+                    odd.append(parities(s) if e else s[:0].view(np.int64))
+                yield _frame(schema, b.column(0).slice(lo, hi - lo), ns, keys, _lists(prefixes, pa.int64()), _lists(odd, pa.int64()))
 
-    return docs.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, n long, key binary, prefix array<long>")
+    return docs.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, n long, key binary, prefix array<long>, odd array<long>")
 
 
 def frequent(sigs: DataFrame, share: float = 0.002, least: int = 24, most: int = 1 << 16) -> dict[int, int]:
@@ -151,12 +163,12 @@ def frequent(sigs: DataFrame, share: float = 0.002, least: int = 24, most: int =
 
 
 def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: int = 1024) -> DataFrame:
-    """(token, leader, ids, ns): lists of two classes or more, in blocks, smaller sets first."""
+    """(token, leader, k, ids, ns): lists of two classes or more, in blocks, smaller sets first; k: length, a block at most."""
     sent = sigs.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64), np.array([hot[t] for t in sorted(hot)], np.int64)))
     post = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
     def keep(batches):
-        """Postings without the most frequent lists that the bound lets a text skip."""
+        """Postings without the frequent lists that the bound lets a text skip; n holds size and number skipped."""
         tokens, hits = sent.value
         for b in batches:
             ids, ns = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
@@ -165,16 +177,18 @@ def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: in
             at = np.searchsorted(tokens, flat)
             at[at == len(tokens)] = 0
             heat = np.where(tokens[at] == flat, hits[at], 0) if len(tokens) else np.zeros(len(flat), np.int64)
-            on = np.ones(len(flat), bool)
-            for i in np.flatnonzero(np.diff(ends)):
+            on, gone = np.ones(len(flat), bool), np.zeros(len(ids), np.int64)
+            owner = np.repeat(np.arange(len(ids)), np.diff(ends))
+            for i in np.unique(owner[heat > 0]):
                 lo, hi = ends[i], ends[i + 1]
-                k = skipped(int(ns[i]), num, den)
+                k = min(skipped(int(ns[i]), num, den), int((heat[lo:hi] > 0).sum()))
                 if k:  # the hottest go; among equals the largest hash
                     on[lo + np.lexsort((flat[lo:hi].view(np.uint64), heat[lo:hi]))[hi - lo - k :]] = False
-            row = np.repeat(np.arange(len(ids)), np.diff(ends))[on]
-            yield _frame(post, flat[on], ids[row], ns[row])
+                    gone[i] = k
+            row = owner[on]
+            yield _frame(post, flat[on], ids[row], (ns << PACK | gone)[row])
 
-    out = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
+    out = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("k", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
 
     def lists(batches):
         """Streams over postings sorted by token: only one block of one list is held."""
@@ -183,7 +197,11 @@ def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: in
 
         def close():
             if token is not None and (more or len(ids) > 1) and ids:
-                ready.append((token, leader, np.array(ids, np.int64), np.array(ns, np.int64)))
+                ready.append((token, leader, block if more else len(ids), np.array(ids, np.int64), np.array(ns, np.int64)))
+
+        def frame():
+            rows, ready[:] = ready[:], []
+            return _frame(out, *([r[i] for r in rows] for i in range(3)), _lists([r[3] for r in rows], pa.int64()), _lists([r[4] for r in rows], pa.int64()))
 
         for b in batches:
             t, i, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
@@ -203,14 +221,13 @@ def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: in
                         close()
                         ids, ns = [], []
             if len(ready) > 4096:
-                yield _frame(out, [r[0] for r in ready], [r[1] for r in ready], _lists([r[2] for r in ready], pa.int64()), _lists([r[3] for r in ready], pa.int64()))
-                ready.clear()
+                yield frame()
         close()
         if ready:
-            yield _frame(out, [r[0] for r in ready], [r[1] for r in ready], _lists([r[2] for r in ready], pa.int64()), _lists([r[3] for r in ready], pa.int64()))
+            yield frame()
 
     postings = sigs.select("id", "n", "prefix").mapInArrow(keep, "token long, id long, n long")
-    return postings.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(lists, "token long, leader long, ids array<long>, ns array<long>")
+    return postings.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(lists, "token long, leader long, k long, ids array<long>, ns array<long>")
 
 
 # ---- the exact join of one task's sets ----------------------------------------------------
@@ -277,12 +294,20 @@ def join_sets(ids: list[int], sets: list[np.ndarray], num: int, den: int) -> lis
     return out
 
 
-def _stars(members: DataFrame, sets: DataFrame, num: int, den: int, most: int) -> DataFrame:
-    """Links within each star. A star of more than `most` sets is cut into blocks; each holds the leader."""
-    size = members.groupBy("leader").agg(F.ceil(F.count("*") / F.lit(float(most))).cast("long").alias("blocks"))
-    dealt = members.join(size, "leader").select("leader", F.col("id"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("part"), "blocks")
-    heads = dealt.select("leader", F.col("leader").alias("id"), "part").distinct()
-    rows = dealt.select("leader", "id", "part").unionAll(heads).distinct().join(sets, "id").select("leader", "part", "id", "tokens")
+def _dealt(members: DataFrame, most: int, heads: int = 32) -> DataFrame:
+    """(leader, part, id): stars in blocks of about `most` shingles; of a star of several blocks, its leader and
+    some more heads are in each, so that blocks of one group of copies find together."""
+    size = members.groupBy("leader").agg(F.ceil(F.sum("n") / F.lit(float(most))).cast("long").alias("blocks"))
+    dealt = members.join(size, "leader").select("leader", "id", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("part"))
+    large = dealt.where("blocks > 1").groupBy("leader", "blocks", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(heads)).alias("slot")).agg(F.min("id").alias("id"))
+    more = large.select("leader", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part")).select("leader", "part", "id")
+    own = dealt.select("leader", "part", F.col("leader").alias("id")).distinct()
+    return dealt.select("leader", "part", "id").unionAll(own).unionAll(more).distinct()
+
+
+def _stars(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within each block of each star."""
+    rows = dealt.join(sets, "id").select("leader", "part", "id", "tokens")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -329,23 +354,13 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.select("x", "y", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3, star: int = 2000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
-    spark = reachable(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sigs = stored(signatures(named, num, den, width), "signatures")
-    classes = sigs.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
-    reps = classes.select(F.col("rep").alias("id"), "key")
-    own = sigs.where(F.size("prefix") > 0).join(reps, ["id", "key"], "left_semi")
-    lists = stored(inverted(own, frequent(sigs), num, den), "lists")
-    posts = lists.select("token", "leader", F.explode(F.arrays_zip("ids", "ns")).alias("p")).select("token", "leader", F.col("p.ids").alias("id"), F.col("p.ns").alias("n"))
-    members = stored(posts.groupBy("id", "leader").count().groupBy("id").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")), "members")
-
-    packed = spark.sparkContext.broadcast(id_filter(members, "id"))
+def _whole_sets(named: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, tokens): whole sets of the wanted ids; a bounded filter keeps most other texts from being cut."""
+    ids = stored(ids, "ids")
+    packed = named.sparkSession.sparkContext.broadcast(id_filter(ids, "id"))
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
-    def whole(batches):
-        """Whole sets of the classes that share a list; others the filter keeps out."""
+    def run(batches):
         to = Shingler(width)
         for b in batches:
             b = b.filter(pc.is_valid(b.column(0)))
@@ -354,15 +369,46 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
                 raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
                 yield _frame(schema, b.column(0).slice(lo, hi - lo), [to.set_of(raw[off[i] : off[i + 1]].tobytes()).tobytes() for i in range(hi - lo)])
 
-    sets = stored(named.mapInArrow(whole, "id long, tokens binary").join(members.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
-    stars = stored(_stars(members, sets, num, den, star), "links")
-    first = components(stars)
-    at = stored(posts.drop("leader").join(first.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp")), "open")
+    return stored(named.mapInArrow(run, "id long, tokens binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+
+
+def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3, star: int = 1_500_000, short: int = 8) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs(doc_id, text)."""
+    spark = reachable(docs.sparkSession)
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    sigs = stored(signatures(named, num, den, width), "signatures")
+    classes = sigs.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
+    reps = classes.select(F.col("rep").alias("id"), "key")
+    own = sigs.where(F.size("prefix") > 0).join(reps, ["id", "key"], "left_semi")
+    lists = stored(inverted(own, frequent(sigs), num, den), "lists")
+    spares = f"(n - ({num} * n + {den - 1}) div {den}) + 3"
+    may_skip = f"((({num} * n + {den - 1}) div {den}) - ({num} * (({num} * n + {den - 1}) div {den}) + {den - 1}) div {den} + 3) div 2"
+    size = [F.shiftright("p.ns", PACK).alias("n"), (F.col("p.ns").bitwiseAND((1 << PACK) - 1)).alias("gone")]
+    posts = lists.select("token", "leader", "k", F.explode(F.arrays_zip("ids", "ns")).alias("p")).select("token", "leader", "k", F.col("p.ids").alias("id"), *size)
+    often = posts.where("id <> leader").groupBy("id", "leader", "n").count().where(f"4 * count >= {spares}")
+    members = stored(often.groupBy("id", "n").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")), "members")
+    dealt = stored(_dealt(members, star), "stars")
+    sets = _whole_sets(named, dealt.select("id").distinct(), width)
+    stars = stored(_stars(dealt, sets, num, den), "links")
+
+    # DivideSkip with exact lengths: what the bound still allows is skipped, longest lists first
+    longest = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("k"), "token"))
+    ranked = posts.drop("leader").withColumn("skip", (longest <= F.expr(may_skip) - F.col("gone")) & (F.col("k") > short))
+    ranked = ranked.withColumn("gone", F.col("gone") + F.sum(F.col("skip").cast("int")).over(Window.partitionBy("id"))).where("not skip")
+    home = members.select("id", "leader", "n").join(dealt.withColumnRenamed("leader", "l"), "id").where("l = leader").groupBy("id").agg(F.min("leader").alias("leader"), F.min("part").alias("part"))
+    at = ranked.join(components(stars).withColumnRenamed("node", "id"), "id", "left").join(home, "id", "left")
+    at = at.join(own.select("id", "odd").dropDuplicates(["id"]), "id")
+    at = stored(at.select("token", "id", "n", "gone", F.coalesce("component", "id").alias("comp"), "leader", "part", *(F.col("odd")[i].alias(f"o{i}") for i in range(4))), "open")
     still = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     left = at.join(still, "token")
-    x, y = left.toDF("token", "x", "n", "cx"), left.toDF("token", "y", "m", "cy")
-    met = x.join(y, "token").where((F.col("cx") != F.col("cy")) & (F.struct("n", "x") < F.struct("m", "y")) & (F.col("n") * den >= F.col("m") * num)).select("x", "y").distinct()
-    rest = stored(_checked(met, sets, num, den), "links")
+    x = left.toDF("token", "x", "n", "gx", "cx", "lx", "px", *(f"a{i}" for i in range(4)))
+    y = left.toDF("token", "y", "m", "gy", "cy", "ly", "py", *(f"b{i}" for i in range(4)))
+    differ = "+".join(f"bit_count(a{i} ^ b{i})" for i in range(4))  # linked sets differ in (n + m)(den - num)/(den + num) at most
+    met = x.join(y, "token").where(F.expr(f"({differ}) * {den + num} <= (n + m) * {den - num}") & (F.col("cx") != F.col("cy")) & (F.struct("n", "x") < F.struct("m", "y")) & (F.col("n") * den >= F.col("m") * num) & F.coalesce((F.col("lx") != F.col("ly")) | (F.col("px") != F.col("py")), F.lit(True)))
+    met = met.groupBy("x", "y", "n", "gx", "gy").count().where(f"count > {spares} - greatest(gx, gy)").select("x", "y")
+    met = stored(met, "pairs")
+    more = _whole_sets(named, met.select(F.col("x").alias("id")).unionAll(met.select("y")).distinct(), width)
+    rest = stored(_checked(met, more, num, den), "links")
     comp = components(stars.unionAll(rest))
     grouped = classes.join(comp, classes.rep == comp.node, "left").select("key", F.coalesce("component", "rep").alias("c"))
     out = sigs.select("id", "n", "key").join(grouped, "key", "left")
