@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sketchwell.operators import bloom, cms, cuckoo, quantiles, tdigest, topk
 from sketchwell.options import BloomOptions, CmsOptions, CuckooOptions, TDigestOptions, TopKOptions
 from sketchwell.sources import chunks
+from sketchwell.streaming import sketches
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -465,3 +466,25 @@ def d13(spark, d):
 def d14(spark, d):
     i = tdigest.info(tdigest.build(values(spark, d)))
     return i.select("key", "compression", "capacity", "observations", "bytes", (F.col("nodes") <= F.col("capacity")).alias("fits"))
+
+
+# ---- streams -------------------------------------------------------------------------------
+
+def arriving(spark, d):
+    e = sketches.read_stream(spark, f"{d}/events.parquet")
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("item"), F.lit(1).alias("inc"))
+
+
+@query("S1_stream_growing_cms", f"SELECT event_type AS key, r AS row, ('0x' || substr(md5(r || '|' || user_id::VARCHAR), 1, 8))::BIGINT % {CMS.width} AS col, count(*) AS cnt FROM events CROSS JOIN range({CMS.depth}) t(r) WHERE user_id IS NOT NULL GROUP BY ALL")
+def s1(spark, d):
+    at = sketches.scratch(spark, "growing")
+    q = sketches.merged_batches(arriving(spark, d), f"{at}/sketch", f"{at}/progress", lambda b: cms.build(b, CMS), lambda old, new: cms.merge([(old, 1), (new, 1)], saturate=True))
+    q.awaitTermination()
+    return spark.read.parquet(f"{at}/sketch/v{(q.lastProgress or {'batchId': 0})['batchId'] + 1}")
+
+
+@query("S2_stream_windowed_counts", "WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS done FROM events) SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS key, user_id::VARCHAR AS item, count(*) AS cnt FROM events, m WHERE user_id IS NOT NULL AND date_trunc('day', ts) + INTERVAL 1 DAY <= done GROUP BY ALL")
+def s2(spark, d):
+    at = sketches.scratch(spark, "windows")
+    got = sketches.run_to_end(sketches.windowed_counts(arriving(spark, d), late="1 hour"), f"{at}/out", f"{at}/progress")
+    return got.withColumn("start", F.col("start").cast("timestamp_ntz"))

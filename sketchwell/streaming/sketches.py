@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,15 @@ from sketchwell.options import CmsOptions
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
-    """A folder of Parquet files as a stream, with the schema of what is there."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    """A folder of Parquet files, or one file, as a stream, with the schema of what is there."""
+    at, _, end = path.rpartition(".")  # as a pattern, a path may name a file
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", max_files).parquet(f"{at}[.]{end}" if at and "/" not in end else path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can write: in spark.checkpoint.dir, else below the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def windowed_cms(events: DataFrame, o: CmsOptions, ts: str = "ts", every: str = "1 day", slide: str | None = None, late: str = "1 day", family: str = "md5") -> DataFrame:
