@@ -19,12 +19,23 @@ def finite(obs: DataFrame, strict: bool = False) -> DataFrame:
     return known.withColumn("v", F.when(ok, F.col("v")).otherwise(F.raise_error(F.lit("an observation isn't finite")))) if strict else known.where(ok)
 
 
-def stepped(obs: DataFrame) -> DataFrame:
-    """(key, v, n, before, total): distinct values, how often each occurs, how many are below, how many there are."""
+def stepped(obs: DataFrame, slots: int = 1024) -> DataFrame:
+    """(key, v, n, before, total): distinct values, how often each occurs, how many are below, how many there are.
+
+    A key's values are cut into slots of equal width between its extremes: running sums cross slots by
+    one row each, and only values of a slot are ordered together, so a key of any size is spread.
+    """
     c = finite(obs).groupBy("key", "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("key").orderBy("v")
-    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return c.withColumns({"before": before, "total": F.sum("n").over(Window.partitionBy("key"))})
+    ends = c.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    width = F.col("high") / slots - F.col("low") / slots
+    slot = F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(slots - 1), F.floor(F.col("v") / width - F.col("low") / width)))).otherwise(0).cast("int")
+    c = c.join(ends, "key").select("key", "v", "n", slot.alias("slot"))
+    sums = c.groupBy("key", "slot").agg(F.sum("n").alias("t"))
+    by_key = Window.partitionBy("key")
+    base = F.coalesce(F.sum("t").over(by_key.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("key", "slot", base.alias("base"), F.sum("t").over(by_key).alias("total"))
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("key", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return c.withColumn("inner", inner).join(sums, ["key", "slot"]).select("key", "v", "n", (F.col("base") + F.col("inner")).alias("before"), "total")
 
 
 def extremes(obs: DataFrame) -> DataFrame:
