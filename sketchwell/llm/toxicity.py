@@ -29,7 +29,8 @@ from sketchwell.llm.common import reachable
 @dataclass(frozen=True)
 class ToxicityOptions:
     """max_train_docs bounds the labelled sample (half of it toxic at most, chosen by hash of doc_id);
-    everything else covers all rows. threshold is the rejection limit."""
+    everything else covers all rows. The toxic dictionary is trained on the key_words words (those of a
+    log-likelihood ratio beyond keyness) that tell toxic texts apart best. threshold is the rejection limit."""
 
     max_train_docs: int = 6000
     max_train_bytes: int = 48 << 20
@@ -39,6 +40,7 @@ class ToxicityOptions:
     window: int = 64
     step: int = 52
     keyness: float = 12.0
+    key_words: int = 80
     steps: tuple = (2, 3, 4, 5, 6)
     threshold: float = 0.3
     seed: int = 1
@@ -59,7 +61,8 @@ class CompressionModel:
         self.options, self.ordinary, self.toxic, self.weights = options, b"", b"", None
 
     @classmethod
-    def fit(cls, texts: list[str], labels: list[int], options: ToxicityOptions) -> CompressionModel:
+    def fit(cls, texts: list[str], labels: list[int], options: ToxicityOptions, odds: float | None = None) -> CompressionModel:
+        """odds: toxic to ordinary among all labelled rows; the sample may hold relatively more toxic ones."""
         self = cls(options)
         docs, y = [words_of(t) for t in texts], np.array(labels, float)
         if not 0 < y.sum() < len(y):
@@ -67,7 +70,8 @@ class CompressionModel:
         rng = random.Random(options.seed)
         bad, good = [d for d, v in zip(docs, y) if v], [d for d, v in zip(docs, y) if not v]
         in_bad, in_good = Counter(w for d in bad for w in set(d)), Counter(w for d in good for w in set(d))
-        passages = [b" " + w + b" " for w in sorted(in_bad) if _keyness(in_bad[w], in_good[w], len(bad), len(good)) > options.keyness for _ in range(in_bad[w])]
+        key = sorted(((_keyness(in_bad[w], in_good[w], len(bad), len(good)), w) for w in in_bad), reverse=True)[: options.key_words]
+        passages = [b" " + w + b" " for k, w in key if k > options.keyness for _ in range(in_bad[w])]
         rng.shuffle(passages)
         self.toxic = _trained(options.toxic_dict, [b"".join(passages[i : i + 16]) for i in range(0, len(passages), 16)], 32)
         plain = []
@@ -77,7 +81,10 @@ class CompressionModel:
             plain += [b" " + b" ".join(u[i : i + 16]) + b" " for i in range(0, len(u), 16)]
         self.ordinary = _trained(options.ordinary_dict, plain, 64)
         measure = self.measure()
-        self.weights = _logistic(np.array([measure(d) for d in docs]), y)
+        mean, spread, w = _logistic(np.array([measure(d) for d in docs]), y)
+        if odds:
+            w[-1] += math.log(odds) - math.log(y.sum() / (len(y) - y.sum()))
+        self.weights = mean, spread, w
         return self
 
     def measure(self):
@@ -150,6 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = No
     """Learn from a bounded sample of labelled rows that aren't held out."""
     o = options or ToxicityOptions()
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out())
+    number = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     half = o.max_train_docs // 2
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(half).unionAll(known.where("toxic = 0").orderBy(*order).limit(o.max_train_docs - half))
@@ -163,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = No
             break
         texts.append(r.text)
         ys.append(r.toxic)
-    return CompressionModel.fit(texts, ys, o)
+    return CompressionModel.fit(texts, ys, o, number.get(1, 0) / max(1, number.get(0, 0)))
 
 
 def score(docs: DataFrame, model: CompressionModel, out: str = "toxicity") -> DataFrame:
