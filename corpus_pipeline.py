@@ -18,8 +18,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names the group; documents without an id stay."""
-    groups = jaccard.near_duplicates(docs)
+    """One document of each group of five-word shingle sets of similarity 0.8: the one whose id names the group;
+    documents without an id stay."""
+    groups = jaccard.near_duplicates(docs, num=80, den=100, width=5)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(stored(copies, "copies"), "doc_id", "left_anti").select(*COLUMNS)
 

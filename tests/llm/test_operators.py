@@ -56,8 +56,8 @@ def test_toxicity_odd_rows(spark, odd, none):
 
 # ---- 2 similarity join
 
-def check_near(rows, df):
-    want = jaccard.brute_components([r for r in rows if r[0] is not None])
+def check_near(rows, df, **rule):
+    want = jaccard.brute_components([r for r in rows if r[0] is not None], **rule)
     got = df.collect()
     assert len(got) == len(rows)
     for r in got:
@@ -90,6 +90,8 @@ def test_near_duplicates_equal_brute_force_on_chains_and_hot_shingles(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     check_near(rows, jaccard.near_duplicates(df))
     check_near(rows, jaccard.near_duplicates(df, star=300))  # many blocks
+    check_near(rows, jaccard.near_duplicates(df, num=80, den=100, width=5), num=80, den=100, width=5)
+    check_near(rows, jaccard.near_duplicates(df, num=50, den=100, width=2, short=1), num=50, den=100, width=2)
 
 
 @settings(max_examples=60, deadline=None)

@@ -16,7 +16,7 @@ def test_stages_take_effect(spark, data):
         assert kept.select("doc_id").exceptAll(docs.select("doc_id")).count() == 0 or name == "mixing"
         docs = kept
         if name == "ngram_jaccard_join":
-            again = jaccard.near_duplicates(kept)
+            again = jaccard.near_duplicates(kept, num=80, den=100, width=5)
             assert again.where("doc_id <> component_id").count() == 0
     out = corpus_pipeline.STAGES[-1][1](spark, docs, data)
     assert out.count() == docs.count()
