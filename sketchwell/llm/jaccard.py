@@ -8,8 +8,8 @@ Plan (everything is keyed and linear until real candidates are left):
 4. each class that shares many lists with a leader joins its star; a star is joined exactly in one
    task, large stars in several blocks that all hold the leader: short lists are heap-merged, long
    ones probed by binary search;
-5. lists that still span several components give pairs, unless 256 parity bits of the sets show that they
-   differ too much; those that occur together often enough (T-occurrence: linked sets share so many
+5. lists that still span several components, of sets that have enough of them, give pairs, unless parity
+   bits of the sets show that they differ too much; those that occur together often enough (T-occurrence: linked sets share so many
    prefix lists at least) are probed on whole sets;
 6. connected components of all links.
 
@@ -39,6 +39,7 @@ C = np.uint64(0x165667B19E3779F9)
 
 #: A posting's size is kept above so many bits, the number of lists its set skips below.
 PACK = 24
+BITS = 512
 
 
 class Shingler:
@@ -84,7 +85,7 @@ def slack(n: int, num: int, den: int) -> int:
 
 def spare(n: int, num: int, den: int) -> int:
     """By how many lists the prefix of a set of n is extended: linked sets share one list more at least."""
-    return slack(n, num, den) + 3
+    return slack(n, num, den) // 2 + 3
 
 
 def skipped(n: int, num: int, den: int) -> int:
@@ -93,8 +94,8 @@ def skipped(n: int, num: int, den: int) -> int:
 
 
 def parities(s: np.ndarray) -> np.ndarray:
-    """256 bits: whether an odd number of hashes falls on each. Two sets differ in as many elements at least as bits."""
-    return np.packbits(np.bincount((s >> np.uint64(16) & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64)
+    """Whether an odd number of hashes falls on each of some bits. Two sets differ in as many elements at least as bits."""
+    return np.packbits(np.bincount((s >> np.uint64(16) & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).view(np.int64)
 
 
 def linked(common: int, n: int, m: int, num: int, den: int) -> bool:
@@ -355,7 +356,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 
 
 def _whole_sets(named: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, tokens): whole sets of the wanted ids; a bounded filter keeps most other texts from being cut."""
+    """(id, tokens): whole sets of the wanted ids, and of some others that the bounded filter lets through; joins follow."""
     ids = stored(ids, "ids")
     packed = named.sparkSession.sparkContext.broadcast(id_filter(ids, "id"))
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
@@ -369,7 +370,7 @@ def _whole_sets(named: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
                 yield _frame(schema, b.column(0).slice(lo, hi - lo), [to.set_of(raw[off[i] : off[i + 1]].tobytes()).tobytes() for i in range(hi - lo)])
 
-    return stored(named.mapInArrow(run, "id long, tokens binary").join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    return stored(named.mapInArrow(run, "id long, tokens binary"), "sets")
 
 
 def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3, star: int = 1_500_000, short: int = 8) -> DataFrame:
@@ -381,11 +382,12 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
     reps = classes.select(F.col("rep").alias("id"), "key")
     own = sigs.where(F.size("prefix") > 0).join(reps, ["id", "key"], "left_semi")
     lists = stored(inverted(own, frequent(sigs), num, den), "lists")
-    spares = f"(n - ({num} * n + {den - 1}) div {den}) + 3"
-    may_skip = f"((({num} * n + {den - 1}) div {den}) - ({num} * (({num} * n + {den - 1}) div {den}) + {den - 1}) div {den} + 3) div 2"
+    least = lambda n: f"(({num} * {n} + {den - 1}) div {den})"  # noqa: E731  the smallest size that links with n
+    spares = lambda n: f"(({n} - {least(n)}) div 2 + 3)"
+    may_skip = f"({spares(least('n'))} div 2)"
     size = [F.shiftright("p.ns", PACK).alias("n"), (F.col("p.ns").bitwiseAND((1 << PACK) - 1)).alias("gone")]
     posts = lists.select("token", "leader", "k", F.explode(F.arrays_zip("ids", "ns")).alias("p")).select("token", "leader", "k", F.col("p.ids").alias("id"), *size)
-    often = posts.where("id <> leader").groupBy("id", "leader", "n").count().where(f"4 * count >= {spares}")
+    often = posts.where("id <> leader").groupBy("id", "leader", "n").count().where(f"count >= {spares('n')}")
     members = stored(often.groupBy("id", "n").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader")), "members")
     dealt = stored(_dealt(members, star), "stars")
     sets = _whole_sets(named, dealt.select("id").distinct(), width)
@@ -397,15 +399,20 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
     ranked = ranked.withColumn("gone", F.col("gone") + F.sum(F.col("skip").cast("int")).over(Window.partitionBy("id"))).where("not skip")
     home = members.select("id", "leader", "n").join(dealt.withColumnRenamed("leader", "l"), "id").where("l = leader").groupBy("id").agg(F.min("leader").alias("leader"), F.min("part").alias("part"))
     at = ranked.join(components(stars).withColumnRenamed("node", "id"), "id", "left").join(home, "id", "left")
-    at = at.join(own.select("id", "odd").dropDuplicates(["id"]), "id")
-    at = stored(at.select("token", "id", "n", "gone", F.coalesce("component", "id").alias("comp"), "leader", "part", *(F.col("odd")[i].alias(f"o{i}") for i in range(4))), "open")
-    still = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    left = at.join(still, "token")
-    x = left.toDF("token", "x", "n", "gx", "cx", "lx", "px", *(f"a{i}" for i in range(4)))
-    y = left.toDF("token", "y", "m", "gy", "cy", "ly", "py", *(f"b{i}" for i in range(4)))
-    differ = "+".join(f"bit_count(a{i} ^ b{i})" for i in range(4))  # linked sets differ in (n + m)(den - num)/(den + num) at most
+    at = stored(at.select("token", "id", "n", "gone", F.coalesce("component", "id").alias("comp"), "leader", "part"), "open")
+    # a set links with another component only by so many open lists; fewer than that, and none of its lists matter
+    need = f"1 + {spares(least('n'))} - {spares('n')} div 2"
+    for last in (False, True):
+        still = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+        left = at.join(still, "token").withColumn("lists", F.count("*").over(Window.partitionBy("id"))).where(f"lists >= {need}").drop("lists")
+        if last:
+            left = left.join(own.select("id", "odd").dropDuplicates(["id"]), "id").select(*at.columns, *(F.col("odd")[i].alias(f"o{i}") for i in range(BITS // 64)))
+        at = stored(left, "open")
+    x = at.toDF("token", "x", "n", "gx", "cx", "lx", "px", *(f"a{i}" for i in range(BITS // 64)))
+    y = at.toDF("token", "y", "m", "gy", "cy", "ly", "py", *(f"b{i}" for i in range(BITS // 64)))
+    differ = "+".join(f"bit_count(a{i} ^ b{i})" for i in range(BITS // 64))  # linked sets differ in (n + m)(den - num)/(den + num) at most
     met = x.join(y, "token").where(F.expr(f"({differ}) * {den + num} <= (n + m) * {den - num}") & (F.col("cx") != F.col("cy")) & (F.struct("n", "x") < F.struct("m", "y")) & (F.col("n") * den >= F.col("m") * num) & F.coalesce((F.col("lx") != F.col("ly")) | (F.col("px") != F.col("py")), F.lit(True)))
-    met = met.groupBy("x", "y", "n", "gx", "gy").count().where(f"count > {spares} - greatest(gx, gy)").select("x", "y")
+    met = met.groupBy("x", "y", "n", "gx", "gy").count().where(f"count > {spares('n')} - greatest(gx, gy)").select("x", "y")
     met = stored(met, "pairs")
     more = _whole_sets(named, met.select(F.col("x").alias("id")).unionAll(met.select("y")).distinct(), width)
     rest = stored(_checked(met, more, num, den), "links")
