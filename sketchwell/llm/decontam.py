@@ -47,7 +47,7 @@ _WORD = bytes((c | 32 if 65 <= c < 91 else c) if 48 <= c < 58 or 65 <= c < 91 or
 class Walker:
     """Word ids of texts, their CGK walks and sampled signatures."""
 
-    def __init__(self, o: CgkOptions, most_words: int = 1 << 20):
+    def __init__(self, o: CgkOptions, most_words: int = 1 << 18):
         self.o, self.most, self.known = o, most_words, {}
         rng = np.random.default_rng(o.seed)
         self.at = [np.sort(rng.choice(o.depth, o.samples, replace=False)) for _ in range(o.repeats)]

@@ -45,7 +45,7 @@ BITS = 512
 class Shingler:
     """Texts -> sorted arrays of shingle hashes. Words: runs of bytes that aren't ASCII white space, A-Z lowered."""
 
-    def __init__(self, width: int = 3, most_words: int = 1 << 20):
+    def __init__(self, width: int = 3, most_words: int = 1 << 18):
         self.width, self.most, self.known = width, most_words, {}
 
     def _ids(self, words: list[bytes]) -> np.ndarray:
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, num: int, den: int, width: int = 3) -> DataFrame
         to = Shingler(width)
         for b in batches:
             texts = b.column(1)
-            for lo, hi in slices(texts, 8 << 20):
+            for lo, hi in slices(texts, 2 << 20):
                 raw, off = text_bytes(texts.slice(lo, hi - lo))
                 ns, keys, prefixes, odd = [], [], [], []
                 for i in range(hi - lo):
@@ -147,7 +147,7 @@ def frequent(sigs: DataFrame, share: float = 0.002, least: int = 24, most: int =
         for b in batches:
             seen += len(b)
             held.append(b.column(0).flatten().to_numpy(zero_copy_only=False).copy())
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield from report(held, seen)
                 seen, held = 0, []
         yield from report(held, seen)
@@ -366,7 +366,7 @@ def _whole_sets(named: DataFrame, ids: DataFrame, width: int) -> DataFrame:
         for b in batches:
             b = b.filter(pc.is_valid(b.column(0)))
             b = b.filter(pa.array(in_filter(packed.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))))
-            for lo, hi in slices(b.column(1), 4 << 20):
+            for lo, hi in slices(b.column(1), 2 << 20):
                 raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
                 yield _frame(schema, b.column(0).slice(lo, hi - lo), [to.set_of(raw[off[i] : off[i + 1]].tobytes()).tobytes() for i in range(hi - lo)])
 

@@ -40,7 +40,7 @@ class ResampleOptions:
 class Grams:
     """Texts -> bucket numbers of their words and word pairs."""
 
-    def __init__(self, buckets: int, most: int = 1 << 19):
+    def __init__(self, buckets: int, most: int = 1 << 18):
         self.buckets, self.most, self.known = np.uint64(buckets), most, {}
 
     def of(self, text: bytes) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sketchwell.llm.common import reachable
+from sketchwell.llm.common import reachable, slices
 
 
 @dataclass(frozen=True)
@@ -183,7 +183,9 @@ def score(docs: DataFrame, model: CompressionModel, out: str = "toxicity") -> Da
 
     def run(batches):
         for b in batches:
-            s = pa.array(model.scores(b.column(at).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, s], names=[*b.schema.names, out])
+            for lo, hi in slices(b.column(at), 2 << 20):
+                part = b.slice(lo, hi - lo)
+                s = pa.array(model.scores(part.column(at).to_pylist()), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, s], names=[*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
