@@ -12,8 +12,9 @@ times. Instead:
 3. The rest, one owner per distinct stretch, bring their bytes. Spark deals them by gram; each task
    sorts position-rank pairs at offsets 8, 16, ... and re-ranks, dropping positions that became unique,
    until the offset reaches `length`: exact, no hashes. A gram with more than `most` distinct
-   stretches is doubled in Spark first: its windows are ranked by it and as many bytes after or before it,
-   twice if need be; what is still as frequent is dealt out window by window, by 128-bit digests.
+   stretches is lengthened in Spark first: its windows are ranked by it and as many bytes after or before
+   it (50, 100, 200, 300, 350 ... 400 bytes), equal stretches are put together and unique ones dropped, until
+   no more than `most` share a rank. So no task ever gathers an unbounded group.
 4. Starts become runs, runs become covered spans, texts lose them.
 
 Null and empty texts have no windows. Texts of any length (chunks that share length - 1 bytes).
@@ -241,10 +242,11 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
     if not wide.limit(1).count():
         return found
     wide = stored(near(wide).select("gram", F.lit(-1).alias("core"), "single", "uid", "first", "bytes"), "wide")
-    for size in (gram, 2 * gram):
-        if 3 * size > length + 1:
-            break
-        parts = stored(wide.mapInArrow(_extended(size, length, gram), _PARTS), "parts")
+    size = gram
+    while size < length:
+        more = min(size, (length + 1 - size) // 2)
+        parts = stored(wide.mapInArrow(_extended(size, more, length, gram), _PARTS), "parts")
+        size += more
         kept = parts.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min_by(F.struct("core", "single", "uid", "first", "bytes"), F.struct("uid", "first")).alias("r"))
         kinds = kept.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
         twice = kept.where("n > 1").select("gram", "whole")
@@ -256,29 +258,15 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
         if not wide.limit(1).count():
             return found
         wide = wide.select("gram", "core", "single", "uid", "first", "bytes")
-
-    def spread(batches):
-        """A row per window of a gram that very many distinct stretches share."""
-        kinds = pa.schema([("digest", pa.binary()), ("single", pa.int64()), ("uid", pa.int64()), ("first", pa.int64())])
-        for b in batches:
-            for i in range(len(b)):
-                data, f = b.column(5)[i].as_py(), b.column(4)[i].as_py()
-                n = len(data) - length + 1
-                marks = [xxhash.xxh3_128_digest(data[k : k + length]) for k in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array([b.column(1)[i].as_py()] * n, pa.int64()), pa.array([b.column(3)[i].as_py()] * n, pa.int64()), pa.array(np.arange(n) + f)], schema=kinds)
-
-    windows = wide.withColumn("kinds", F.lit(0).cast("long")).select("gram", "single", "kinds", "uid", "first", "bytes").mapInArrow(spread, "digest binary, single long, uid long, first long")
-    twice = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    many = windows.where("single = 1").join(twice, "digest", "left_semi").select("uid", "first", F.col("first").alias("last"))
-    return found.unionAll(many)
+    return found  # at full length each part was one window: equal ones are found
 
 
 _PARTS = "gram long, whole long, core int, single long, uid long, first long, bytes binary"
 
 
-def _extended(size: int, length: int, gram: int):
-    """Doubles the string that a stretch's windows share: those that reach far enough to the right of it share it
-    with the `size` bytes after it, the others with the `size` bytes before it. Each part has a rank of its own."""
+def _extended(size: int, more: int, length: int, gram: int):
+    """Lengthens the string that a stretch's windows share: those that reach far enough to the right of it share it
+    with `more` bytes after it, the others with as many before it. Each part has a rank of its own."""
     schema = pa.schema([("gram", pa.int64()), ("whole", pa.int64()), ("core", pa.int32()), ("single", pa.int64()), ("uid", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
@@ -289,11 +277,11 @@ def _extended(size: int, length: int, gram: int):
                     h = gram_ranks(np.frombuffer(data, np.uint8), gram)
                     core = int(np.flatnonzero(h >> POS == np.array([g]).view(np.uint64) >> POS)[0])
                 last = len(data) - length
-                split = max(0, core + 2 * size - length)
-                for lo, hi, at in ((split, last, core), (0, min(last, split - 1), core - size)):
+                split = max(0, core + size + more - length)
+                for lo, hi, at in ((split, last, core), (0, min(last, split - 1), core - more)):
                     if lo <= hi:
                         part = data[lo : hi + length]
-                        key = xxhash.xxh3_64_intdigest(data[at : at + 2 * size], seed=2 * size)
+                        key = xxhash.xxh3_64_intdigest(data[at : at + size + more], seed=size + more)
                         rows.append((np.uint64(key).view(np.int64), np.uint64(xxhash.xxh3_64_intdigest(part)).view(np.int64), at - lo, single, uid, first + lo, part))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
