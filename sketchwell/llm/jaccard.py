@@ -83,9 +83,15 @@ def slack(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den)
 
 
+def alone(n: int, num: int, den: int) -> bool:
+    """Whether sets of n link with equal sets only: a linked set may lack nothing and not even one more may hold them."""
+    return not slack(n, num, den) and den * n < num * (n + 1)
+
+
 def spare(n: int, num: int, den: int) -> int:
-    """By how many lists the prefix of a set of n is extended: linked sets share one list more at least."""
-    return slack(n, num, den) // 2 + 3
+    """By how many lists the prefix of a set of n is extended: linked sets share one list more at least. Small sets
+    have no more in common than the overlap asks for."""
+    return min(slack(n, num, den) // 2 + 3, max(0, -(-num * n // den) - 1))
 
 
 def skipped(n: int, num: int, den: int) -> int:
@@ -127,11 +133,11 @@ def signatures(docs: DataFrame, num: int, den: int, width: int = 3) -> DataFrame
                 for i in range(hi - lo):
                     s = to.set_of(raw[off[i] : off[i + 1]].tobytes())
                     n = len(s)
-                    e = slack(n, num, den)
+                    e, on = slack(n, num, den), n and not alone(n, num, den)
                     ns.append(n)
                     keys.append(xxhash.xxh3_128_digest(s.tobytes()) if n else None)
-                    prefixes.append(s[: e + 1 + spare(n, num, den)].view(np.int64) if e else s[:0].view(np.int64))  # without slack only equal sets link
-                    odd.append(parities(s) if e else s[:0].view(np.int64))
+                    prefixes.append(s[: e + 1 + spare(n, num, den)].view(np.int64) if on else s[:0].view(np.int64))
+                    odd.append(parities(s) if on else s[:0].view(np.int64))
                 yield _frame(schema, b.column(0).slice(lo, hi - lo), ns, keys, _lists(prefixes, pa.int64()), _lists(odd, pa.int64()))
 
     return docs.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, n long, key binary, prefix array<long>, odd array<long>")
@@ -383,7 +389,7 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
     own = sigs.where(F.size("prefix") > 0).join(reps, ["id", "key"], "left_semi")
     lists = stored(inverted(own, frequent(sigs), num, den), "lists")
     least = lambda n: f"(({num} * {n} + {den - 1}) div {den})"  # noqa: E731  the smallest size that links with n
-    spares = lambda n: f"(({n} - {least(n)}) div 2 + 3)"
+    spares = lambda n: f"least(({n} - {least(n)}) div 2 + 3, greatest(0, {least(n)} - 1))"
     may_skip = f"({spares(least('n'))} div 2)"
     size = [F.shiftright("p.ns", PACK).alias("n"), (F.col("p.ns").bitwiseAND((1 << PACK) - 1)).alias("gone")]
     posts = lists.select("token", "leader", "k", F.explode(F.arrays_zip("ids", "ns")).alias("p")).select("token", "leader", "k", F.col("p.ids").alias("id"), *size)

@@ -94,6 +94,26 @@ def test_near_duplicates_equal_brute_force_on_chains_and_hot_shingles(spark):
     check_near(rows, jaccard.near_duplicates(df, num=50, den=100, width=2, short=1), num=50, den=100, width=2)
 
 
+@pytest.mark.parametrize("num, width, sizes", [(90, 3, range(1, 22)), (80, 5, range(1, 22)), (50, 2, range(1, 8))])
+def test_near_duplicates_link_small_sets_with_one_word_more(spark, num, width, sizes):
+    rng = random.Random(num)
+    rows = []
+    for n in sizes:  # n shingles, and the same with one word before, after, on either side, or another last word
+        w = [f"w{rng.random()}" for _ in range(n + width - 1)]
+        rows += [(len(rows) + k, " ".join(x)) for k, x in enumerate((w, [*w, "more"], ["well", *w], ["well", *w, "more"], [*w[:-1], "other"]))]
+    want = jaccard.brute_components(rows, num=num, width=width)
+    assert all(want[5 * k][1] == want[5 * k + 1][1] for k, n in enumerate(sizes) if 100 * n >= num * (n + 1))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_near(rows, jaccard.near_duplicates(df, num=num, width=width), num=num, width=width)
+
+
+def test_near_duplicates_link_small_sets_of_frequent_shingles(spark):
+    w = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join([f"a{k}" if k % 3 else "well", *w[:11], f"b{k}"][k % 2 :][: 12 - k % 5 // 4])) for k in range(120)]
+    for num, width in ((90, 3), (80, 5), (80, 3)):
+        check_near(rows, jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), num=num, width=width, short=1), num=num, width=width)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 14), min_size=10, max_size=14, unique=True), min_size=2, max_size=12))
 def test_join_sets_connects_what_links(sets):
