@@ -4,14 +4,15 @@ A CGK walk reads a window from left to right; at each step a random bit of the c
 decides whether to advance. Two windows of small edit distance soon walk in step again, so their
 embeddings differ in few places (Hamming). Each of `repeats` hash functions samples coordinates of
 its own walk; equal samples make a candidate. Symbols are words (A-Z lowered, punctuation dropped),
-windows start at every `stride`-th word of a text and at every word of an item, so whatever their
-place in a text, a window of the text is in step with one of the item. A passage holds several
-windows, each with `repeats` chances. Candidates are verified exactly: the smallest edit distance of
+windows start at every `stride`-th word of a text and at `stride` words of an item at least, so whatever their
+place in a text, a window of the text is in step with one of the item. For items shorter than two strides
+windows start at every word of the texts. Where a walk leaves the item, only the samples before that are
+hashed, and texts are looked up by as many: exact copies of any length are always candidates. Edited ones are
+only by chance, more so the shorter they are. A passage holds several windows, each with `repeats` chances. Candidates are verified exactly: the smallest edit distance of
 the item to any substring near the window (bit-parallel, all characters), at most
 `max_edits` of its length.
 
-Nulls, blank texts and items without words match nothing; an item shorter than the shortest walk is
-embedded as far as it goes. Ties: the smallest distance, then the first place. Repeated documents or
+Nulls, blank texts and items without words match nothing. Ties: the smallest distance, then the first place. Repeated documents or
 items give a row each. Texts of any length; no windows are skipped.
 """
 
@@ -65,24 +66,28 @@ class Walker:
                     known[x] = xxhash.xxh3_64_intdigest(x)
             return np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
 
-    def signatures(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """Per repeat the hash of the sampled symbols of the windows from starts; beyond ends the symbol is 0."""
-        o, out = self.o, []
+    def signatures(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Hashes of the windows from starts, per repeat of the first symbol and of the first 1, 2, ... samples, and per
+        repeat how many samples lie before ends; beyond ends the symbol is 0."""
+        o, out, inside = self.o, [], []
         padded = np.append(words, np.uint64(0))
         for r in range(o.repeats):
             bits = mix(padded + self.salt[r])  # bit j of a symbol's hash is its step at j
             i, h = starts.copy(), np.full(len(starts), self.salt[r], np.uint64)
-            wanted = set(self.at[r].tolist())
+            wanted, before = set(self.at[r].tolist()), np.zeros(len(starts), np.int64)
+            out.append(mix(padded[starts] + ~self.salt[r]))
             for j in range(o.depth):
                 over = i >= ends
                 here = np.where(over, len(words), i)
                 if j in wanted:
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + padded[here])
+                    out.append(h)
+                    before += ~over
                 if j == self.at[r][-1]:
                     break
                 i = i + (((bits[here] >> np.uint64(j)) & np.uint64(1)) | over).astype(np.int64)
-            out.append(h)
-        return out
+            inside.append(before)
+        return out, inside
 
 
 def fit_distance(item: str, text: str) -> tuple[int, int]:
@@ -110,7 +115,8 @@ def fit_distance(item: str, text: str) -> tuple[int, int]:
 
 
 def item_index(items: DataFrame, o: CgkOptions) -> DataFrame:
-    """(sig, repeat, item_id, at, size): windows of each item from each word that leaves half a walk, and the item's words."""
+    """(sig, repeat, item_id, at, size): windows of each item from each word that leaves half a walk, and from `stride`
+    words at least if it has two strides; `repeat` numbers the repeats and numbers of samples, size is the item's words."""
     reachable(items.sparkSession)
     kinds = (("sig", pa.int64()), ("repeat", pa.int32()), ("item_id", pa.int64()), ("at", pa.int64()), ("size", pa.int64()))
     schema = pa.schema(kinds)
@@ -124,9 +130,12 @@ def item_index(items: DataFrame, o: CgkOptions) -> DataFrame:
                 n = len(words)
                 if not n or i is None:
                     continue
-                starts = np.arange(max(1, n - o.depth // 2), dtype=np.int64)
-                for r, h in enumerate(w.signatures(words, starts, np.full(len(starts), n))):
-                    for c, v in zip(columns, (h.view(np.int64), np.full(len(h), r, np.int32), np.full(len(h), i), starts, np.full(len(h), n))):
+                starts = np.arange(max(o.stride if n >= 2 * o.stride else 1, n - o.depth // 2), dtype=np.int64)
+                hashes, inside = w.signatures(words, starts, np.full(len(starts), n))
+                for r, before in enumerate(inside):
+                    code = r * (o.samples + 1) + before
+                    h = np.array([hashes[k][x] for x, k in enumerate(code)], np.uint64)
+                    for c, v in zip(columns, (h.view(np.int64), code.astype(np.int32), np.full(len(h), i), starts, np.full(len(h), n))):
                         c.append(v)
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -134,17 +143,18 @@ def item_index(items: DataFrame, o: CgkOptions) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "sig long, repeat int, item_id long, at long, size long").distinct()
 
 
-def _windows(column, w: Walker, o: CgkOptions):
-    """Signatures of all windows of some texts: row, word place, per repeat hashes."""
+def _windows(column, w: Walker, stride: int, codes: list[int]):
+    """Signatures of windows at every stride-th word of some texts: row, word place, (code, hashes) of the given codes."""
     raw, off = text_bytes(column)
     parts = [w.words(raw[off[i] : off[i + 1]].tobytes()) for i in range(len(off) - 1)]
     n = np.array([len(p) for p in parts], np.int64)
     base = np.r_[0, np.cumsum(n)]
-    per = -(-n // o.stride)
+    per = -(-n // stride)
     row = np.repeat(np.arange(len(n)), per)
-    place = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * o.stride
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * stride
     words = np.concatenate(parts) if len(parts) else np.empty(0, np.uint64)
-    return row, place, w.signatures(words, base[row] + place, base[row + 1]) if len(row) else []
+    hashes = w.signatures(words, base[row] + place, base[row + 1])[0] if len(row) else []
+    return row, place, [(c, hashes[c]) for c in codes] if len(row) else []
 
 
 def _word_starts(text: str) -> np.ndarray:
@@ -187,9 +197,11 @@ def candidates(docs: DataFrame, index: DataFrame, o: CgkOptions) -> DataFrame:
     The index is broadcast while it has at most broadcast_rows rows (40 bytes each); beyond that
     signatures are joined by a shuffle.
     """
-    rows = index.count()
+    parts = index.groupBy("repeat").agg(F.count("*").alias("rows"), F.min("size").alias("least")).collect()  # a row for each number of samples
+    rows, codes = sum(p["rows"] for p in parts), sorted(p["repeat"] for p in parts)
+    stride = 1 if parts and min(p["least"] for p in parts) < 2 * o.stride else o.stride
     if rows > o.broadcast_rows:
-        return _shuffled(docs, index, o)
+        return _shuffled(docs, index, o, stride, codes)
     table = index.toArrow()
     sig, repeat, item, at, size = (table.column(k).to_numpy() for k in range(5))
     order = np.lexsort((item, repeat, sig))
@@ -205,9 +217,9 @@ def candidates(docs: DataFrame, index: DataFrame, o: CgkOptions) -> DataFrame:
         for b in batches:
             for lo, hi in slices(b.column(1), 2 << 20):
                 part = b.slice(lo, hi - lo)
-                row, place, hashes = _windows(part.column(1), w, o)
+                row, place, hashes = _windows(part.column(1), w, stride, codes)
                 found: dict[int, set] = {}
-                for r, h in enumerate(hashes):
+                for r, h in hashes:
                     on = np.flatnonzero(seen[(h % mod).astype(np.int64)])
                     s = h[on].view(np.int64)
                     first, last = np.searchsorted(sig, s, "left"), np.searchsorted(sig, s, "right")
@@ -223,7 +235,7 @@ def candidates(docs: DataFrame, index: DataFrame, o: CgkOptions) -> DataFrame:
     return docs.mapInArrow(run, _REGION)
 
 
-def _shuffled(docs: DataFrame, index: DataFrame, o: CgkOptions) -> DataFrame:
+def _shuffled(docs: DataFrame, index: DataFrame, o: CgkOptions, stride: int, codes: list[int]) -> DataFrame:
     kinds = pa.schema([("sig", pa.int64()), ("repeat", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64())])
 
     def run(batches):
@@ -231,9 +243,9 @@ def _shuffled(docs: DataFrame, index: DataFrame, o: CgkOptions) -> DataFrame:
         for b in batches:
             for lo, hi in slices(b.column(1), 2 << 20):
                 part = b.slice(lo, hi - lo)
-                row, place, hashes = _windows(part.column(1), w, o)
+                row, place, hashes = _windows(part.column(1), w, stride, codes)
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                for r, h in enumerate(hashes):
+                for r, h in hashes:
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), r, np.int32)), pa.array(ids[row]), pa.array(place)], schema=kinds)
 
     def cut(batches):

@@ -190,6 +190,18 @@ def test_contamination_finds_every_exact_passage_and_most_edited_ones(spark):
     assert clean == {d for d, _ in exact if d < 10**6} | {d for d, i in found if d < 10**6}
 
 
+def test_contamination_finds_exact_copies_of_any_length_at_any_place(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    for sizes in ((*range(1, 31),), (*range(12, 31),)):  # with and without items shorter than two strides
+        items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate(sizes)]
+        rows = [(10 * k + p, " ".join([*(word() for _ in range(12 + p)), t, *(word() for _ in range(20))])) for k, t in items for p in range(6)]
+        docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+        for o in (decontam.CgkOptions(), decontam.CgkOptions(broadcast_rows=0)):
+            got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench, o).collect() if r.distance == 0}
+            assert {(10 * k + p, k) for k, _ in items for p in range(6)} <= got
+
+
 def test_contamination_by_shuffle_equals_broadcast(spark, data):
     a = decontam.contaminated(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet"))
     b = decontam.contaminated(spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/benchmark.parquet"), decontam.CgkOptions(broadcast_rows=0))
