@@ -236,7 +236,7 @@ def candidates(docs: DataFrame, index: DataFrame, o: CgkOptions) -> DataFrame:
 
 
 def _shuffled(docs: DataFrame, index: DataFrame, o: CgkOptions, stride: int, codes: list[int]) -> DataFrame:
-    kinds = pa.schema([("sig", pa.int64()), ("repeat", pa.int32()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    kinds = pa.schema([("sig", pa.int64()), ("repeat", pa.int32()), ("key", pa.int64()), ("place", pa.int64())])
 
     def run(batches):
         w = Walker(o)
@@ -244,19 +244,20 @@ def _shuffled(docs: DataFrame, index: DataFrame, o: CgkOptions, stride: int, cod
             for lo, hi in slices(b.column(1), 2 << 20):
                 part = b.slice(lo, hi - lo)
                 row, place, hashes = _windows(part.column(1), w, stride, codes)
-                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                keys = part.column(2).to_numpy(zero_copy_only=False)
                 for r, h in hashes:
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), r, np.int32)), pa.array(ids[row]), pa.array(place)], schema=kinds)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), r, np.int32)), pa.array(keys[row]), pa.array(place)], schema=kinds)
 
     def cut(batches):
         for b in batches:
             out = [(d, *x) for d, t, hits in zip(*(b.column(k).to_pylist() for k in range(3))) for x in _regions(t, {(h["item_id"], h["shift"], h["size"]) for h in hits}, o)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_REGION_ARROW)], schema=_REGION_ARROW)
 
-    own = docs.where("doc_id is not null")
-    hashes = own.mapInArrow(run, "sig long, repeat int, doc_id long, place long")
-    hits = hashes.join(index, ["sig", "repeat"]).groupBy("doc_id").agg(F.collect_set(F.struct("item_id", (F.col("place") - F.col("at")).alias("shift"), "size")).alias("hits"))
-    return own.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(cut, _REGION)
+    # rows are told apart by id and text: an id may be null or repeated; null texts have no windows
+    own = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    hashes = own.mapInArrow(run, "sig long, repeat int, key long, place long")
+    hits = hashes.join(index, ["sig", "repeat"]).groupBy("key").agg(F.collect_set(F.struct("item_id", (F.col("place") - F.col("at")).alias("shift"), "size")).alias("hits"))
+    return own.join(hits, "key").select("doc_id", "text", "hits").mapInArrow(cut, _REGION)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, o: CgkOptions | None = None) -> DataFrame:

@@ -217,6 +217,13 @@ def test_contamination_odd_rows(spark, odd, none, odd_rows):
     assert decontam.contaminated(odd, items.limit(0)).count() == 0
 
 
+def test_contamination_by_shuffle_equals_broadcast_on_odd_rows(spark, odd, odd_rows):
+    docs = odd.select("doc_id", "text").unionAll(spark.createDataFrame([(9, None), (9, "one"), (None, "one")], "doc_id long, text string"))
+    items = spark.createDataFrame([(1, odd_rows[8][1]), (5, "one")], "item_id long, text string")
+    a, b = (sorted(map(str, decontam.contaminated(docs, items, o).collect())) for o in (decontam.CgkOptions(), decontam.CgkOptions(broadcast_rows=0)))
+    assert a == b and any("doc_id=None, item_id=1" in x for x in b)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abc", max_size=9), st.text("abc", max_size=20))
 def test_fit_distance(item, text):
