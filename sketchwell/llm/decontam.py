@@ -1,103 +1,174 @@
 """Benchmark decontamination: CGK embedding, bit-sampling LSH, exact edit verification.
 
-A CGK walk reads a window from left to right; at each step a random bit of the current symbol
-decides whether to advance. Two windows of small edit distance soon walk in step again, so their
-embeddings differ in few places (Hamming). Each of `repeats` hash functions samples coordinates of
-its own walk; equal samples make a candidate. Symbols are words (A-Z lowered, punctuation dropped),
-windows start at every `stride`-th word of a text and at `stride` words of an item at least, so whatever their
-place in a text, a window of the text is in step with one of the item. For items shorter than two strides
-windows start at every word of the texts. Where a walk leaves the item, only the samples before that are
-hashed, and texts are looked up by as many: exact copies of any length are always candidates. Edited ones are
-only by chance, more so the shorter they are. A passage holds several windows, each with `repeats` chances. Candidates are verified exactly: the smallest edit distance of
-the item to any substring near the window (bit-parallel, all characters), at most
-`max_edits` of its length.
-
-Nulls, blank texts and items without words match nothing. Ties: the smallest distance, then the first place. Repeated documents or
-items give a row each. Texts of any length; no windows are skipped.
+Symbols are the bytes of letters and digits, A-Z lowered; white space and ASCII punctuation count for nothing. A
+text holds a passage of an item of n symbols if some window of it, of the item's size but for the edits, is within
+`max_edits` * n edits of the item.
+
+A CGK walk reads symbols from left to right; at each step a random bit of the current symbol decides whether to
+advance. Two strings of small edit distance soon walk in step again, so their embeddings differ in few places
+(Hamming). A hash samples some coordinates of a stretch of the embedding; an item-sized window has as many of them
+as it has starts on the grid of the texts, times the repeats. Grid, length of the stretch and repeats are the
+cheapest for which edited copies of items of that length class, at the largest distance still kept, meet with
+probability `target`: found by simulation (`plan_for`), by length alone. Met windows must share as many q-grams with the item as
+nearly all edited copies do, and are then verified exactly: the smallest edit distance of the item to any substring
+near the window (bit-parallel, all symbols).
+
+Items of fewer than `least` symbols are found only as exact runs of whole words. Items go through in blocks of about
+`block_symbols` symbols, each broadcast and held against all texts: any number of items, one way at every size.
+
+Null and blank texts and items without symbols match nothing; items without an id are left out; a document without
+an id gives rows of its own (all such documents share them). Ties: the smallest distance, then the first place.
+Repeated rows of documents or items: one row per pair of ids. Texts of any length, whole; no windows are skipped.
+Empty tables: no rows. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchwell.llm.common import mix, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import mix, reachable, slices, text_bytes
 
 
 @dataclass(frozen=True)
 class CgkOptions:
-    """samples coordinates of the first `depth` steps are hashed, by each of `repeats` walks."""
+    """max_edits is the share of an item's symbols; target the recall at that distance. The rest is derived or bounds work."""
 
-    stride: int = 6
-    depth: int = 20
-    samples: int = 5
-    repeats: int = 3
     max_edits: float = 0.2
+    target: float = 0.9
+    least: int = 16
+    gram: int = 4
+    asked: int = 128
     seed: int = 7
-    broadcast_rows: int = 2_000_000
-
-
-_WORD = bytes((c | 32 if 65 <= c < 91 else c) if 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
-
-
-class Walker:
-    """Word ids of texts, their CGK walks and sampled signatures."""
-
-    def __init__(self, o: CgkOptions, most_words: int = 1 << 18):
-        self.o, self.most, self.known = o, most_words, {}
-        rng = np.random.default_rng(o.seed)
-        self.at = [np.sort(rng.choice(o.depth, o.samples, replace=False)) for _ in range(o.repeats)]
-        self.salt = rng.integers(1, 1 << 62, o.repeats, dtype=np.int64).view(np.uint64)
-
-    def words(self, text: bytes) -> np.ndarray:
-        w, known = text.translate(_WORD).split(), self.known
-        try:
-            return np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for x in set(w):
-                if x not in known:
-                    known[x] = xxhash.xxh3_64_intdigest(x)
-            return np.fromiter(map(known.__getitem__, w), np.uint64, len(w))
-
-    def signatures(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Hashes of the windows from starts, per repeat of the first symbol and of the first 1, 2, ... samples, and per
-        repeat how many samples lie before ends; beyond ends the symbol is 0."""
-        o, out, inside = self.o, [], []
-        padded = np.append(words, np.uint64(0))
-        for r in range(o.repeats):
-            bits = mix(padded + self.salt[r])  # bit j of a symbol's hash is its step at j
-            i, h = starts.copy(), np.full(len(starts), self.salt[r], np.uint64)
-            wanted, before = set(self.at[r].tolist()), np.zeros(len(starts), np.int64)
-            out.append(mix(padded[starts] + ~self.salt[r]))
-            for j in range(o.depth):
-                over = i >= ends
-                here = np.where(over, len(words), i)
-                if j in wanted:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + padded[here])
-                    out.append(h)
-                    before += ~over
-                if j == self.at[r][-1]:
-                    break
-                i = i + (((bits[here] >> np.uint64(j)) & np.uint64(1)) | over).astype(np.int64)
-            inside.append(before)
-        return out, inside
-
-
-def fit_distance(item: str, text: str) -> tuple[int, int]:
+    block_symbols: int = 1 << 20
+
+
+#: Steps of a walk, coordinates sampled, grid of starts, repeats: cheapest first.
+STEPS = ((24, 12, 6, 1), (24, 12, 3, 1), (24, 12, 1, 1), (20, 10, 1, 1), (16, 9, 1, 1), (16, 8, 1, 2), (12, 7, 1, 3))
+#: Length classes by their least number of symbols.
+CLASSES = (16, 20, 26, 34, 44, 56, 72, 92, 120, 156, 200, 260)
+BUCKETS = 1 << 13
+
+_SYMBOL = np.array([(c | 32 if 65 <= c < 91 else c) if 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128 else 0 for c in range(256)], np.uint8)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Walk:
+    """A CGK walk of so many steps and the coordinates it samples. Symbol 0 ends a text: the walk stays there."""
+
+    def __init__(self, steps: int, samples: int, number: int, seed: int):
+        rng = np.random.default_rng([seed, steps, samples, number])
+        self.steps = steps
+        self.sampled = np.zeros(steps, bool)
+        self.sampled[rng.choice(steps, samples, replace=False)] = True
+        self.bits = rng.integers(0, 2, (steps, 256)).astype(np.int32) if samples < steps else np.ones((steps, 256), np.int32)
+        self.bits[:, 0] = 0
+        self.value = rng.integers(1, 1 << 62, 256, dtype=np.int64).view(np.uint64)
+
+    def hashes(self, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """symbols ends with a 0. Walks that read a 0 have their end, not what follows, in their hash."""
+        return self.run(symbols, starts)[0]
+
+    def run(self, symbols: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes, and the last symbol that each walk reads."""
+        i, h = starts.astype(np.int32), np.zeros(len(starts), np.uint64)
+        for j in range(self.steps):
+            c = symbols[i]
+            if self.sampled[j]:
+                h *= _MUL
+                h += self.value[c]
+            i += self.bits[j][c]
+        return mix(h), c
+
+
+def walk_of(steps: int, samples: int, number: int, seed: int) -> Walk:
+    return _walks(steps, samples, number, seed)
+
+
+_walks = lru_cache(maxsize=64)(Walk)
+
+
+def symbols_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    """Symbols of texts, each followed by a 0; where each lies in raw; where each text starts, and where the last ends."""
+    n = _SYMBOL[raw]
+    at = np.flatnonzero(n)
+    row = np.searchsorted(ends, at, "right")
+    out, place = np.zeros(len(at) + len(starts), np.uint8), np.zeros(len(at) + len(starts), np.int64)
+    to = np.arange(len(at)) + row
+    out[to], place[to] = n[at], at
+    first = np.searchsorted(at, np.r_[starts, ends[-1:]]) + np.arange(len(starts) + 1)
+    place[first[1:] - 1] = ends  # the ends
+    return out, place, first
+
+
+def gram_buckets(symbols: np.ndarray, q: int) -> np.ndarray:
+    h = np.zeros(max(0, len(symbols) - q + 1), np.uint64)
+    for k in range(q):
+        h = h * _MUL + symbols[k : k + len(h)].astype(np.uint64) + np.uint64(1)
+    return (mix(h) % np.uint64(BUCKETS)).astype(np.int32)
+
+
+def asked_grams(size: int, o: CgkOptions) -> np.ndarray:
+    """Places of the q-grams of a window that are looked up: `asked` of them at most, evenly spread."""
+    n = max(1, size - o.gram + 1)
+    return np.arange(min(n, o.asked)) * n // min(n, o.asked)
+
+
+def edited(s: np.ndarray, edits: int, rng) -> np.ndarray:
+    """s with so many edits at random places: a third each replaced, inserted and removed."""
+    out = [bytes([c]) for c in s.tolist()]
+    for i in rng.choice(len(s), edits, replace=False).tolist():
+        new = bytes([97 + int(rng.integers(26))])
+        out[i] = (new, out[i] + new, b"")[int(rng.integers(3))]
+    return np.frombuffer(b"".join(out), np.uint8)
+
+
+@lru_cache(maxsize=256)
+def plan_for(size: int, o: CgkOptions, trials: int = 200) -> tuple[int, int, int, int, float]:
+    """(steps, samples, grid, repeats, share of q-grams) for items of `size` symbols and more: simulated copies with
+    the most edits that are kept, between other symbols, at any place of the grid."""
+    rng = np.random.default_rng(o.seed)
+    letters = lambda n: rng.integers(97, 117, n).astype(np.uint8)
+    items = [letters(size) for _ in range(trials)]
+    copies = [edited(x, int(o.max_edits * size), rng) for x in items]
+    share = []
+    for x, y in zip(items, copies):
+        held = np.zeros(BUCKETS, bool)
+        held[gram_buckets(x, o.gram)] = True
+        at = asked_grams(size, o)
+        share.append(held[gram_buckets(np.append(y, np.zeros(size, np.uint8)), o.gram)[at]].mean())
+    least = float(np.quantile(share, 0.02))
+    texts = [np.concatenate([letters(int(rng.integers(24, 48))), y, letters(24), [0]]).astype(np.uint8) for y in copies]
+    one = np.concatenate([np.append(x, 0) for x in items]).astype(np.uint8)
+    two, of = np.concatenate(texts), np.repeat(np.arange(trials), [len(t) for t in texts])
+    place = np.arange(len(two)) - np.repeat(np.cumsum([0, *(len(t) for t in texts[:-1])]), [len(t) for t in texts])
+    for steps, samples, grid, repeats in STEPS:
+        met = np.zeros(trials, bool)
+        for k in range(repeats):
+            w = walk_of(steps, samples, k, o.seed)
+            a, last = w.run(one, np.flatnonzero(one))
+            a = (a ^ np.repeat(np.arange(trials, dtype=np.uint64), size))[last > 0]
+            on = (place % grid == 0) & (two > 0)
+            b = w.hashes(two, np.flatnonzero(on)) ^ of[on].astype(np.uint64)
+            met[of[on][np.isin(b, a)]] = True
+        if met.mean() * 0.98 >= o.target + 0.03:  # 0.98: the q-grams; 0.03: the error of the simulation
+            break
+    return steps, samples, grid, repeats, least
+
+
+def fit_distance(item, text) -> tuple[int, int]:
     """Smallest edit distance of item to a substring of text, and where the first such ends. Bit-parallel over
-    the item, one step per character of the text."""
+    the item, one step per symbol of the text."""
     m = len(item)
     if not m:
         return 0, 0
     full, top = (1 << m) - 1, 1 << (m - 1)
-    eq: dict[str, int] = {}
+    eq: dict = {}
     for i, c in enumerate(item):
         eq[c] = eq.get(c, 0) | 1 << i
     up, down, score, best, at = full, 0, m, m, 0
@@ -114,170 +185,230 @@ def fit_distance(item: str, text: str) -> tuple[int, int]:
     return best, at
 
 
-def item_index(items: DataFrame, o: CgkOptions) -> DataFrame:
-    """(sig, repeat, item_id, at, size): windows of each item from each word that leaves half a walk, and from `stride`
-    words at least if it has two strides; `repeat` numbers the repeats and numbers of samples, size is the item's words."""
-    reachable(items.sparkSession)
-    kinds = (("sig", pa.int64()), ("repeat", pa.int32()), ("item_id", pa.int64()), ("at", pa.int64()), ("size", pa.int64()))
-    schema = pa.schema(kinds)
-
-    def run(batches):
-        w = Walker(o)
-        for b in batches:
-            columns: list[list[np.ndarray]] = [[] for _ in kinds]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = w.words((t or "").encode("utf-8", "surrogatepass"))
-                n = len(words)
-                if not n or i is None:
-                    continue
-                starts = np.arange(max(o.stride if n >= 2 * o.stride else 1, n - o.depth // 2), dtype=np.int64)
-                hashes, inside = w.signatures(words, starts, np.full(len(starts), n))
-                for r, before in enumerate(inside):
-                    code = r * (o.samples + 1) + before
-                    h = np.array([hashes[k][x] for x, k in enumerate(code)], np.uint64)
-                    for c, v in zip(columns, (h.view(np.int64), code.astype(np.int32), np.full(len(h), i), starts, np.full(len(h), n))):
-                        c.append(v)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "sig long, repeat int, item_id long, at long, size long").distinct()
-
-
-def _windows(column, w: Walker, stride: int, codes: list[int]):
-    """Signatures of windows at every stride-th word of some texts: row, word place, (code, hashes) of the given codes."""
-    raw, off = text_bytes(column)
-    parts = [w.words(raw[off[i] : off[i + 1]].tobytes()) for i in range(len(off) - 1)]
-    n = np.array([len(p) for p in parts], np.int64)
-    base = np.r_[0, np.cumsum(n)]
-    per = -(-n // stride)
-    row = np.repeat(np.arange(len(n)), per)
-    place = (np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)) * stride
-    words = np.concatenate(parts) if len(parts) else np.empty(0, np.uint64)
-    hashes = w.signatures(words, base[row] + place, base[row + 1])[0] if len(row) else []
-    return row, place, [(c, hashes[c]) for c in codes] if len(row) else []
-
-
-def _word_starts(text: str) -> np.ndarray:
-    """Character places where words start."""
-    raw = text.encode("utf-8", "surrogatepass")
-    word = np.frombuffer(raw.translate(_WORD), np.uint8) != 32
-    if not len(word):
-        return np.empty(0, np.int64)
-    chars = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80) - 1
-    return chars[np.flatnonzero(word & ~np.r_[False, word[:-1]])]
-
-
-def _regions(text: str, hits, o: CgkOptions):
-    """(item_id, lo, region) around the hits (item_id, shift, size): words of the item, edits and a little more on
-    either side; hits of one item that lie within one another's region share it."""
-    starts = _word_starts(text)
-    spans: dict[int, list[list[int]]] = {}
-    for item, shift, size in sorted(hits):
-        more = int(o.max_edits * size) + 4
-        lo, hi = max(0, shift - more), shift + size + more
-        own = spans.setdefault(item, [])
-        if own and lo <= own[-1][0] + more:
-            own[-1][1] = max(own[-1][1], hi)
-        else:
-            own.append([lo, hi])
-    for item, own in spans.items():
-        for lo, hi in own:
-            a = 0 if lo == 0 else int(starts[min(lo, len(starts) - 1)])
-            z = int(starts[hi]) if hi < len(starts) else len(text)
-            yield item, a, text[a:z]
-
-
-_REGION = "doc_id long, item_id long, lo long, region string"
-_REGION_ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("lo", pa.int64()), ("region", pa.string())])
-
-
-def candidates(docs: DataFrame, index: DataFrame, o: CgkOptions) -> DataFrame:
-    """(doc_id, item_id, lo, region): where signatures of a text and an item meet.
-
-    The index is broadcast while it has at most broadcast_rows rows (40 bytes each); beyond that
-    signatures are joined by a shuffle.
-    """
-    parts = index.groupBy("repeat").agg(F.count("*").alias("rows"), F.min("size").alias("least")).collect()  # a row for each number of samples
-    rows, codes = sum(p["rows"] for p in parts), sorted(p["repeat"] for p in parts)
-    stride = 1 if parts and min(p["least"] for p in parts) < 2 * o.stride else o.stride
-    if rows > o.broadcast_rows:
-        return _shuffled(docs, index, o, stride, codes)
-    table = index.toArrow()
-    sig, repeat, item, at, size = (table.column(k).to_numpy() for k in range(5))
-    order = np.lexsort((item, repeat, sig))
-    bits = 1 << max(16, (rows * 16).bit_length())
-    seen = np.zeros(bits, bool)
-    seen[(sig.view(np.uint64) % np.uint64(bits)).astype(np.int64)] = True
-    sent = docs.sparkSession.sparkContext.broadcast((sig[order], repeat[order], item[order], at[order], size[order], np.packbits(seen)))
-
-    def run(batches):
-        sig, repeat, item, at, size, packed = sent.value
-        seen, w = np.unpackbits(packed).astype(bool), Walker(o)
-        mod = np.uint64(len(seen))
-        for b in batches:
-            for lo, hi in slices(b.column(1), 2 << 20):
-                part = b.slice(lo, hi - lo)
-                row, place, hashes = _windows(part.column(1), w, stride, codes)
-                found: dict[int, set] = {}
-                for r, h in hashes:
-                    on = np.flatnonzero(seen[(h % mod).astype(np.int64)])
-                    s = h[on].view(np.int64)
-                    first, last = np.searchsorted(sig, s, "left"), np.searchsorted(sig, s, "right")
-                    for k in np.flatnonzero(last > first):
-                        for q in range(first[k], last[k]):
-                            if repeat[q] == r:
-                                found.setdefault(int(row[on[k]]), set()).add((int(item[q]), int(place[on[k]] - at[q]), int(size[q])))
-                ids, texts = part.column(0), part.column(1)
-                out = [(ids[i].as_py(), *x) for i in sorted(found) for x in _regions(texts[i].as_py(), found[i], o)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_REGION_ARROW)], schema=_REGION_ARROW)
-
-    return docs.mapInArrow(run, _REGION)
-
-
-def _shuffled(docs: DataFrame, index: DataFrame, o: CgkOptions, stride: int, codes: list[int]) -> DataFrame:
-    kinds = pa.schema([("sig", pa.int64()), ("repeat", pa.int32()), ("key", pa.int64()), ("place", pa.int64())])
-
-    def run(batches):
-        w = Walker(o)
-        for b in batches:
-            for lo, hi in slices(b.column(1), 2 << 20):
-                part = b.slice(lo, hi - lo)
-                row, place, hashes = _windows(part.column(1), w, stride, codes)
-                keys = part.column(2).to_numpy(zero_copy_only=False)
-                for r, h in hashes:
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), r, np.int32)), pa.array(keys[row]), pa.array(place)], schema=kinds)
-
-    def cut(batches):
-        for b in batches:
-            out = [(d, *x) for d, t, hits in zip(*(b.column(k).to_pylist() for k in range(3))) for x in _regions(t, {(h["item_id"], h["shift"], h["size"]) for h in hits}, o)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_REGION_ARROW)], schema=_REGION_ARROW)
-
-    # rows are told apart by id and text: an id may be null or repeated; null texts have no windows
-    own = docs.where("text is not null").select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    hashes = own.mapInArrow(run, "sig long, repeat int, key long, place long")
-    hits = hashes.join(index, ["sig", "repeat"]).groupBy("key").agg(F.collect_set(F.struct("item_id", (F.col("place") - F.col("at")).alias("shift"), "size")).alias("hits"))
-    return own.join(hits, "key").select("doc_id", "text", "hits").mapInArrow(cut, _REGION)
+def fit_many(items: list[bytes], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """fit_distance of many pairs at once: a row of 64-bit words for each 64 symbols of the items, a column for each pair."""
+    number = {x: k for k, x in enumerate(dict.fromkeys(items))}
+    wide = max(1, -(-max(map(len, items)) // 64))
+    eq = np.zeros((wide, len(number), 256), np.uint64)
+    for x, k in number.items():
+        for i, c in enumerate(x):
+            eq[i >> 6, k, c] |= np.uint64(1 << (i & 63))
+    u, m = np.array([number[x] for x in items]), np.array([len(x) for x in items])
+    n = np.array([len(t) for t in texts])
+    grid = np.zeros((int(n.max()), len(texts)), np.uint8)
+    for k, t in enumerate(texts):
+        grid[: len(t), k] = np.frombuffer(t, np.uint8)
+    word, bit, one = (m - 1) >> 6, ((m - 1) & 63).astype(np.uint64), np.uint64(1)
+    each, high = np.arange(len(m)), np.uint64(63)
+    up, down = np.full((wide, len(m)), ~np.uint64(0)), np.zeros((wide, len(m)), np.uint64)
+    score, best, at = m.copy(), m.copy(), np.zeros(len(m), np.int64)
+    for k, c in enumerate(grid):
+        x = eq[:, u, c] | down
+        t = x & up
+        d = t + up
+        over = d < t  # carries go on to the next word
+        for w in range(1, wide):
+            d[w] += over[w - 1]
+            over[w] |= over[w - 1] & (d[w] == 0)
+        d = (d ^ up) | x
+        right, left = down | ~(d | up), d & up
+        score += ((right[word, each] >> bit) & one).astype(np.int64) - ((left[word, each] >> bit) & one).astype(np.int64)
+        out = right >> high, left >> high
+        right, left = right << one, left << one
+        right[1:] |= out[0][:-1]
+        left[1:] |= out[1][:-1]
+        up, down = left | ~(x | right), right & x
+        better = (score < best) & (k < n)
+        best[better], at[better] = score[better], k + 1
+    return best, at
+
+
+class Index:
+    """A block of items: symbols, q-grams, and per walk the sorted hashes with item and place."""
+
+    def __init__(self, ids: list[int], texts: list[bytes], o: CgkOptions):
+        found = {}
+        for i, t in zip(ids, texts):
+            n = _SYMBOL[np.frombuffer(t, np.uint8)]
+            if n.any():
+                found[i, n[n > 0].tobytes()] = n[n > 0]
+        self.o, self.ids = o, [i for i, _ in found]
+        self.items = list(found.values())
+        self.sizes = np.array([len(x) for x in self.items], np.int64)
+        self.shares = np.zeros(len(self.items))
+        self.grams = np.zeros((len(self.items), BUCKETS // 8), np.uint8)
+        parts: dict[tuple, list] = {}
+        for k, x in enumerate(self.items):
+            if len(x) < o.least:
+                parts.setdefault((len(x), len(x), 0, 0), []).append((k, x, np.zeros(1, np.int64)))
+                continue
+            steps, samples, grid, repeats, self.shares[k] = plan_for(max(c for c in CLASSES if c <= max(len(x), CLASSES[0])), o)
+            held = np.zeros(BUCKETS, bool)
+            held[gram_buckets(x, o.gram)] = True
+            self.grams[k] = np.packbits(held)
+            for r in range(repeats):
+                parts.setdefault((steps, samples, r, grid), []).append((k, x, np.arange(len(x))))
+        self.tables = {}  # by (steps, samples, repeat, grid); grid 0: starts of words
+        for kind, rows in parts.items():
+            base = np.cumsum([0, *(len(x) + 1 for _, x, _ in rows[:-1])])
+            every = np.concatenate([np.append(x, 0) for _, x, _ in rows]).astype(np.uint8)
+            at = np.concatenate([s for _, _, s in rows])
+            item = np.repeat([k for k, _, _ in rows], [len(s) for _, _, s in rows])
+            h, last = walk_of(*kind[:3], o.seed).run(every, at + np.repeat(base, [len(s) for _, _, s in rows]))
+            h, item, at = h[last > 0], item[last > 0], at[last > 0]  # a walk beyond an item's end would meet the ends of texts
+            order = np.lexsort((at, item, h))
+            seen = np.zeros(1 << max(16, (16 * len(h)).bit_length()), bool)
+            seen[(h & np.uint64(len(seen) - 1)).astype(np.int64)] = True
+            self.tables[kind] = h[order], item[order].astype(np.int32), at[order].astype(np.int32), np.packbits(seen)
+
+    def hits(self, s: np.ndarray, place: np.ndarray, first: np.ndarray, most: int = 1 << 16):
+        """Met windows of texts of symbols s: arrays (item, start of the window in s), bounded parts."""
+        new = np.r_[True, place[1:] != place[:-1] + 1]
+        new[first[:-1]] = True  # words start here
+        new |= s == 0
+        own = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
+        walked: dict[tuple, tuple] = {}
+        for kind, (h, item, at, packed) in sorted(self.tables.items()):  # of one walk the finest grid comes first
+            if not kind[3]:
+                starts = np.flatnonzero(new & (s > 0))
+                ends = starts + kind[0]
+                starts = starts[ends < len(s)]
+                starts = starts[new[starts + kind[0]]]
+                got = walk_of(*kind[:3], self.o.seed).hashes(s, starts)
+            elif kind[:3] in walked:  # each grid is part of the finer ones
+                starts, got = walked[kind[:3]]
+                on = own[starts] % kind[3] == 0
+                starts, got = starts[on], got[on]
+            else:
+                starts = np.flatnonzero((own % kind[3] == 0) & (s > 0))
+                got = walk_of(*kind[:3], self.o.seed).hashes(s, starts)
+                walked[kind[:3]] = starts, got
+            bit = (got & np.uint64(8 * len(packed) - 1)).astype(np.int64)
+            on = np.flatnonzero(packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
+            lo, hi = np.searchsorted(h, got[on], "left"), np.searchsorted(h, got[on], "right")
+            n = hi - lo
+            on, lo, n = on[n > 0], lo[n > 0], n[n > 0]
+            ends = np.cumsum(n)
+            for a in range(0, int(ends[-1]) if len(ends) else 0, most):  # postings of frequent hashes, part by part
+                each = np.arange(a, min(a + most, int(ends[-1])))
+                k = np.searchsorted(ends, each, "right")
+                p = lo[k] + each - (ends[k] - n[k])
+                yield item[p], starts[on[k]] - at[p]
+
+    def verified(self, s: np.ndarray, place: np.ndarray, first: np.ndarray):
+        """(row, item, distance, symbols, end in raw) of the best match of each text and item."""
+        cuts = first[1:] - 1
+        buckets = gram_buckets(np.append(s, np.zeros(self.o.gram, np.uint8)), self.o.gram)
+        wanted: dict[tuple[int, int], set] = {}
+        for item, start in self.hits(s, place, first):
+            keys = np.unique(item.astype(np.int64) << 32 | start + (1 << 31))  # by item, then by place
+            item, start = keys >> 32, (keys & (1 << 32) - 1) - (1 << 31)
+            row = np.searchsorted(first, np.clip(start + self.sizes[item] // 2, 0, len(s) - 1), "right") - 1
+            cut = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
+            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):  # windows of an item share its table and size
+                k, x, r = int(item[a]), start[a:z], row[a:z]
+                if self.shares[k]:
+                    grams = asked_grams(int(self.sizes[k]), self.o)
+                    held = np.unpackbits(self.grams[k])
+                    ok = []
+                    for part in range(0, z - a, 1 << 14):
+                        at = x[part : part + (1 << 14), None] + grams
+                        inside = (at >= first[r[part : part + (1 << 14)], None]) & (at < cuts[r[part : part + (1 << 14)], None])
+                        got = held[buckets[np.clip(at, 0, len(buckets) - 1)]] & inside
+                        ok.append(got.sum(axis=1) >= self.shares[k] * len(grams))
+                    on = np.concatenate(ok)
+                    x, r = x[on], r[on]
+                for q, y in zip(r.tolist(), x.tolist()):
+                    wanted.setdefault((q, k), set()).add(y)
+        spans: list[list[int]] = []
+        for (r, k), starts in sorted(wanted.items()):
+            edits, n = self.edits(k), int(self.sizes[k])
+            for x in sorted(starts):
+                lo, hi = max(int(first[r]), x - edits), min(int(cuts[r]), x + n + edits)
+                if spans and spans[-1][:2] == [r, k] and lo <= spans[-1][2] + 2 * edits:
+                    spans[-1][3] = max(spans[-1][3], hi)
+                else:
+                    spans.append([r, k, lo, hi])
+        spans.sort(key=lambda x: self.sizes[x[1]])  # pairs of like size go together
+        found: dict[tuple[int, int], tuple] = {}
+        for a in range(0, len(spans), 1024):
+            part = spans[a : a + 1024]
+            for (r, k, lo, _), d, end in zip(part, *fit_many([self.items[k].tobytes() for _, k, _, _ in part], [s[lo:hi].tobytes() for _, _, lo, hi in part])):
+                if d <= self.edits(k):
+                    found[r, k] = min(found.get((r, k), (d, np.inf)), (int(d), int(place[lo + end - 1]) + 1))
+        for (r, k), (d, end) in sorted(found.items()):
+            yield r, k, d, int(self.sizes[k]), end
+
+    def edits(self, item: int) -> int:
+        return int(self.o.max_edits * self.sizes[item]) if self.sizes[item] >= self.o.least else 0
+
+
+_FOUND = "doc_id long, item_id long, distance long, item_symbols long, ends_at long"
+
+
+def _blocks(items: DataFrame, o: CgkOptions):
+    """Blocks of items (ids, texts) of about block_symbols bytes; items are told apart by id and text."""
+    known = items.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item")).where("item_id is not null and item is not null").distinct()
+    total = known.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
+    count = -(-total // o.block_symbols)
+    for k in range(count):
+        t = known.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(count)) == k).toArrow()
+        yield t.column(0).to_pylist(), [x.encode("utf-8", "surrogatepass") for x in t.column(1).to_pylist()]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, o: CgkOptions | None = None) -> DataFrame:
-    """(doc_id, item_id, distance, item_chars, ends_at): passages of items in docs(doc_id, text), one row per pair."""
+    """(doc_id, item_id, distance, item_symbols, ends_at): passages of items in docs(doc_id, text), one row per pair;
+    ends_at is the place in the text, in bytes of UTF-8, where the first best match ends."""
     o = o or CgkOptions()
-    reachable(docs.sparkSession)
-    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = candidates(named, stored(item_index(items, o), "items"), o)
-    known = items.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item")).where("item is not null").distinct()
-    schema = pa.schema([(x, pa.int64()) for x in ("doc_id", "item_id", "distance", "item_chars", "ends_at")])
-
-    def verify(batches):
-        for b in batches:
-            rows = []
-            for d, i, lo, region, item in zip(*(b.column(k).to_pylist() for k in range(5))):
-                distance, at = fit_distance(item, region)
-                if distance <= o.max_edits * len(item):
-                    rows.append((d, i, distance, len(item), lo + at))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], schema=schema)
-
-    checked = found.join(known, "item_id").select("doc_id", "item_id", "lo", "region", "item").mapInArrow(verify, "doc_id long, item_id long, distance long, item_chars long, ends_at long")
-    best = checked.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "ends_at", "item_chars")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.distance").alias("distance"), F.col("b.item_chars").alias("item_chars"), F.col("b.ends_at").alias("ends_at"))
+    spark = reachable(docs.sparkSession)
+    named = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in _FOUND.split(", ")])
+
+    def against(ids, texts):
+        sent = spark.sparkContext.broadcast(Index(ids, texts, o))
+
+        def run(batches):
+            index = sent.value
+            for b in batches:
+                for lo, hi in slices(b.column(1), 1 << 19):
+                    raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
+                    raw, off = raw[off[0] : off[-1]], off - off[0]
+                    s, place, first = symbols_of(raw, off[:-1], off[1:])
+                    got = list(index.verified(s, place, first))
+                    if got:
+                        row = np.array([g[0] for g in got])
+                        own = b.column(0).take(pa.array(lo + row))
+                        end = np.array([g[4] for g in got]) - off[row]
+                        columns = [[index.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got], end]
+                        yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+
+        return named.mapInArrow(run, _FOUND)
+
+    found = spark.createDataFrame([], _FOUND)
+    for ids, texts in _blocks(items, o):
+        found = found.unionAll(against(ids, texts))
+    best = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "ends_at", "item_symbols")).alias("b"))
+    return best.select("doc_id", "item_id", F.col("b.distance").alias("distance"), F.col("b.item_symbols").alias("item_symbols"), F.col("b.ends_at").alias("ends_at"))
+
+
+def brute_contaminated(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], o: CgkOptions | None = None) -> dict[tuple[int, int], int]:
+    """(doc, item) -> distance of every pair within the bound, for small fixtures: no candidate search. Items of fewer
+    than `least` symbols are exact runs of whole words."""
+    o, out = o or CgkOptions(), {}
+
+    def words(t):
+        a = _SYMBOL[np.frombuffer((t or "").encode("utf-8", "surrogatepass"), np.uint8)]
+        return bytes(a).replace(b"\0", b" ").split()
+
+    held = [(i, words(t)) for i, t in items if i is not None]
+    for d, t in docs:
+        mine = words(t)
+        for i, w in held:
+            item = b"".join(w)
+            if len(item) >= o.least:
+                distance = fit_distance(item, b"".join(mine))[0]
+                if distance <= int(o.max_edits * len(item)):
+                    out[d, i] = min(distance, out.get((d, i), distance))
+            elif item and any(b"".join(mine[a:z]) == item for a in range(len(mine)) for z in range(a + 1, min(len(mine), a + len(item)) + 1)):
+                out[d, i] = 0
+    return out

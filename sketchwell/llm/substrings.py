@@ -17,6 +17,10 @@ times. Instead:
    no more than `most` share a rank. So no task ever gathers an unbounded group.
 4. Starts become runs, runs become covered spans, texts lose them.
 
+Beside the bytes, `shared_passages` tells which texts hold a passage of over 50 words (runs of bytes that aren't
+ASCII white space, as written) that another text holds too, however few bytes it has: the same owners, over ranks
+of words instead of bytes; stretches that differ are compared window by window.
+
 Null and empty texts have no windows. Texts of any length (chunks that share length - 1 bytes).
 Repeated rows cover one another. Rows are told apart by a 64-bit hash of id and text, so repeated or null
 ids are separate texts. Matches never cross texts. Empty input: no rows.
@@ -25,6 +29,7 @@ ids are separate texts. Matches never cross texts. Empty input: no rows.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +69,10 @@ def gram_ranks(raw: np.ndarray, gram: int) -> np.ndarray:
     return h
 
 
-def owners(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int):
-    """For texts raw[starts:ends]: (text, place, first, last, gram rank) of each owner and the window starts it owns."""
-    n = len(raw)
-    h = gram_ranks(raw, gram)
+def owners(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    """For texts from starts to ends, with the rank of the gram at each place: (text, place, first, last, gram rank) of
+    each owner and the window starts it owns."""
+    n = len(h)
     packed = (h >> POS << POS) | np.arange(n, dtype=np.uint64)
     reach, span = length - gram + 1, 1
     while span < reach:  # least of `reach` places, by doubling
@@ -154,7 +159,7 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
         for b in batches:
             uid = b.column(0).to_numpy(zero_copy_only=False)
             for rows, shift, raw, starts, ends in _blocks(b.column(1), length, block):
-                text, at, first, last, rank = owners(raw, starts, ends, length, gram)
+                text, at, first, last, rank = owners(gram_ranks(raw, gram), starts, ends, length, gram)
                 if not len(at):
                     continue
                 data = raw.tobytes()
@@ -169,11 +174,7 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
     whole = own.join(known.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("uid", "first", "last")
     open_ = stored(known.where("kinds > 1").select("gram", "n", "kinds", "r.uid", "r.first", "r.last"), "open")
 
-    packed = spark.sparkContext.broadcast(id_filter(open_.select("uid").distinct(), "uid"))
-
-    def perhaps(batches):
-        for b in batches:
-            yield b.filter(pa.array(in_filter(packed.value, b.column(0).to_numpy(zero_copy_only=False))))
+    perhaps = _kept(open_.select("uid").distinct(), "uid")
 
     cut_schema = pa.schema([("gram", pa.int64()), ("single", pa.int64()), ("kinds", pa.int64()), ("uid", pa.int64()), ("first", pa.int64()), ("bytes", pa.binary())])
 
@@ -288,14 +289,140 @@ def _extended(size: int, more: int, length: int, gram: int):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for docs(doc_id, text)."""
+_SPACE = re.compile(rb"\s")
+
+
+class Words:
+    """Texts -> 64-bit ranks of their words; ranks of longer runs by pairs of ranks at doubling offsets."""
+
+    def __init__(self, most: int = 1 << 17):
+        self.most, self.known = most, {}
+
+    def of(self, text: bytes, piece: int = 1 << 20) -> np.ndarray:
+        """A long text is split piece by piece: only ranks are held of all of it."""
+        parts, at = [], 0
+        while at < len(text):
+            cut = _SPACE.search(text, at + piece) if len(text) - at > piece else None
+            to = cut.start() if cut else len(text)
+            parts.append(self._ranks(text[at:to].split()))
+            at = to
+        return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+    def _ranks(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            if len(known) > self.most:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = xxhash.xxh3_64_intdigest(w)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
+def run_ranks(rank: np.ndarray, count: int) -> np.ndarray:
+    """A 64-bit rank of the `count` words from each place."""
+    size = 1
+    while size < count:
+        step = min(size, count - size)
+        rank = mix(rank * K1 + _then(rank, step))
+        size += step
+    return rank
+
+
+def _kept(ids: DataFrame, column: str):
+    """A batch filter: rows whose first column may be among the ids, by a filter of bounded size."""
+    packed = ids.sparkSession.sparkContext.broadcast(id_filter(ids, column))
+
+    def perhaps(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_filter(packed.value, b.column(0).to_numpy(zero_copy_only=False))))
+
+    return perhaps
+
+
+def shared_passages(named: DataFrame, words: int = 51, gram: int = 8, block: int = 1 << 20) -> DataFrame:
+    """(uid): texts that hold a passage of `words` words which is in another text too. named: (uid, text)."""
+    reachable(named.sparkSession)
+    kinds = "gram long, whole long, uid long, first long, last long"
+    schema = pa.schema([(c.split()[0], pa.int64()) for c in kinds.split(", ")])
+
+    def find(batches):
+        to = Words()
+        for b in batches:
+            uid = b.column(0).to_numpy(zero_copy_only=False)
+            for lo, hi in slices(b.column(1), block):
+                raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
+                parts = [to.of(raw[off[i] : off[i + 1]].tobytes()) for i in range(hi - lo)]
+                some = np.array([k for k, p in enumerate(parts) if len(p) >= words], np.int64)
+                if not len(some):
+                    continue
+                every = np.concatenate([parts[k] for k in some])
+                size = np.array([len(parts[k]) for k in some])
+                # a text of many words is cut into chunks that share words - 1 of them
+                for a in range(0, max(1, len(every) - words + 1), block) if len(some) == 1 else (0,):
+                    rank = every[a : a + block + words - 1] if len(some) == 1 else every
+                    ends = np.cumsum(size) if len(some) > 1 else np.array([len(rank)])
+                    starts = np.r_[0, ends[:-1]]
+                    text, _, first, last, h = owners(run_ranks(rank, gram), starts, ends, words, gram)
+                    data = memoryview(rank).cast("B")
+                    whole = np.fromiter((xxhash.xxh3_64_intdigest(data[8 * f : 8 * (t + words)]) for f, t in zip(first.tolist(), last.tolist())), np.uint64, len(first))
+                    move = a - starts[text]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), whole.view(np.int64), uid[lo + some[text]], first + move, last + move)], schema=schema)
+
+    own = stored(named.mapInArrow(find, kinds), "word-owners")
+    met = stored(own.groupBy("gram").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo <> hi").select("gram"), "met")
+    near = own.mapInArrow(_kept(met, "gram"), kinds).join(met, "gram", "left_semi")
+    classes = near.groupBy("gram", "whole").agg(F.min(F.struct("uid", "first", "last")).alias("r"), F.max("uid").alias("hi"))
+    classes = stored(classes.select("gram", "whole", "r.uid", "r.first", "r.last", (F.col("r.uid") != F.col("hi")).alias("many")), "word-classes")
+    equal = near.join(classes.where("many").select("gram", "whole"), ["gram", "whole"], "left_semi").select("uid")
+    several = classes.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
+    asked = stored(classes.join(several, "gram", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("first", "last", "many")).alias("asked")), "asked")
+    out = pa.schema([("window", pa.int64()), ("uid", pa.int64()), ("many", pa.bool_())])
+
+    def windows(batches):
+        to = Words()
+        for b in batches:
+            for i in range(len(b)):
+                rank, u = to.of(b.column(1)[i].as_buffer().to_pybytes()), b.column(0)[i].as_py()
+                first, last, many = (b.column(2)[i].values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                for a in range(0, len(rank), block):
+                    lo, hi = np.maximum(first, a), np.minimum(last, a + block - 1)
+                    n = np.maximum(hi - lo + 1, 0)
+                    if n.any():
+                        at = np.repeat(lo - a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                        part = run_ranks(rank[a : a + block + words - 1], words)
+                        yield pa.RecordBatch.from_arrays([pa.array(part[at].view(np.int64)), pa.array(np.full(len(at), u)), pa.array(np.repeat(many, n))], schema=out)
+
+    texts = named.mapInArrow(_kept(asked.select("uid"), "uid"), "uid long, text string").join(asked, "uid")
+    seen = stored(texts.mapInArrow(windows, "window long, uid long, many boolean"), "windows")
+    twice = seen.groupBy("window").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi"), F.max("many").alias("many")).where("lo <> hi or many").select("window")
+    return equal.unionAll(seen.join(twice, "window", "left_semi").select("uid")).distinct()
+
+
+def brute_shared(texts: list[bytes], words: int = 51) -> list[bool]:
+    """Which texts hold a passage of another text, for small fixtures. Equal texts are different ones."""
+    seen: dict[tuple, set[int]] = {}
+    for k, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - words + 1):
+            seen.setdefault(tuple(w[i : i + words]), set()).add(k)
+    held = set().union(*(v for v in seen.values() if len(v) > 1))
+    return [k in held for k in range(len(texts))]
+
+
+def without_repeats(docs: DataFrame, length: int = 400, words: int = 51) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage) for docs(doc_id, text). shares_passage: 1 if
+    a passage of `words` words is in another text too, however few bytes it has, else 0; nothing is removed for it."""
     spark = reachable(docs.sparkSession)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select(F.xxhash64("doc_id", "text").alias("uid"), "doc_id", "text")
     runs = stored(repeated_starts(named.select("uid", "text"), length), "runs")
-    spans = runs.groupBy("uid").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    shared = shared_passages(named.select("uid", "text"), words)
+    marks = runs.select("uid", F.struct("first", "last").alias("span"), F.lit(0).alias("shared"))
+    marks = marks.unionAll(shared.select("uid", F.lit(None), F.lit(1)))
+    marks = stored(marks.groupBy("uid").agg(F.collect_set("span").alias("spans"), F.max("shared").alias("shared")), "marks")
     packed = spark.sparkContext.broadcast(id_filter(runs.select("uid").distinct(), "uid"))
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("shares_passage", pa.int32())])
 
     def touched(batches):
         """Whole texts without repeats are done here; the others keep their bytes for the join."""
@@ -321,14 +448,15 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                         np.add.at(mark, found.values.field(1).to_numpy(zero_copy_only=False) + length, -1)
                     gone = np.cumsum(mark[:n]) > 0
                     kept = data[~gone]
-                    rows.append((b.column(0)[i].as_py(), n, int(gone.sum()), int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]])), hashlib.sha256(kept).hexdigest()))
+                    rows.append((b.column(0)[i].as_py(), n, int(gone.sum()), int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]])), hashlib.sha256(kept).hexdigest(), b.column(5)[i].as_py()))
                 else:
-                    rows.append((b.column(0)[i].as_py(), n, 0, 0, b.column(2)[i].as_py()))
+                    rows.append((b.column(0)[i].as_py(), n, 0, 0, b.column(2)[i].as_py(), b.column(5)[i].as_py()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
     first = named.mapInArrow(touched, "uid long, doc_id long, n_bytes long, sum string, raw binary")
-    return first.join(spans, "uid", "left").select("doc_id", "n_bytes", "sum", "raw", "spans").mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    both = first.join(marks, "uid", "left").select("doc_id", "n_bytes", "sum", "raw", "spans", F.coalesce("shared", F.lit(0)).alias("shared"))
+    return both.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, shares_passage int")
 
 
 def brute_removed(texts: list[bytes], length: int = 400) -> list[np.ndarray]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,6 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sketchwell.llm.common import reachable, slices
 
@@ -175,17 +175,15 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = No
 
 
 def score(docs: DataFrame, model: CompressionModel, out: str = "toxicity") -> DataFrame:
-    """docs with a column of scores from 0 to 1, in place of one of that name; no shuffle, whole texts."""
+    """docs with a column of scores from 0 to 1, in place of one of that name; no shuffle, whole texts.
+
+    Only texts go to the workers and only scores come back; the other columns stay where they are."""
     reachable(docs.sparkSession)
-    docs = docs.drop(out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for b in batches:
-            for lo, hi in slices(b.column(at), 2 << 20):
-                part = b.slice(lo, hi - lo)
-                s = pa.array(model.scores(part.column(at).to_pylist()), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, s], names=[*b.schema.names, out])
-
-    return docs.mapInArrow(run, schema)
+
+    @F.arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            found = [model.scores(column.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(column, 2 << 20)]
+            yield pa.array([x for part in found for x in part], pa.float64())
+
+    return docs.withColumn(out, scored(F.col("text").cast("string")))
