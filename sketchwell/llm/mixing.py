@@ -6,12 +6,15 @@ gives all, and its shortage goes to its siblings by their weights (water filling
 more than its leaves hold, a shortage is met by siblings before it reaches an ancestor's siblings.
 
 A leaf with budget b and s tokens yields b div s whole epochs; of the next, a prefix of its seeded
-order with at most b mod s tokens. Orders come from md5(seed:epoch:doc_id), so a leaf of any size is
-cut by sums over 4096 key ranges and one window over the range that holds the cut.
-
-Nulls in text are empty texts of one token; in lang or source a group of their own, "(none)". Rows of
-one id sort by tokens after their common key; equal rows are interchangeable. Empty input: no rows. Budgets are
-floored: at most one token per child is lost. Only DataFrame functions; no Python on executors.
+order with at most b mod s tokens. Orders come from md5(seed:epoch:doc_id:md5(text)), so a leaf of any size is
+cut by sums over 4096 key ranges and one window over the keys of the range that holds the cut. Rows with one key are
+counted before that; where the cut falls among them, as many are taken as fit.
+
+Nulls in text are empty texts of one token; in lang or source a group of their own, "(none)". Repeated and null
+ids are rows like others: those of other texts have keys of their own, rows equal in id and text are
+interchangeable, and no leaf ever gives more than its budget. Empty input: no rows. Budgets are
+floored: at most one token per child is lost. Columns named mix_* are replaced, other extra columns kept as they are.
+Only DataFrame functions; no Python on executors.
 """
 
 from __future__ import annotations
@@ -95,22 +98,33 @@ def mixed(docs: DataFrame, o: MixOptions | None = None) -> DataFrame:
     rows = labelled(docs)
     leaf = budgets(rows, o).select(*LEVELS, F.expr("given div size").alias("mix_whole"), F.expr("given % size").alias("mix_rest"))
     leaf = stored(leaf, "budgets")
-    key = F.md5(F.concat_ws(":", F.lit(str(o.seed)), F.col("mix_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = rows.join(leaf, list(LEVELS)).withColumn("mix_key", key).withColumn("mix_range", F.substring("mix_key", 1, 3))
+    name = F.concat_ws(":", F.lit(str(o.seed)), F.col("mix_whole").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    keyed = rows.join(leaf, list(LEVELS)).withColumn("mix_key", F.md5(name.cast("binary"))).withColumn("mix_range", F.substring("mix_key", 1, 3))
     ranges = keyed.groupBy(*LEVELS, "mix_range", "mix_rest").agg(F.sum("mix_tokens").alias("t"))
     run = Window.partitionBy(*LEVELS).orderBy("mix_range").rowsBetween(Window.unboundedPreceding, 0)  # 4096 rows at most
     ends = ranges.withColumn("upto", F.sum("t").over(run))
     cut = stored(ends.where("upto > mix_rest and upto - t <= mix_rest").select(*LEVELS, "mix_range", (F.col("mix_rest") - (F.col("upto") - F.col("t"))).alias("room")), "cuts")
-    inside = keyed.select(*LEVELS, "mix_range", "mix_key", "doc_id", "mix_tokens").join(cut, [*LEVELS, "mix_range"])
-    order = Window.partitionBy(*LEVELS).orderBy("mix_key", F.col("doc_id").asc_nulls_first(), "mix_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("upto", F.sum("mix_tokens").over(order)).where("upto <= room").groupBy(*LEVELS).agg(F.max("mix_key").alias("mix_last"))
+    inside = keyed.join(F.broadcast(cut) if cut.count() <= 10_000 else cut, [*LEVELS, "mix_range"])
+    same = inside.groupBy(*LEVELS, "mix_range", "room", "mix_key").agg(F.first("mix_tokens").alias("t"), F.count("*").alias("n"))  # equal texts, equal tokens
+    upto = F.sum(F.col("t") * F.col("n")).over(Window.partitionBy(*LEVELS).orderBy("mix_key").rowsBetween(Window.unboundedPreceding, 0))
+    same = same.withColumn("before", upto - F.col("t") * F.col("n")).withColumn("fits", F.least(F.col("n"), F.expr("(room - before) div t")))
+    last = same.where("before <= room").groupBy(*LEVELS).agg(F.max(F.struct("mix_key", "fits", "n")).alias("at"))
+    last = last.select(*LEVELS, F.col("at.mix_key").alias("mix_last"), F.col("at.fits").alias("mix_fits"), F.col("at.n").alias("mix_n"))
     cut = stored(leaf.join(cut.drop("room"), list(LEVELS), "left").join(last, list(LEVELS), "left").withColumnRenamed("mix_range", "mix_cut"), "cuts")
-    chosen = rows.join(cut, list(LEVELS)).withColumn("mix_key", key)
+    chosen = rows.join(cut, list(LEVELS)).withColumn("mix_key", F.md5(name.cast("binary")))
     at = F.substring("mix_key", 1, 3)
-    first = F.when(F.col("mix_cut").isNull(), F.lit(False)).otherwise((at < F.col("mix_cut")) | F.coalesce((at == F.col("mix_cut")) & (F.col("mix_key") <= F.col("mix_last")), F.lit(False)))
-    times = F.col("mix_whole").cast("int") + F.when(first & (F.col("mix_rest") > 0), 1).otherwise(0)
-    out = chosen.withColumn("mix_times", times).where("mix_times > 0")
-    return out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1))).drop("mix_whole", "mix_rest", "mix_cut", "mix_last", "mix_key", "mix_times")
+    whole = (F.col("mix_key") < F.col("mix_last")) | ((F.col("mix_key") == F.col("mix_last")) & (F.col("mix_fits") == F.col("mix_n")))
+    first = F.when(F.col("mix_cut").isNull(), F.lit(False)).otherwise((at < F.col("mix_cut")) | F.coalesce((at == F.col("mix_cut")) & whole, F.lit(False)))
+    more = F.when(first & (F.col("mix_rest") > 0), 1).otherwise(0)
+    if cut.where("mix_fits > 0 and mix_fits < mix_n").limit(1).count():  # some of equal rows: only these are numbered
+        some = F.coalesce((F.col("mix_key") == F.col("mix_last")) & (F.col("mix_fits") > 0) & (F.col("mix_fits") < F.col("mix_n")), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy(*LEVELS).orderBy("mix_key"))
+        rest = chosen.where(~some).withColumn("mix_more", more)
+        chosen = rest.unionByName(chosen.where(some).withColumn("mix_more", F.when(nth <= F.col("mix_fits"), 1).otherwise(0)))
+    else:
+        chosen = chosen.withColumn("mix_more", more)
+    out = chosen.withColumn("mix_times", F.col("mix_whole").cast("int") + F.col("mix_more")).where("mix_times > 0")
+    return out.withColumn("mix_epoch", F.explode(F.sequence(F.lit(0), F.col("mix_times") - 1))).drop("mix_whole", "mix_rest", "mix_cut", "mix_last", "mix_fits", "mix_n", "mix_key", "mix_more", "mix_times")
 
 
 def oracle(o: MixOptions | None = None) -> str:
@@ -120,7 +134,7 @@ def oracle(o: MixOptions | None = None) -> str:
     def weight(name: str, weights: dict) -> str:
         return "CASE " + " ".join(f"WHEN {name} = '{k}' THEN {int(v)}" for k, v in sorted(weights.items())) + " ELSE 1 END" if weights else "1"
 
-    parts = [f"""r AS (SELECT doc_id, coalesce(source, '(none)') AS mix_source, coalesce(lang, '(none)') AS mix_lang,
+    parts = [f"""r AS (SELECT doc_id, coalesce(source, '(none)') AS mix_source, coalesce(lang, '(none)') AS mix_lang, text,
   CASE WHEN regexp_extract(coalesce(source, '(none)'), '([0-9]{{1,9}})$', 1) = '' THEN 'other' ELSE ['web', 'books', 'code', 'wiki'][1 + CAST(regexp_extract(source, '([0-9]{{1,9}})$', 1) AS BIGINT) % 4] END AS mix_domain,
   greatest(1, (coalesce(strlen(text), 0) + 3) // 4)::BIGINT AS mix_tokens FROM documents)""",
         f"leaf AS (SELECT mix_domain, mix_lang, mix_source, sum(mix_tokens)::HUGEINT AS size, sum(mix_tokens)::HUGEINT * {o.max_epochs} AS cap FROM r GROUP BY ALL)",
@@ -141,8 +155,8 @@ def oracle(o: MixOptions | None = None) -> str:
         above = list(LEVELS[: depth + 1])
     keys = ", ".join(LEVELS)
     parts += [
-        f"k AS (SELECT r.*, (b3.budget // leaf.size)::BIGINT AS whole_, (b3.budget % leaf.size)::BIGINT AS rest, md5('{o.seed}:' || (b3.budget // leaf.size)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS key_ FROM r JOIN leaf USING ({keys}) JOIN b3 USING ({keys}))",
-        f"c AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY {keys} ORDER BY key_, doc_id NULLS FIRST, mix_tokens ROWS UNBOUNDED PRECEDING) AS upto FROM k)",
+        f"k AS (SELECT r.*, (b3.budget // leaf.size)::BIGINT AS whole_, (b3.budget % leaf.size)::BIGINT AS rest, md5('{o.seed}:' || (b3.budget // leaf.size)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key_ FROM r JOIN leaf USING ({keys}) JOIN b3 USING ({keys}))",
+        f"c AS (SELECT *, sum(mix_tokens) OVER (PARTITION BY {keys} ORDER BY key_ ROWS UNBOUNDED PRECEDING) AS upto FROM k)",
         "t AS (SELECT *, whole_ + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END AS times FROM c)",
     ]
     return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, {keys}, mix_tokens, e::INTEGER AS mix_epoch FROM (SELECT *, unnest(range(times)) AS e FROM t)"

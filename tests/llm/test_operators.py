@@ -537,8 +537,44 @@ def test_mixing_repeats_epochs(spark):
     assert mixing.mixed(df, o).count() == 60
 
 
-def test_mixing_odd_rows(odd, none):
-    assert mixing.mixed(odd).count() > 0
+def brute_mixed(rows, o):
+    """Tokens and rows that each leaf gives, from its budget and the seeded order, row by row: for one leaf."""
+    size = lambda t: max(1, (len((t or "").encode()) + 3) // 4)
+    total = sum(size(t) for _, t in rows)
+    budget = min(total * o.share // 1000, total * o.max_epochs)
+    whole, rest = divmod(budget, total)
+    key = lambda r: hashlib.md5(f"{o.seed}:{whole}:{'' if r[0] is None else r[0]}:{hashlib.md5((r[1] or '').encode()).hexdigest()}".encode()).hexdigest()
+    out, used = [(r, e) for r in rows for e in range(whole)], 0
+    for r in sorted(rows, key=key):
+        used += size(r[1])
+        if used > rest:
+            break
+        out.append((r, whole))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("kind", ["null ids", "one id", "equal rows", "plain", "mixed"])
+@pytest.mark.parametrize("share", [60, 600, 1500])
+def test_mixing_equals_brute_force_and_keeps_its_budget(spark, kind, share):
+    rng = random.Random(kind)
+    text = lambda k: "t" * rng.randint(0, 90) if kind != "equal rows" else "x" * 40
+    ids = {"null ids": lambda k: None, "one id": lambda k: 7, "equal rows": lambda k: 7, "plain": lambda k: k, "mixed": lambda k: (None, 7, k)[k % 3]}[kind]
+    rows = [(ids(k), text(k)) for k in range(100)]
+    o = mixing.MixOptions(share=share, max_epochs=2)
+    df = spark.createDataFrame([(*r, "en", "src0") for r in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    got = mixing.mixed(df, o).collect()
+    assert sorted(str(((r.doc_id, r.text), r.mix_epoch)) for r in got) == brute_mixed(rows, o)
+    assert sum(r.mix_tokens for r in got) <= sum(max(1, (len(t) + 3) // 4) for _, t in rows) * share // 1000
+
+
+def test_mixing_odd_rows(odd, odd_rows, none):
+    got = mixing.mixed(odd).collect()
+    count = {}
+    for r in got:
+        count[r.doc_id] = count.get(r.doc_id, 0) + 1
+    assert got and set(count) <= {i for i, _ in odd_rows} and max(count.values()) <= 4  # two rows of one id, two epochs
+    total = sum(max(1, (len((t or "").encode()) + 3) // 4) for _, t in odd_rows)
+    assert sum(r.mix_tokens for r in got) <= total * 600 // 1000
     assert mixing.mixed(none).count() == 0
     plan = mixing.mixed(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
