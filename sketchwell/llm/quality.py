@@ -2,13 +2,15 @@
 
 Two bags of hashed words and word pairs are counted: of the target (documents labelled good) and of
 the raw corpus (all documents). A document's log weight is the log ratio of its probabilities under
-the two smoothed models per n-gram, times `length`: longer texts are not favoured for being long.
+the two smoothed models: the sum over its n-grams. With `length` it is the mean times that number instead, so that
+longer texts don't weigh more either way.
 Adding Gumbel noise, seeded by doc_id, and keeping the k largest sums samples k documents without
 replacement in proportion to their weights. k is a share of the rows.
 
 Null and empty texts hold no n-gram: log weight 0. Repeated rows: the same key each; ties at the cut are broken by
 doc_id, and rows equal in both are kept alike. A null doc_id has noise of its own. Without target
-documents all weights are 0 (uniform sampling). Empty input: no rows. Whole texts of any length.
+documents all weights are 0 (uniform sampling). Empty input: no rows. Whole texts of any length. Columns other than
+id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from sketchwell.llm.common import mix, reachable, slices, stored, text_bytes
 
 @dataclass(frozen=True)
 class ResampleOptions:
-    """length: n-grams that a text counts as. keep: share of the rows that is sampled. smooth: added to each bucket.
+    """length: n-grams that a text counts as; None: as many as it has. keep: share of the rows that is sampled. smooth: added to each bucket.
     Up to broadcast_ids target ids are broadcast; more are joined by a shuffle."""
 
     buckets: int = 1 << 16
-    length: float = 64.0
+    length: float | None = None
     keep: float = 0.5
     smooth: float = 1.0
     seed: int = 3
@@ -142,7 +144,7 @@ def weighed(docs: DataFrame, ratio: np.ndarray, o: ResampleOptions) -> DataFrame
             for lo, texts in _texts(b, 1):
                 for i, t in enumerate(texts, lo):
                     g = to.of(t)
-                    w[i] = o.length * r[g].mean() if len(g) else 0.0
+                    w[i] = (r[g].sum() if o.length is None else o.length * r[g].mean()) if len(g) else 0.0
             yield pa.RecordBatch.from_arrays([ids, pa.array(w), pa.array(w - np.log(-np.log(u)))], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, log_weight double, key double")

@@ -437,12 +437,51 @@ def test_quality_prefers_the_target(spark):
     got = {r.doc_id: r for r in queries.op8_quality(spark, folder).collect()}
     labels = pq.read_table(f"{folder}/labels.parquet").to_pylist()
     share = lambda v: np.mean([got[r["doc_id"]].kept for r in labels if r["quality"] == v])
-    assert share(1) > 0.7 and share(0) < 0.1
+    assert share(1) > 0.7 and share(0) < 0.1, (share(1), share(0))
     assert sum(r.kept for r in got.values()) == len(got) // 2
     cut = sorted((r.key for r in got.values()), reverse=True)[len(got) // 2 - 1]
     assert all(r.kept == (r.key >= cut) for r in got.values())
 
 
+@pytest.mark.parametrize("length", [None, 64.0])
+def test_quality_equals_brute_force(spark, length):
+    import xxhash
+
+    rows = [(r["doc_id"], r["text"]) for r in table("documents", "doc_id", "text")][:120] + [(None, "some words of it"), (3, None), (5, "")]
+    good = {r["doc_id"] for r in table("labels") if r["quality"] == 1}
+    o = quality.ResampleOptions(buckets=512, length=length)
+    m = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+        return h ^ h >> 31
+
+    def grams(t):
+        w = [xxhash.xxh3_64_intdigest(x) for x in (t or "").encode().lower().split()]
+        return [x % 512 for x in w] + [mixed((a * 0x9E3779B97F4A7C15 + b) & m) % 512 for a, b in zip(w, w[1:])]
+
+    raw, target = [0] * 512, [0] * 512
+    for i, t in rows:
+        for g in grams(t):
+            raw[g] += 1
+            target[g] += i in good
+    q = [(r + 1) / (sum(raw) + 512) for r in raw]
+    p = [(t + 512 * x) / (sum(target) + 512) for t, x in zip(target, q)]
+    want = {}
+    for i, t in rows:
+        r = [np.log(p[g]) - np.log(q[g]) for g in grams(t)]
+        w = (sum(r) if length is None else length * sum(r) / len(r)) if r else 0.0
+        u = mixed((mixed(((-1 if i is None else i) + 3 * 0x9E3779B97F4A7C15) & m) + (i is None)) & m)
+        want.setdefault(i, []).append((w, w - np.log(-np.log(((u >> 11) + 0.5) / (1 << 53)))))
+    got = quality.resample(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(i,) for i in good], "doc_id long"), o).collect()
+    cut = sorted((k for v in want.values() for _, k in v), reverse=True)[len(rows) // 2 - 1]
+    assert len(got) == len(rows)
+    for r in got:
+        w, k = min(want[r.doc_id], key=lambda x: abs(x[1] - r.key))
+        assert (r.log_weight, r.key) == pytest.approx((w, k)) and r.kept == (k >= cut - 1e-9)
+
+
 def test_quality_odd_rows(spark, odd, none):
     good = spark.createDataFrame([(9,), (None,), (11,)], "doc_id long")
     rows = quality.resample(odd, good).collect()
