@@ -2,15 +2,16 @@ r"""Chat formatting by prefix-target expansion.
 
 Template: a turn is <|ROLE|>TEXT<|/|>. In roles and texts five characters are escaped, so that no
 control string of this or another template of angle or square brackets is left inside:
-\ is \e, < is \l, > is \g, [ is \b and ] is \d.
+\ is \e, < is \l, > is \g, [ is \b and ] is \d; in roles / is \s too, as <|/|> ends a turn.
 
 Each assistant turn is an example of its own: the formatted conversation up to and with that reply;
 only the reply is trainable. As an example is a prefix of the formatted conversation, a conversation
 is put together once and cut per reply.
 
 Turns are ordered by turn (nulls first), role and text. Null roles and texts are empty; a null conv_id is
-a conversation. Repeated rows are turns of their own. Conversations without a reply give no example.
-Only DataFrame functions.
+a conversation. Repeated rows are turns of their own. Conversations without a reply give no example. Empty input: no
+rows. Texts of any length; a conversation is one row, put together in one task. Columns other than these four are
+ignored. Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -21,15 +22,17 @@ from pyspark.sql import functions as F
 #: Characters and what stands for them, the escape itself first. Fixed values.
 ESCAPES = [("\\", "\\e"), ("<", "\\l"), (">", "\\g"), ("[", "\\b"), ("]", "\\d")]
 
+ROLE_ESCAPES = [*ESCAPES, ("/", "\\s")]
 
-def escaped(c: Column) -> Column:
-    for a, b in ESCAPES:
+
+def escaped(c: Column, escapes: list[tuple[str, str]] = ESCAPES) -> Column:
+    for a, b in escapes:
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
-def unescaped(c: Column) -> Column:
-    for a, b in reversed(ESCAPES):
+def unescaped(c: Column, escapes: list[tuple[str, str]] = ESCAPES) -> Column:
+    for a, b in reversed(escapes):
         c = F.replace(c, F.lit(b), F.lit(a))
     return c
 
@@ -37,7 +40,7 @@ def unescaped(c: Column) -> Column:
 def formatted(turns: DataFrame, trained: str = "assistant") -> DataFrame:
     """(conv_id, formatted, spans): spans are places (start, chars) of the replies, from 0."""
     t = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    head = F.concat(F.lit("<|"), escaped(F.col("role")), F.lit("|>"))
+    head = F.concat(F.lit("<|"), escaped(F.col("role"), ROLE_ESCAPES), F.lit("|>"))
     part = F.struct("turn", "role", "text", head.alias("head"), escaped(F.col("text")).alias("body"))
     held = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("t"))
     whole = F.concat_ws("", F.transform("t", lambda x: F.concat(x.head, x.body, F.lit("<|/|>"))))
@@ -61,7 +64,7 @@ def examples(form: DataFrame) -> DataFrame:
 def read_turns(text: Column) -> Column:
     """Array of (role, text) from formatted text."""
     pieces = F.filter(F.split(text, r"<\|"), lambda x: (x != "") & (x != "/|>"))
-    return F.transform(pieces, lambda x: F.struct(unescaped(F.substring_index(x, "|>", 1)).alias("role"), unescaped(x.substr(F.length(F.substring_index(x, "|>", 1)) + 3, F.length(x))).alias("text")))
+    return F.transform(pieces, lambda x: F.struct(unescaped(F.substring_index(x, "|>", 1), ROLE_ESCAPES).alias("role"), unescaped(x.substr(F.length(F.substring_index(x, "|>", 1)) + 3, F.length(x))).alias("text")))
 
 
 def digests(turns: DataFrame) -> DataFrame:
@@ -77,8 +80,8 @@ def digests(turns: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    def esc(c: str) -> str:
-        for a, b in ESCAPES:
+    def esc(c: str, escapes: list[tuple[str, str]] = ESCAPES) -> str:
+        for a, b in escapes:
             c = f"replace({c}, '{a}', '{b}')"
         return c
 
@@ -88,4 +91,4 @@ UNION ALL SELECT * FROM (VALUES (-7::BIGINT, 0::BIGINT, 'user', {said}), (-7::BI
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
 coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
 sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-sum(length({esc('role')}) + length({esc('text')}) + 9)::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
+sum(length({esc('role', ROLE_ESCAPES)}) + length({esc('text')}) + 9)::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""

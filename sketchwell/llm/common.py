@@ -27,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -127,7 +127,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b); nodes without edges are absent.
 
     Alternating large-star and small-star steps. Every step is a shuffle with partial
-    aggregation; hot nodes split by AQE's skew join. Nothing is gathered on the driver.
+    aggregation; hot nodes split by AQE's skew join. Nothing is gathered on the driver. Rounds grow with the
+    logarithm of the longest path; beyond most_rounds it fails instead of answering in part.
     """
     now = stored(edges.select("a", "b").where("a <> b").distinct(), "links")
     for _ in range(most_rounds):
@@ -144,4 +145,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = new
         if not left:
             break
+    else:
+        raise RuntimeError(f"components aren't finished after {most_rounds} rounds")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchwell.llm.common import reachable, slices, text_bytes
+from sketchwell.llm.common import reachable, slices, stored, text_bytes
 
 #: Magic bytes, as published with the formats. Fixed values.
 MAGIC = [
@@ -105,18 +105,27 @@ def _gif(d: bytes, at: int):
     return None
 
 
-def _pdf(d: bytes, at: int):
+def _next(d: bytes, pattern: bytes, at: int, memo: dict) -> int:
+    """d.find(pattern, at) for places that ascend: each pattern goes through the value once."""
+    since, found = memo.get(pattern, (len(d) + 1, -1))
+    if not (since <= at and (found < 0 or found >= at)):
+        found = d.find(pattern, at)
+        memo[pattern] = at, found
+    return found
+
+
+def _pdf(d: bytes, at: int, memo: dict):
     """PDF: a version, a cross-reference pointer and an end mark."""
     if not d[at + 5 : at + 6].isdigit():
         return None
-    ref = d.find(b"startxref", at)
-    end = d.find(b"%%EOF", ref) if ref >= 0 else -1
+    ref = _next(d, b"startxref", at, memo)
+    end = _next(d, b"%%EOF", ref, memo) if ref >= 0 else -1
     return ("application/pdf", at, end + 5) if end >= 0 else None
 
 
-def _zip(d: bytes, at: int):
+def _zip(d: bytes, at: int, memo: dict):
     """ZIP: an end record whose directory lies where it says."""
-    end = d.find(b"PK\x05\x06", at)
+    end = _next(d, b"PK\x05\x06", at, memo)
     if end < 0 or end + 22 > len(d):
         return None
     size, start, note = struct.unpack_from("<IIH", d, end + 12)
@@ -183,6 +192,8 @@ def _mp4(d: bytes, at: int):
 
 CHECKS = {"riff": _riff, "image/png": _png, "image/jpeg": _jpeg, "image/gif": _gif, "application/pdf": _pdf, "application/zip": _zip, "application/gzip": _gzip, "audio/ogg": _ogg, "audio/flac": _flac, "video/mp4": _mp4}
 
+SEEKING = ("application/pdf", "application/zip")
+
 
 def automaton():
     a = ahocorasick.Automaton()
@@ -194,9 +205,9 @@ def automaton():
 
 def sniff(data: bytes, a=None) -> list[tuple[str, int, int]]:
     """Valid media (type, from, to) by place, the outer before what it holds."""
-    found = []
+    found, memo = [], {}
     for last, (n, kind) in (a or automaton()).iter(data.decode("latin-1")):
-        got = CHECKS[kind](data, last - n + 1)
+        got = CHECKS[kind](data, last - n + 1, memo) if kind in SEEKING else CHECKS[kind](data, last - n + 1)
         if got:
             found.append(got)
     return sorted(set(found), key=lambda x: (x[1], -x[2], x[0]))
@@ -256,28 +267,54 @@ def wav_samples(data: bytes, start: int, end: int) -> tuple[bytes, int]:
     return b"", rate
 
 
-def stored_as_media(docs: DataFrame) -> DataFrame:
-    """Each text stored as WAVE samples, sniffed, carved and read back: the contract's columns and the found type."""
+def carved(media: DataFrame, value: str = "bytes", declared: str = "declared") -> DataFrame:
+    """(id, type, start, carved): a row for each medium embedded in a value of media(id, declared, bytes), with its bytes."""
+    places = sniffed(media, value, declared).select("id", F.explode("embedded").alias("e")).distinct()
+    return media.select("id", F.col(value).cast("binary").alias("v")).join(places, "id").select("id", "e.type", "e.start", F.expr("substring(v, int(e.start) + 1, int(e.length))").alias("carved"))
+
+
+def as_media(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, declared, bytes): each text as a WAVE file of 8-bit samples, padded to a multiple of 64."""
     reachable(docs.sparkSession)
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("declared", pa.string()), ("bytes", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for lo, hi in slices(b.column(1), 4 << 20):
+                raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
+                size = np.diff(off)
+                files = [to_wav(raw[off[i] : off[i + 1]].tobytes() + b"\0" * (max(64, -(-n // 64) * 64) - n)) for i, n in enumerate(size.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size), pa.array(["application/octet-stream"] * (hi - lo)), pa.array(files, pa.binary())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, declared string, bytes binary")
+
+
+def read_back(media: DataFrame) -> DataFrame:
+    """The contract's columns and the found type, from media(doc_id, n_bytes, declared, bytes)."""
+    reachable(media.sparkSession)
     kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
     schema = pa.schema(kinds)
 
-    def row(text: bytes, a) -> tuple:
-        media = to_wav(text + b"\0" * (max(64, -(-len(text) // 64) * 64) - len(text)))
-        kind, inner = corrected(media, "application/octet-stream", a)
-        payload, rate = wav_samples(media, 0, len(media)) if kind == "audio/wav" else (b"", 0)
+    def row(data: bytes, declared: str, a) -> tuple:
+        kind, inner = corrected(data, declared, a)
+        payload, rate = wav_samples(data, 0, len(data)) if kind == "audio/wav" else (b"", 0)
         s = np.frombuffer(payload, np.uint8)
-        level = int(s.astype(np.uint32).sum(dtype=np.uint64))
+        level = int(s.sum(dtype=np.uint64))
         turns = int(np.count_nonzero(np.diff((s >= 128).view(np.int8))))
         feature = f"{kind};{rate}Hz;u8;{len(s)} samples;mean {level / max(1, len(s)):.3f};crossings {turns};embedded {','.join(f'{k}@{x}+{y - x}' for k, x, y in inner) or '-'}"
-        return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature
 
     def run(batches):
         a = automaton()
         for b in batches:
-            for lo, hi in slices(b.column(1), 4 << 20):
-                raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
-                rows = [row(raw[off[i] : off[i + 1]].tobytes(), a) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds[1:]))], schema=schema)
+            for lo, hi in slices(b.column(3), 4 << 20):
+                part = b.slice(lo, hi - lo)
+                rows = [row(v.as_buffer().to_pybytes(), d, a) for v, d in zip(part.column(3), part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds[2:]))], schema=schema)
+
+    return media.select("doc_id", "n_bytes", "declared", "bytes").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+def stored_as_media(docs: DataFrame) -> DataFrame:
+    """Each text stored as a WAVE file in a media column, written; then read back, sniffed and measured."""
+    return read_back(stored(as_media(docs), "media", compression="zstd"))

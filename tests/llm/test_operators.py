@@ -276,10 +276,13 @@ def test_fit_many_equals_fit_distance():
 
 def test_licence_texts_are_found_whatever_their_dress(spark):
     mit = licenses.KNOWN[0][1]
+    bsd = next(t for n, t in licenses.KNOWN if n == "BSD-3-Clause")
+    owned = "Copyright Jane Doe 2020\nCopyright 2019 by Someone\n\n" + bsd.replace("\n", "\r\n").replace("copyright holder nor", "Copyright  Holder, nor")
     dressed = mit.upper().replace("LICENSE", "LICENCE").replace("<YEAR> <HOLDERS>", "2001, 2002 Someone & Sons") + "\n\n(c) 1999 Another\n"
-    rows = [(1, dressed), (2, mit + " more"), (3, "Text.\n** Released under the MIT Licence! **\nLicensed under CC BY-NC 4.0"), (4, None), (5, ""), (1, dressed)]
+    rows = [(1, dressed), (2, mit + " more"), (3, "Text.\n** Released under the MIT Licence! **\nLicensed under CC BY-NC 4.0"), (4, None), (5, ""), (1, dressed), (6, owned), (7, "copyright law is the law of copies\nin 2020 or later")]
     got = {r.doc_id: (r.license, r.notices) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "CC-BY-NC-4.0,MIT"), 4: (None, ""), 5: (None, "")}
+    assert got == {1: ("MIT", ""), 2: (None, ""), 3: (None, "CC-BY-NC-4.0,MIT"), 4: (None, ""), 5: (None, ""), 6: ("BSD-3-Clause", ""), 7: (None, "")}
+    assert all(licenses.scan(spark.createDataFrame([(0, t)], "doc_id long, text string")).first().license == n for n, t in licenses.KNOWN[-22:-14])
 
 
 def test_licence_odd_rows(odd, none):
@@ -345,8 +348,8 @@ def test_token_odd_rows(spark, odd, none):
 # ---- 6 chat
 
 def test_chat_examples(spark):
-    rows = [(1, 0, "system", "be\\ <kind>"), (1, 1, "user", "[INST] hi </s>"), (1, 2, "assistant", "a<|/|>b"), (1, 3, "user", None), (1, 4, "assistant", ""), (2, None, None, "x"), (None, 0, "assistant", "y"), (None, 0, "assistant", "y"), (3, 0, "assistant", "<|assistant|>"), (3, 0, "<|x|>", "\\l")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows = [(1, 0, "system", "be\\ <kind>"), (1, 1, "user", "[INST] hi </s>"), (1, 2, "assistant", "a<|/|>b"), (1, 3, "user", None), (1, 4, "assistant", ""), (2, None, None, "x"), (None, 0, "assistant", "y"), (None, 0, "assistant", "y"), (3, 0, "assistant", "<|assistant|>"), (3, 0, "<|x|>", "\\l"), (4, 0, "/", ""), (4, 1, "/|", "/"), (4, 2, "", ""), (4, 3, "a/b\\s", "x" * 300_000)]
+    df = spark.createDataFrame([(*r, 9, "f", None) for r in rows], "conv_id long, turn long, role string, text string, head long, formatted string, spans string")
     form = chat.formatted(df)
     ex = {(r.conv_id, r.example): r for r in chat.examples(form).collect()}
     assert sorted(ex, key=str) == [(1, 0), (1, 1), (3, 0), (None, 0), (None, 1)]
@@ -356,6 +359,7 @@ def test_chat_examples(spark):
     assert ex[1, 1].text.startswith(e.text) and ex[1, 1].loss_start == ex[1, 1].loss_end
     read = {r.conv_id: [(x.role, x.text) for x in r.t] for r in form.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
     assert read[1] == [("system", "be\\ <kind>"), ("user", "[INST] hi </s>"), ("assistant", "a<|/|>b"), ("user", ""), ("assistant", "")]
+    assert read[4] == [("/", ""), ("/|", "/"), ("", ""), ("a/b\\s", "x" * 300_000)]
     assert read[3] == [("<|x|>", "\\l"), ("assistant", "<|assistant|>")] and read[2] == [("", "x")]
     d = {r.conv_id: r for r in chat.digests(df).collect()}
     assert d[1].loss_sha256 == hashlib.sha256(b"a<|/|>b").hexdigest() and d[2].loss_chars == 0 and d[None].n_turns == 2
@@ -538,6 +542,17 @@ def test_sniffing_corrects_types_and_carves(spark):
     assert got[203].type == "audio/wav" and [e.type for e in got[203].embedded] == ["image/gif"]
 
 
+def test_carving_and_long_hostile_values(spark):
+    good = samples()
+    wrapped = b"some text " + good["image/png"] + b" and " + good["audio/wav"]
+    got = {(r.type, r.start): bytes(r.carved) for r in media.carved(spark.createDataFrame([(1, "text/html", wrapped), (2, None, None)], "id long, declared string, bytes binary")).collect()}
+    assert got == {("image/png", 10): good["image/png"], ("audio/wav", 15 + len(good["image/png"])): good["audio/wav"]}
+    a = media.automaton()
+    assert media.sniff(b"%PDF-1" * 300_000, a) == [] == media.sniff(b"PK\x03\x04" * 300_000, a)  # linear: each mark is sought once
+    many = b"%PDF-1startxref%%EOF" * 1000
+    assert [x[1] for x in media.sniff(many, a)] == list(range(0, len(many), 20))
+
+
 def test_media_contract(odd, none, odd_rows):
     got = media.stored_as_media(odd).collect()
     by = {}
