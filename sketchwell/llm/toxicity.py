@@ -1,8 +1,10 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text; a window is
-toxic as far as the toxic dictionary makes it shorter. Counts of windows beyond calibrated
-thresholds become a probability.
+Two zstandard dictionaries are trained: one on running passages of ordinary texts, one on passages of toxic
+texts. A toxic text is mostly ordinary prose, so its passages are the runs of its telling words, as they
+follow one another in it (telling: by log-likelihood ratio of document frequencies). A window is toxic as far as the
+toxic dictionary makes it shorter. Thresholds are calibrated: the gains that given shares of the ordinary training
+windows reach; counts of windows beyond them become a probability.
 
 Nulls and empty texts: one window of one blank, so a score near the base rate. Texts of any
 length: all windows count. Repeated rows: the same score each. Empty input: no rows. Without
@@ -22,15 +24,17 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sketchwell.llm.common import reachable, slices
 
 
 @dataclass(frozen=True)
 class ToxicityOptions:
-    """max_train_docs bounds the labelled sample (half of it toxic at most, chosen by hash of doc_id);
-    everything else covers all rows. The toxic dictionary is trained on the key_words words (those of a
-    log-likelihood ratio beyond keyness) that tell toxic texts apart best. threshold is the rejection limit."""
+    """max_train_docs and max_train_bytes bound the labelled sample (half of either for toxic texts at most, by hash of
+    doc_id; texts beyond 1/64 of the bytes aren't trained on); everything else covers all rows. Telling words are the
+    key_words of the highest log-likelihood ratio, beyond keyness. shares: of ordinary windows beyond each threshold.
+    threshold is the rejection limit."""
 
     max_train_docs: int = 6000
     max_train_bytes: int = 48 << 20
@@ -41,7 +45,8 @@ class ToxicityOptions:
     step: int = 52
     keyness: float = 12.0
     key_words: int = 80
-    steps: tuple = (2, 3, 4, 5, 6)
+    shares: tuple = (0.05, 0.02, 0.01, 0.004, 0.001)
+    most_passages: int = 100_000
     threshold: float = 0.3
     seed: int = 1
 
@@ -58,7 +63,7 @@ class CompressionModel:
     """Dictionaries, thresholds and weights; small, picklable, of fixed size."""
 
     def __init__(self, options: ToxicityOptions):
-        self.options, self.ordinary, self.toxic, self.weights = options, b"", b"", None
+        self.options, self.ordinary, self.toxic, self.steps, self.weights = options, b"", b"", (), None
 
     @classmethod
     def fit(cls, texts: list[str], labels: list[int], options: ToxicityOptions, odds: float | None = None) -> CompressionModel:
@@ -70,16 +75,16 @@ class CompressionModel:
         rng = random.Random(options.seed)
         bad, good = [d for d, v in zip(docs, y) if v], [d for d, v in zip(docs, y) if not v]
         in_bad, in_good = Counter(w for d in bad for w in set(d)), Counter(w for d in good for w in set(d))
-        key = sorted(((_keyness(in_bad[w], in_good[w], len(bad), len(good)), w) for w in in_bad), reverse=True)[: options.key_words]
-        passages = [b" " + w + b" " for k, w in key if k > options.keyness for _ in range(in_bad[w])]
-        rng.shuffle(passages)
-        self.toxic = _trained(options.toxic_dict, [b"".join(passages[i : i + 16]) for i in range(0, len(passages), 16)], 32)
-        plain = []
-        for d in good:
-            u = sorted(set(d))
-            rng.shuffle(u)
-            plain += [b" " + b" ".join(u[i : i + 16]) + b" " for i in range(0, len(u), 16)]
-        self.ordinary = _trained(options.ordinary_dict, plain, 64)
+        scored = sorted(((_keyness(in_bad[w], in_good[w], len(bad), len(good)), w) for w in in_bad), reverse=True)
+        telling = {w for k, w in scored[: options.key_words] if k > options.keyness}
+        runs = [[w for w in d if w in telling] for d in bad]
+        toxic = [b" " + b"  ".join(r) + b" " for r in runs if r]
+        rng.shuffle(toxic)
+        self.toxic = _trained(options.toxic_dict, toxic, 32)
+        plain = [b" " + b" ".join(d[i : i + 16]) + b" " for d in good for i in range(0, len(d), 16)]
+        rng.shuffle(plain)
+        self.ordinary = _trained(options.ordinary_dict, plain[: options.most_passages], 64)
+        self.steps = self._calibrated(good)
         measure = self.measure()
         mean, spread, w = _logistic(np.array([measure(d) for d in docs]), y)
         if odds:
@@ -87,16 +92,37 @@ class CompressionModel:
         self.weights = mean, spread, w
         return self
 
-    def measure(self):
-        """words -> features: how many windows shrink by each threshold, their share, the most, their number."""
+    def _gains(self):
+        """words -> bytes that the toxic dictionary saves in each window."""
         o = self.options
         plain, both = (_compressor(x, o) for x in (self.ordinary, self.toxic + self.ordinary))
 
-        def features(words: list[bytes]) -> list[float]:
+        def gains(words: list[bytes]) -> np.ndarray:
             data = b" " + b" ".join(words) + b" "
             windows = [data[i : i + o.window] for i in range(0, max(1, len(data) - (o.window - o.step)), o.step)]
-            gain = np.array([len(plain(w)) - len(both(w)) for w in windows])
-            over = [int((gain >= t).sum()) for t in o.steps]
+            return np.array([len(plain(w)) - len(both(w)) for w in windows])
+
+        return gains
+
+    def _calibrated(self, good: list[list[bytes]]) -> tuple[int, ...]:
+        """The least gains that no more than each share of the ordinary windows reach, and the next ones up where shares agree."""
+        gains, held = self._gains(), Counter()
+        for d in good:
+            held.update(gains(d).tolist())
+        total, top = sum(held.values()), max(held, default=0) + 2
+        tail = {t: sum(n for g, n in held.items() if g >= t) / total for t in range(1, top + 1)}
+        found = sorted({next((t for t in tail if tail[t] <= share), top) for share in self.options.shares})
+        while len(found) < len(self.options.shares):
+            found = sorted({*found, next(t for t in range(found[0], top + len(self.options.shares) + 1) if t not in found)})
+        return tuple(found)
+
+    def measure(self):
+        """words -> features: how many windows shrink by each threshold, their share, the most, their number."""
+        gains = self._gains()
+
+        def features(words: list[bytes]) -> list[float]:
+            gain = gains(words)
+            over = [int((gain >= t).sum()) for t in self.steps]
             return [*(math.log1p(k) for k in over), math.log(len(gain)), float(gain.max()), over[0] / len(gain), over[1] / len(gain)]
 
         return features
@@ -162,16 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = No
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(half).unionAll(known.where("toxic = 0").orderBy(*order).limit(o.max_train_docs - half))
     some = F.broadcast(some.dropDuplicates(["doc_id"]))  # at most max_train_docs rows
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "text", "toxic").limit(o.max_train_docs)
-    got = sorted(rows.toLocalIterator(), key=lambda r: (r.doc_id, r.text or ""))
-    used, texts, ys = 0, [], []
-    for r in sorted(got, key=lambda r: len(r.text or "")):  # the longest go beyond the bound
-        used += len(r.text or "")
-        if used > o.max_train_bytes:
-            break
-        texts.append(r.text)
-        ys.append(r.toxic)
-    return CompressionModel.fit(texts, ys, o, number.get(1, 0) / max(1, number.get(0, 0)))
+    size = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    size = size.join(some, "doc_id").where(F.col("size") <= o.max_train_bytes // 64)
+    upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(*order, "size"))  # rows of the sample only, without texts
+    some = F.broadcast(size.withColumn("upto", upto).where(F.col("upto") <= o.max_train_bytes // 2).select("doc_id", "toxic").dropDuplicates(["doc_id"]))
+    rows = docs.select("doc_id", "text").join(some, "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= o.max_train_bytes // 64)
+    got = sorted(rows.select("doc_id", "text", "toxic").limit(o.max_train_docs).toLocalIterator(), key=lambda r: (r.doc_id, r.text or ""))
+    return CompressionModel.fit([r.text for r in got], [r.toxic for r in got], o, number.get(1, 0) / max(1, number.get(0, 0)))
 
 
 def score(docs: DataFrame, model: CompressionModel, out: str = "toxicity") -> DataFrame:

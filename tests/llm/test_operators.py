@@ -45,6 +45,25 @@ def test_toxicity_separates_held_out(spark):
     assert np.mean([x.score > y.score for x in bad for y in good]) > 0.9
 
 
+def test_toxicity_scores_equal_a_plain_computation(spark, data):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    assert len(model.steps) == 5 and list(model.steps) == sorted(set(model.steps))
+    plain, both = (toxicity._compressor(x, model.options) for x in (model.ordinary, model.toxic + model.ordinary))
+    mean, spread, weights = model.weights
+    for r in toxicity.score(docs, model, "s").collect():
+        text = " " + " ".join("".join(c if c.isalnum() or ord(c) > 127 else " " for c in (r.text or "").translate({65 + k: 97 + k for k in range(26)})).split(" ")) + " "
+        words = [w for w in text.encode().split(b" ") if w]
+        data_ = b" " + b" ".join(words) + b" "
+        gains = [len(plain(data_[i : i + 64])) - len(both(data_[i : i + 64])) for i in range(0, max(1, len(data_) - 12), 52)]
+        over = [sum(g >= t for g in gains) for t in model.steps]
+        x = [*(np.log(1 + k) for k in over), np.log(len(gains)), max(gains), over[0] / len(gains), over[1] / len(gains), 1.0]
+        z = sum(w * (v - m) / d for w, v, m, d in zip(weights, x, [*mean, 0.0], [*spread, 1.0]))
+        assert r.s == pytest.approx(1 / (1 + np.exp(-max(-30, min(30, z))))), r.doc_id
+    small = toxicity.ToxicityOptions(max_train_docs=20, max_train_bytes=64_000)
+    assert toxicity.fit(docs, labels, small).steps == () or toxicity.score(docs, toxicity.fit(docs, labels, small), "s").count() == docs.count()
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1), (6, 0), (9, 1), (10, 0), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(odd, labels)
