@@ -11,7 +11,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: Freed memory goes back to the system: large blocks at once, Arrow's too. What a caller has set stays.
 ALLOCATOR = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(16 << 20)}
 #: Most bytes of a batch that goes to a worker: two copies of it are held, by the JVM and by the worker.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def reachable(spark: SparkSession) -> SparkSession:

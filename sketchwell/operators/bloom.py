@@ -17,9 +17,9 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sketchwell.functions.hashing import probes
+from sketchwell.operators.quantiles import stepped
 from sketchwell.options import BloomOptions
 
 PAGE = 32768
@@ -98,11 +98,16 @@ def add_flags(items: DataFrame, headers: DataFrame, pages: DataFrame | None = No
 
 
 def nonscaling_flags(flags: DataFrame, headers: DataFrame) -> DataFrame:
-    """Flags of filters that may not grow: null from the first item that finds its filter full, and for all after it."""
-    w = Window.partitionBy("key").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    held = flags.withColumn("held", F.coalesce(F.sum(F.col("added").cast("long")).over(w), F.lit(0))).join(headers.select("key", "capacity", "expansion"), "key")
-    full = (F.col("expansion") == 0) & (F.col("held") >= F.col("capacity"))
-    return held.withColumn("added", F.when(~full, F.col("added"))).drop("held", "capacity", "expansion")
+    """Flags of filters that may not grow: null from the first new item that finds its filter full, and for all after
+    it. Known items are still told as such by a full filter.
+
+    The cut is the place by seq of the item after the last that fits, found by counts over slots: no key is put in
+    order as a whole. Order is by seq (as a double: up to 2^53).
+    """
+    steps = stepped(flags.where("added").select("key", F.col("seq").alias("v")))
+    over = steps.join(headers.where("expansion = 0").select("key", "capacity"), "key").where("before + n > capacity")
+    cut = over.groupBy("key").agg(F.min("v").alias("cut"))
+    return flags.join(cut, "key", "left").withColumn("added", F.when(F.col("cut").isNull() | (F.col("seq") < F.col("cut")), F.col("added"))).drop("cut")
 
 
 def cardinality(flags: DataFrame) -> DataFrame:

@@ -15,6 +15,22 @@ from sketchwell.options import CELL_MAX, CmsOptions
 WIDE = "decimal(38,0)"
 
 
+def shapes(dims: DataFrame) -> DataFrame:
+    """dims(width, depth), checked: both from 1 up to what 32 bits hold."""
+    for c in ("width", "depth"):
+        ok = F.col(c).between(1, CELL_MAX)
+        dims = dims.withColumn(c, F.when(ok, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} is out of range")).cast("long")))
+    return dims
+
+
+def shapes_by_probability(rows: DataFrame) -> DataFrame:
+    """rows(error, probability) with width and depth: cells for that error rate, rows for that chance to exceed it."""
+    ok = (F.col("error") > 0) & (F.col("error") < 1) & (F.col("probability") > 0) & (F.col("probability") < 1)
+    bad = F.raise_error(F.lit("error and probability lie between 0 and 1")).cast("long")
+    depth = F.ceil(F.log10("probability") / F.log10(F.lit(0.5))).cast("long")
+    return rows.withColumn("width", F.when(ok, F.ceil(2 / F.col("error")).cast("long")).otherwise(bad)).withColumn("depth", F.when(ok, depth).otherwise(bad))
+
+
 def _cells(items: DataFrame, o: CmsOptions, family: str) -> DataFrame:
     rows = items.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(o.depth - 1))))
     return rows.withColumn("col", F.pmod(seeded(F.col("item"), F.col("row"), family), F.lit(o.width)).cast("long"))
@@ -33,6 +49,11 @@ def build(items: DataFrame, o: CmsOptions, family: str = "md5") -> DataFrame:
     return cells.withColumn("cnt", F.least(F.col("cnt"), F.lit(CELL_MAX).cast(WIDE)).cast("long"))
 
 
+def memory(headers: DataFrame) -> DataFrame:
+    """(key, bytes) that a packed sketch takes: 4 for each cell and a header of 32."""
+    return headers.select("key", (4 * F.col("width") * F.col("depth") + 32).cast("long").alias("bytes"))
+
+
 def header(items: DataFrame, o: CmsOptions) -> DataFrame:
     """(key, width, depth, count): count doesn't saturate."""
     return checked(items).groupBy("key").agg(F.lit(o.width).cast("long").alias("width"), F.lit(o.depth).cast("long").alias("depth"), F.sum("inc").alias("count"))

@@ -3,8 +3,9 @@
 What a cuckoo filter can tell depends only on how often a fingerprint lies in either of its two buckets,
 not on the slot that kicks have brought it to. So a filter is a table (key, fp, slot, cnt): slot is the
 lesser of the two buckets, which both directions of the partial-key rule agree on. It is built, merged, compacted
-and counted by partial aggregation, in any order, and answers as a packed filter of those buckets would,
-false positives included. `Packed` is that packed filter, for callers that need its bytes.
+and counted by partial aggregation, in any order, and answers as a packed filter of those buckets would that has
+room for all (it may expand), false positives included. What depends on room and order, refusals, kicks, sub-filters and their
+compaction, is `Packed`, a fold of one key by seq.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql.window import Window
 
 from sketchwell.functions.hashing import pair
 from sketchwell.functions.workers import reachable
+from sketchwell.operators.quantiles import stepped
 from sketchwell.options import CuckooOptions
 
-#: Spreads a fingerprint over the buckets. Fixed value.
-SPREAD = 0x5BD1E995
+#: Spreads a fingerprint over the buckets: the prime next to 2^32 divided by the golden ratio.
+SPREAD = 0x9E3779B1
 FINGERPRINTS = 255
 FILTER_BYTES, SUB_BYTES = 56, 24
 
@@ -51,12 +53,18 @@ def add_new(items: DataFrame, o: CuckooOptions, store: DataFrame | None = None,
 
 
 def insert(items: DataFrame, o: CuckooOptions, family: str = "md5") -> DataFrame:
-    """items(key, seq, item) with stored: 1, or -1 once a filter that can't expand has no slot left."""
+    """items(key, seq, item) with stored: 1, or -1 where a filter that can't expand has no slot for the item: its two
+    buckets hold as many fingerprints like it as they can, or all slots are taken. A packed filter may refuse a
+    little earlier, when kicks find no free slot (`packed_flags`). No key is put in order as a whole."""
     p = placed(items, o, family)
     if o.expansion:
         return p.withColumn("stored", F.lit(1))
-    n = F.row_number().over(Window.partitionBy("key").orderBy("seq", "item"))
-    return p.withColumn("stored", F.when(n <= o.buckets * o.bucket_size, 1).otherwise(-1))
+    nth = F.row_number().over(Window.partitionBy("key", "fp", "slot").orderBy("seq", "item"))
+    few = p.withColumn("nth", nth).withColumn("fits", F.col("nth") <= 2 * o.bucket_size)
+    steps = stepped(few.where("fits").select("key", F.col("seq").alias("v")))
+    cut = steps.where(F.col("before") + F.col("n") > o.buckets * o.bucket_size).groupBy("key").agg(F.min("v").alias("cut"))
+    ok = F.col("fits") & (F.col("cut").isNull() | (F.col("seq") < F.col("cut")))
+    return few.join(cut, "key", "left").withColumn("stored", F.when(ok, 1).otherwise(-1)).drop("nth", "fits", "cut")
 
 
 def count(probe: DataFrame, store: DataFrame, o: CuckooOptions, family: str = "md5") -> DataFrame:
@@ -88,6 +96,12 @@ def compact(*stores: DataFrame) -> DataFrame:
     return every.groupBy("key", "fp", "slot").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
 
 
+def buckets_for(capacity: Column, bucket_size: int) -> Column:
+    """Buckets of a filter for a capacity: the next power of two, one at least."""
+    n = F.greatest(F.lit(1), F.floor(capacity / bucket_size)).cast("long")
+    return F.when(n <= 1, F.lit(1).cast("long")).otherwise(F.pow(F.lit(2.0), F.length(F.bin(n - 1))).cast("long"))
+
+
 def filters_for(items: Column, o: CuckooOptions) -> Column:
     """Sub-filters that hold so many fingerprints, each `growth` times as large as the one before."""
     sizes, total = [], 0
@@ -104,7 +118,9 @@ def info(store: DataFrame, o: CuckooOptions, deleted: DataFrame | None = None) -
     n = store.groupBy("key").agg(F.sum("cnt").cast("long").alias("inserted"))
     n = n.join(deleted, "key", "left") if deleted is not None else n.withColumn("deleted", F.lit(0))
     f = filters_for(F.col("inserted"), o)
-    return n.select("key", (F.lit(FILTER_BYTES) + f * (SUB_BYTES + o.buckets * o.bucket_size)).cast("long").alias("size"), F.lit(o.buckets).cast("long").alias("buckets"), f.cast("int").alias("filters"), "inserted", F.coalesce("deleted", F.lit(0)).cast("long").alias("deleted"), F.lit(o.bucket_size).alias("bucket_size"), F.lit(o.expansion).alias("expansion"), F.lit(o.max_iterations).alias("max_iterations"))
+    first, g = o.buckets * o.bucket_size, max(1, o.growth)  # sub-filter i has first * g^i slots
+    slots = f * first if g == 1 else F.lit(first) * (F.pow(F.lit(float(g)), f) - 1) / (g - 1)
+    return n.select("key", (F.lit(FILTER_BYTES) + f * SUB_BYTES + slots).cast("long").alias("size"), F.lit(o.buckets).cast("long").alias("buckets"), f.cast("int").alias("filters"), "inserted", F.coalesce("deleted", F.lit(0)).cast("long").alias("deleted"), F.lit(o.bucket_size).alias("bucket_size"), F.lit(o.expansion).alias("expansion"), F.lit(o.max_iterations).alias("max_iterations"))
 
 
 def describe(store: DataFrame, o: CuckooOptions) -> DataFrame:
@@ -133,40 +149,67 @@ class Packed:
     def add(self, item: str) -> bool:
         """False where the filter is full and may not expand."""
         fp, h = self._hash(item)
-        for sub in reversed(self.subs):
-            for row in self._rows(sub, fp, h):
-                at = self._free(sub, row)
-                if at >= 0:
-                    sub[at] = fp
-                    self.items += 1
-                    return True
-        if not self._kick(fp, h):
+        if not (self._place(fp, h) or self._make_room(fp, h)):
             if not self.o.expansion:
                 return False
             if len(self.subs) >= self.o.max_expansions:
                 raise ValueError("the filter has expanded as often as it may")
             self.subs.append(bytearray(len(self.subs[-1]) * self.o.growth))
-            return self.add(item)
+            self._place(fp, h)
         self.items += 1
         return True
 
-    def _kick(self, fp: int, h: int) -> bool:
-        """Moves fingerprints on in the newest sub-filter until one finds a slot; undone if none does."""
+    def _place(self, fp: int, h: int, subs: list[bytearray] | None = None) -> bool:
+        """Into the first free slot of its two rows, the oldest sub-filter first."""
+        for sub in self.subs if subs is None else subs:
+            for row in self._rows(sub, fp, h):
+                at = self._free(sub, row)
+                if at >= 0:
+                    sub[at] = fp
+                    return True
+        return False
+
+    def _make_room(self, fp: int, h: int) -> bool:
+        """Looks in the newest sub-filter, breadth first over at most max_iterations rows, for the shortest chain of
+        fingerprints that can each move to their other row, the last to a free slot; moves them and puts fp in the gap."""
         sub, b = self.subs[-1], self.o.bucket_size
-        mask, row, trail = len(sub) // b - 1, self._rows(self.subs[-1], fp, h)[0], []
-        for turn in range(self.o.max_iterations):
-            at = row * b + turn % b
-            trail.append((at, sub[at]))
-            sub[at], fp = fp, sub[at]
-            row ^= fp * SPREAD & mask
-            free = self._free(sub, row)
-            if free >= 0:
-                sub[free] = fp
-                return True
-        for at, was in reversed(trail):
-            sub[at] = was
+        mask = len(sub) // b - 1
+        rows = dict.fromkeys(self._rows(sub, fp, h))
+        seen = [(row, -1, -1) for row in rows]  # row, the place in this list it was reached from, the slot that moves there
+        for number, (row, _, _) in enumerate(seen):
+            if number >= self.o.max_iterations:
+                return False
+            for slot in range(row * b, row * b + b):
+                other = row ^ sub[slot] * SPREAD & mask
+                free = self._free(sub, other)
+                if free >= 0:
+                    while True:
+                        sub[free], free = sub[slot], slot
+                        _, back, slot = seen[number]
+                        if back < 0:
+                            sub[free] = fp
+                            return True
+                        number = back
+                if other not in rows:
+                    rows[other] = None
+                    seen.append((other, number, slot))
         return False
 
+    def compact(self) -> int:
+        """Moves fingerprints of newer sub-filters to free slots of older ones and drops empty ones; how many moved."""
+        b, moved = self.o.bucket_size, 0
+        for number in range(len(self.subs) - 1, 0, -1):
+            sub = self.subs[number]
+            for at in range(len(sub)):
+                fp, row = sub[at], at // b
+                # a slot knows its row in this sub-filter: older ones are as large or smaller, so their rows follow from it
+                if fp and self._place(fp, row, self.subs[:number]):
+                    sub[at], moved = 0, moved + 1
+            if any(sub):
+                break
+            self.subs.pop()
+        return moved
+
     def count(self, item: str) -> int:
         fp, h = self._hash(item)
         b = self.o.bucket_size
@@ -185,6 +228,18 @@ class Packed:
         return False
 
 
+def packed_flags(items: DataFrame, o: CuckooOptions) -> DataFrame:
+    """(key, seq, stored): 1, or -1 where the packed filter refuses, one key a task, in order of seq."""
+    reachable(items.sparkSession)
+    kind = items.schema["key"].dataType.simpleString()
+
+    def fold(key, rows):
+        f, rows = Packed(o), rows.sort_values("seq", kind="stable")
+        return pd.DataFrame({"key": rows["key"], "seq": rows["seq"], "stored": [1 if f.add(x) else -1 for x in rows["item"]]})
+
+    return items.where("item is not null").select("key", "seq", F.col("item").cast("string").alias("item")).groupBy("key").applyInPandas(fold, f"key {kind}, seq long, stored int")
+
+
 def packed(items: DataFrame, o: CuckooOptions) -> DataFrame:
     """(key, filter, buckets, data): packed sub-filters of items(key, seq, item), one key a task, in order of seq."""
     reachable(items.sparkSession)

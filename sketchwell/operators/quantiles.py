@@ -6,7 +6,7 @@ values. NaN and infinite observations are dropped or fail, nulls are ignored. Em
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,17 +19,24 @@ def finite(obs: DataFrame, strict: bool = False) -> DataFrame:
     return known.withColumn("v", F.when(ok, F.col("v")).otherwise(F.raise_error(F.lit("an observation isn't finite")))) if strict else known.where(ok)
 
 
-def stepped(obs: DataFrame, slots: int = 1024) -> DataFrame:
+def _slot(low: str, high: str, slots: int) -> Column:
+    """The slot of v among equal widths from low to high; ascends with v."""
+    width = F.col(high) / slots - F.col(low) / slots
+    return F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(slots - 1), F.floor(F.col("v") / width - F.col(low) / width)))).otherwise(0).cast("int")
+
+
+def stepped(obs: DataFrame, slots: int = 256) -> DataFrame:
     """(key, v, n, before, total): distinct values, how often each occurs, how many are below, how many there are.
 
-    A key's values are cut into slots of equal width between its extremes: running sums cross slots by
-    one row each, and only values of a slot are ordered together, so a key of any size is spread.
+    A key's values are cut into slots of equal width between its extremes, and those of a slot again between the
+    slot's own extremes, so that outliers don't leave the rest in one slot: running sums cross slots by one row each,
+    and only values of an inner slot are ordered together. A key of any size is spread.
     """
     c = finite(obs).groupBy("key", "v").agg(F.count("*").alias("n"))
     ends = c.groupBy("key").agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    width = F.col("high") / slots - F.col("low") / slots
-    slot = F.when(width > 0, F.greatest(F.lit(0), F.least(F.lit(slots - 1), F.floor(F.col("v") / width - F.col("low") / width)))).otherwise(0).cast("int")
-    c = c.join(ends, "key").select("key", "v", "n", slot.alias("slot"))
+    c = c.join(ends, "key").select("key", "v", "n", _slot("low", "high", slots).alias("outer"))
+    inner_ends = c.groupBy("key", "outer").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    c = c.join(inner_ends, ["key", "outer"]).select("key", "v", "n", (F.col("outer") * slots + _slot("low", "high", slots)).alias("slot"))
     sums = c.groupBy("key", "slot").agg(F.sum("n").alias("t"))
     by_key = Window.partitionBy("key")
     base = F.coalesce(F.sum("t").over(by_key.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -1,8 +1,8 @@
 """t-digests (key, compression, low, high, n, centroids): mergeable summaries of observations.
 
 Each task folds its rows into one digest per key (Arrow batches, numpy); centroids are shuffled, not rows,
-and merged per key. Merging sorts centroids and joins neighbours while their weight stays within
-4 n q (1 - q) / compression, the published size bound for the k1-like scale: fine at both tails.
+and merged per key as a tree: first those of a key and a salt, then those of a key. Merging sorts centroids and
+joins neighbours between two steps of the published arcsine scale: fine at both tails.
 Small inputs stay exact: every observation is a centroid of its own.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,28 +19,22 @@ from sketchwell.functions.workers import reachable
 from sketchwell.operators.quantiles import finite
 from sketchwell.options import TDigestOptions
 
+#: Partial digests of a key are first merged by so many salts.
+SALTS = 256
 CENTROIDS = "array<struct<mean:double,weight:double>>"
 
 
 def compress(mean: np.ndarray, weight: np.ndarray, compression: int) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids joined from left to right as far as the size bound allows."""
+    """Centroids whose middles lie between two steps of the scale are joined."""
     order = np.lexsort((weight, mean))
     mean, weight = mean[order], weight[order]
-    total = weight.sum()
     if len(mean) <= compression:
         return mean, weight
-    out_m, out_w, done = [], [], 0.0
-    m, w = mean[0], weight[0]
-    for x, y in zip(mean[1:], weight[1:]):
-        q = (done + (w + y) / 2) / total
-        if w + y <= max(1.0, 4 * total * q * (1 - q) / compression):
-            m, w = m + (x - m) * y / (w + y), w + y
-        else:
-            out_m.append(m)
-            out_w.append(w)
-            done += w
-            m, w = x, y
-    return np.array([*out_m, m]), np.array([*out_w, w])
+    q = (np.cumsum(weight) - weight / 2) / weight.sum()
+    k = np.floor(compression * (np.arcsin(2 * q - 1) / np.pi + 0.5)).astype(np.int64)
+    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    total = np.add.reduceat(weight, start)
+    return np.add.reduceat(mean * weight, start) / total, total
 
 
 def _fold_sorted(v: np.ndarray, compression: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +97,32 @@ class Digest:
             return float(((self.mean < x).sum() + (self.mean == x).sum() / 2) / self.n)
         return float(np.interp(x, np.r_[self.low, self.mean, self.high], np.r_[0, self._middles(), self.n]) / self.n)
 
+    def rank(self, x: float, reverse: bool = False) -> int:
+        """Observations below x and half the equal ones, halves rounded down; -1 below the least, all above the
+        largest, -2 without observations. reverse: counted from the other end."""
+        if x != x:
+            raise ValueError("ranks of NaN aren't defined")
+        if not self.n:
+            return -2
+        n = int(self.n)
+        if x < self.low or x > self.high:
+            return n if (x < self.low) == reverse else -1
+        below = self.cdf(x) * self.n
+        return n - int(np.floor(below + 0.5 + 1e-9)) if reverse else int(np.ceil(below - 0.5 - 1e-9))
+
+    def by_rank(self, r: int, reverse: bool = False) -> float:
+        """The value at place r from 0 in ascending (descending) order; infinite beyond the last, NaN without observations."""
+        if isinstance(r, bool) or not isinstance(r, int) or r < 0:
+            raise ValueError(f"ranks are whole numbers from 0, not {r!r}")
+        if not self.n:
+            return float("nan")
+        if r >= self.n:
+            return float("-inf") if reverse else float("inf")
+        place = self.n - 1 - r if reverse else r
+        if place in (0, self.n - 1):
+            return self.high if place else self.low
+        return self.quantile((place + 0.5) / self.n)
+
     def trimmed_mean(self, lo: float, hi: float) -> float:
         """Mean of the weight between two quantiles; a centroid on a cut counts in part."""
         if not 0 <= lo < hi <= 1:
@@ -119,20 +140,21 @@ def build(obs: DataFrame, options: TDigestOptions | None = None, flush: int = 1
     c = (options or TDigestOptions()).compression
     reachable(obs.sparkSession)
     kind = obs.schema["key"].dataType
-    schema = f"key {kind.simpleString()}, low double, high double, means array<double>, weights array<double>"
+    schema = f"key {kind.simpleString()}, salt int, low double, high double, means array<double>, weights array<double>"
 
     def partial(batches):
         held: dict = {}
         rows = 0
+        salt = TaskContext.get().partitionId() % SALTS
 
         def out():
-            data = {"key": [], "low": [], "high": [], "means": [], "weights": []}
+            data = {"key": [], "salt": [], "low": [], "high": [], "means": [], "weights": []}
             for k, parts in held.items():
                 v = np.concatenate(parts)
                 m, w = _fold_sorted(v, c)
-                for name, x in zip(data, (k, float(v.min()), float(v.max()), m.tolist(), w.tolist())):
+                for name, x in zip(data, (k, salt, float(v.min()), float(v.max()), m.tolist(), w.tolist())):
                     data[name].append(x)
-            return pa.RecordBatch.from_pandas(pd.DataFrame(data), preserve_index=False) if held else None
+            return pa.RecordBatch.from_pandas(pd.DataFrame(data).astype({"salt": "int32"}), preserve_index=False)
 
         for b in batches:
             v = b.column(1).to_numpy(zero_copy_only=False)
@@ -152,15 +174,15 @@ def build(obs: DataFrame, options: TDigestOptions | None = None, flush: int = 1
 
     parts = finite(obs).select("key", "v").mapInArrow(partial, schema)
     final = f"key {kind.simpleString()}, compression int, low double, high double, n long, centroids {CENTROIDS}"
-    return parts.groupBy("key").applyInPandas(_merger(c), final)
-
+    def near(key, rows):
+        m, w = compress(np.concatenate(rows["means"].to_list()), np.concatenate(rows["weights"].to_list()), c)
+        return pd.DataFrame({"key": [key[0]], "salt": [0], "low": [rows["low"].min()], "high": [rows["high"].max()], "means": [m.tolist()], "weights": [w.tolist()]})
 
-def _merger(compression: int):
-    def merged(key, rows):
-        m, w = compress(np.concatenate(rows["means"].to_list()), np.concatenate(rows["weights"].to_list()), compression)
-        return pd.DataFrame({"key": [key[0]], "compression": [compression], "low": [rows["low"].min()], "high": [rows["high"].max()], "n": [int(round(w.sum()))], "centroids": [[{"mean": float(a), "weight": float(b)} for a, b in zip(m, w)]]})
+    def whole(key, rows):
+        m, w = compress(np.concatenate(rows["means"].to_list()), np.concatenate(rows["weights"].to_list()), c)
+        return pd.DataFrame({"key": [key[0]], "compression": [c], "low": [rows["low"].min()], "high": [rows["high"].max()], "n": [int(round(w.sum()))], "centroids": [[{"mean": float(a), "weight": float(b)} for a, b in zip(m, w)]]})
 
-    return merged
+    return parts.groupBy("key", "salt").applyInPandas(near, schema).groupBy("key").applyInPandas(whole, final)
 
 
 def merge(digests: list[DataFrame], compression: int | None = None) -> DataFrame:
@@ -181,22 +203,39 @@ def merge(digests: list[DataFrame], compression: int | None = None) -> DataFrame
     return every.groupBy("key").applyInPandas(merged, f"key {kind}, compression int, low double, high double, n long, centroids {CENTROIDS}")
 
 
-def evaluate(digests: DataFrame, qs: list[float] = (), xs: list[float] = ()) -> DataFrame:
-    """(key, n, low, high, quantiles, cdfs) in the order asked for."""
-    if any(not 0 <= q <= 1 for q in qs):
-        raise ValueError("quantiles lie in [0, 1]")
+def evaluate(digests: DataFrame, qs: list[float] = (), xs: list[float] = (), ranks: list[int] = (), trims: list[tuple[float, float]] = ()) -> DataFrame:
+    """(key, n, low, high, quantiles, cdfs, ranks, revranks, byranks, byrevranks, trimmed_means) in the order asked
+    for: quantiles of qs, shares and ranks of the values xs, values at ranks, means between the cuts of trims; null
+    (ranks: -2) where a digest is empty."""
+    blank = Digest([1.0], [1.0], 1.0, 1.0)  # bad arguments fail here, not in a task
+    for x in xs:
+        blank.rank(x)
+    _ = [blank.quantile(q) for q in qs], [blank.by_rank(r) for r in ranks], [blank.trimmed_mean(a, z) for a, z in trims]
     reachable(digests.sparkSession)
     kind = digests.schema["key"].dataType.simpleString()
 
     def run(batches):
         for rows in batches:
             ds = [Digest([x["mean"] for x in r.centroids], [x["weight"] for x in r.centroids], r.low, r.high, r.compression) for r in rows.itertuples()]
-            yield pd.DataFrame({"key": rows["key"], "n": rows["n"], "low": rows["low"], "high": rows["high"], "quantiles": [[d.quantile(q) for q in qs] for d in ds], "cdfs": [[d.cdf(x) for x in xs] for d in ds]})
+            found = {"quantiles": [[d.quantile(q) for q in qs] for d in ds], "cdfs": [[d.cdf(x) for x in xs] for d in ds]}
+            found |= {"ranks": [[d.rank(x) for x in xs] for d in ds], "revranks": [[d.rank(x, True) for x in xs] for d in ds]}
+            found |= {"byranks": [[d.by_rank(r) for r in ranks] for d in ds], "byrevranks": [[d.by_rank(r, True) for r in ranks] for d in ds]}
+            yield pd.DataFrame({c: rows[c] for c in ("key", "n", "low", "high")} | found | {"trimmed_means": [[d.trimmed_mean(a, z) for a, z in trims] for d in ds]})
+
+    form = f"key {kind}, n long, low double, high double, quantiles array<double>, cdfs array<double>, ranks array<long>, revranks array<long>, byranks array<double>, byrevranks array<double>, trimmed_means array<double>"
+    return digests.select("key", "compression", "n", "low", "high", "centroids").mapInPandas(run, form)
+
 
-    return digests.select("key", "compression", "n", "low", "high", "centroids").mapInPandas(run, f"key {kind}, n long, low double, high double, quantiles array<double>, cdfs array<double>")
+def reset(digests: DataFrame) -> DataFrame:
+    """The same keys and compressions without observations: extremes NaN, no centroids."""
+    none = F.lit(float("nan"))
+    return digests.select("key", "compression", none.alias("low"), none.alias("high"), F.lit(0).cast("long").alias("n"), F.expr(f"cast(array() as {CENTROIDS})").alias("centroids"))
 
 
 def info(digests: DataFrame) -> DataFrame:
-    """(key, compression, capacity, nodes, observations, bytes)."""
+    """(key, compression, capacity, nodes, unmerged_nodes, merged_weight, unmerged_weight, observations, bytes). Nodes of
+    one observation are unmerged; digests are compressed whenever they are merged, so there is no buffer to count."""
     cap = 6 * F.col("compression") + 10
-    return digests.select("key", "compression", cap.cast("int").alias("capacity"), F.size("centroids").alias("nodes"), F.col("n").alias("observations"), (80 + 16 * cap).cast("long").alias("bytes"))
+    alone = F.filter("centroids", lambda x: x.weight == 1)
+    single = F.size(alone).cast("long")
+    return digests.select("key", "compression", cap.cast("int").alias("capacity"), F.size("centroids").alias("nodes"), single.alias("unmerged_nodes"), (F.col("n") - single).alias("merged_weight"), single.alias("unmerged_weight"), F.col("n").alias("observations"), (80 + 16 * cap).cast("long").alias("bytes"))

@@ -57,6 +57,14 @@ def expelled(items: DataFrame, k: int) -> DataFrame:
     return gone.join(now.withColumnRenamed("cnt", "after"), ["key", "item"])
 
 
+def info(listed: DataFrame, o: TopKOptions) -> DataFrame:
+    """(key, k, width, depth, decay, listed, held, bytes): bytes that a list with decaying counters of that shape takes:
+    16 for each counter, 24 and its item for each entry."""
+    entry = F.sum(F.lit(24) + F.octet_length("item"))
+    shape = [F.lit(o.k).alias("k"), F.lit(o.width).cast("long").alias("width"), F.lit(o.depth).cast("long").alias("depth"), F.lit(float(o.decay)).alias("decay")]
+    return listed.groupBy("key").agg(*shape, F.count("*").alias("listed"), F.sum("cnt").alias("held"), (F.lit(16 * o.width * o.depth) + entry).cast("long").alias("bytes"))
+
+
 def approximate(items: DataFrame, k: int, tracked: int = 10_000) -> DataFrame:
     """(key, item, cnt) by the built-in mergeable summary: one pass, bounded state."""
     got = items.where("item is not null").groupBy("key").agg(F.expr(f"approx_top_k(item, {int(k)}, {int(tracked)})").alias("t"))

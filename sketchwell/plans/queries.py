@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchwell.operators import bloom, cms, cuckoo, quantiles, tdigest, topk
+from sketchwell.operators import bloom, cms, cuckoo, quantiles, scaling, tdigest, topk
 from sketchwell.options import BloomOptions, CmsOptions, CuckooOptions, TDigestOptions, TopKOptions
 from sketchwell.sources import chunks
 from sketchwell.streaming import sketches
@@ -99,11 +99,12 @@ def b3(spark, d):
     return bloom.add_flags(items, headers).groupBy("key", "item").agg(F.count("*").alias("asked"), F.sum(F.col("added").cast("int")).alias("added"))
 
 
-@query("B4_bloom_insert", f"""WITH {FLAGS_SQL}, h AS (SELECT *, coalesce(sum(added::INT) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM flags)
-SELECT key, count(*) FILTER (held < 500 AND added) AS added, count(*) FILTER (held < 500 AND NOT added) AS known, count(*) FILTER (held >= 500) AS refused FROM h GROUP BY key""")
+@query("B4_bloom_insert", f"""WITH {FLAGS_SQL}, h AS (SELECT *, sum(added::INT) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS held FROM flags),
+c AS (SELECT key, min(seq) FILTER (added AND held > 500) AS cut FROM h GROUP BY key)
+SELECT key, count(*) FILTER (added AND (cut IS NULL OR seq < cut)) AS added, count(*) FILTER (NOT added AND (cut IS NULL OR seq < cut)) AS known, count(*) FILTER (seq >= cut) AS refused FROM h JOIN c USING (key) GROUP BY key""")
 def b4(spark, d):
     items, headers, _ = _filters(spark, d)
-    small = headers.withColumn("capacity", F.lit(500).cast("long"))  # the same bits, refusing items beyond 500
+    small = headers.withColumn("capacity", F.lit(500).cast("long"))  # the same bits, refusing new items beyond 500
     flags = bloom.nonscaling_flags(bloom.add_flags(items, headers), small)
     return flags.groupBy("key").agg(F.count_if("added").alias("added"), F.count_if(~F.col("added")).alias("known"), F.count_if(F.col("added").isNull()).alias("refused"))
 
@@ -169,8 +170,8 @@ ASK_SQL = f"{CUCKOO_SQL}, {PROBES}, a AS (SELECT q.key, q.item, coalesce(s.cnt,
 
 @query("C1_cuckoo_reserve", f"SELECT n_nationkey::BIGINT + 4 AS capacity, greatest(1, pow(2, ceil(log2((n_nationkey + 4) // 2))))::BIGINT AS buckets FROM nation")
 def c1(spark, d):
-    want = [(r.n, CuckooOptions(capacity=r.n).buckets) for r in table(spark, d, "nation").select((F.col("n_nationkey").cast("long") + 4).alias("n")).collect()]
-    return spark.createDataFrame(want, "capacity long, buckets long")
+    n = table(spark, d, "nation").select((F.col("n_nationkey").cast("long") + 4).alias("capacity"))
+    return n.select("capacity", cuckoo.buckets_for(F.col("capacity"), CuckooOptions().bucket_size).alias("buckets"))
 
 
 @query("C2_cuckoo_add", f"WITH {CUCKOO_SQL} SELECT key, fp::INTEGER AS fp, slot, cnt FROM s")
@@ -189,7 +190,9 @@ def c3(spark, d):
 TIGHT = CuckooOptions(capacity=2048, expansion=0)
 
 
-@query("C4_cuckoo_insert", f"WITH {PARTS}, n AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY seq, item) AS n FROM p) SELECT key, count(*) FILTER (n <= {TIGHT.buckets * TIGHT.bucket_size}) AS stored, count(*) FILTER (n > {TIGHT.buckets * TIGHT.bucket_size}) AS refused FROM n GROUP BY key")
+@query("C4_cuckoo_insert", f"""WITH {CUCKOO_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY key, fp, slot ORDER BY seq, item) <= {2 * TIGHT.bucket_size} AS fits FROM c),
+h AS (SELECT *, sum(fits::INT) OVER (PARTITION BY key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS held FROM n)
+SELECT key, count(*) FILTER (fits AND held <= {TIGHT.buckets * TIGHT.bucket_size}) AS stored, count(*) FILTER (NOT (fits AND held <= {TIGHT.buckets * TIGHT.bucket_size})) AS refused FROM h GROUP BY key""")
 def c4(spark, d):
     return cuckoo.insert(parts(spark, d), TIGHT).groupBy("key").agg(F.count_if(F.col("stored") == 1).alias("stored"), F.count_if(F.col("stored") == -1).alias("refused"))
 
@@ -276,15 +279,15 @@ ESTIMATE_SQL = f"{CELLS_SQL}, e AS (SELECT i.key, i.item, min(coalesce(cells.cnt
 
 @query("M1_cms_initbydim", "SELECT n_nationkey::BIGINT + 1 AS width, (n_nationkey % 7 + 1)::BIGINT AS depth, ((n_nationkey + 1) * (n_nationkey % 7 + 1))::BIGINT AS cells FROM nation")
 def m1(spark, d):
-    rows = [CmsOptions(r.n + 1, r.n % 7 + 1) for r in table(spark, d, "nation").select(F.col("n_nationkey").alias("n")).collect()]
-    return spark.createDataFrame([(o.width, o.depth, o.width * o.depth) for o in rows], "width long, depth long, cells long")
+    n = F.col("n_nationkey").cast("long")
+    return cms.shapes(table(spark, d, "nation").select((n + 1).alias("width"), (n % 7 + 1).alias("depth"))).withColumn("cells", F.col("width") * F.col("depth"))
 
 
 @query("M2_cms_initbyprob", "SELECT n_nationkey::BIGINT AS id, ceil(2 / (0.5 / pow(2, n_nationkey % 9 + 1)))::BIGINT AS width, ceil(log10(1.0 / (n_nationkey + 3)) / log10(0.5))::BIGINT AS depth FROM nation")
 def m2(spark, d):
-    ids = [r.n for r in table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n")).collect()]
-    got = [(n, CmsOptions.by_probability(0.5 / 2 ** (n % 9 + 1), 1.0 / (n + 3))) for n in ids]
-    return spark.createDataFrame([(n, o.width, o.depth) for n, o in got], "id long, width long, depth long")
+    n = F.col("n_nationkey").cast("long")
+    rows = table(spark, d, "nation").select(n.alias("id"), (0.5 / F.pow(F.lit(2.0), n % 9 + 1)).alias("error"), (1.0 / (n + 3)).alias("probability"))
+    return cms.shapes_by_probability(rows).select("id", "width", "depth")
 
 
 @query("M3_cms_incrby", f"WITH {ESTIMATE_SQL.replace('ASKED', '(SELECT DISTINCT key, item FROM w)')} SELECT key, item, estimate, estimate >= 4294967295 AS saturated FROM e")
@@ -313,9 +316,10 @@ def m5(spark, d):
     return cms.merge([(one, 2), (two, 1), (one, 1)])
 
 
-@query("M6_cms_info", f"WITH {CELLS_SQL} SELECT key, {CMS.width}::BIGINT AS width, {CMS.depth}::BIGINT AS depth, sum(inc)::BIGINT AS count FROM w GROUP BY key")
+@query("M6_cms_info", f"WITH {CELLS_SQL} SELECT key, {CMS.width}::BIGINT AS width, {CMS.depth}::BIGINT AS depth, sum(inc)::BIGINT AS count, {4 * CMS.width * CMS.depth + 32}::BIGINT AS bytes FROM w GROUP BY key")
 def m6(spark, d):
-    return cms.header(weighted(spark, d), CMS)
+    h = cms.header(weighted(spark, d), CMS)
+    return h.join(cms.memory(h), "key")
 
 
 # ---- top-k ---------------------------------------------------------------------------------
@@ -367,10 +371,9 @@ def t6(spark, d):
     return topk.top(topk.counts(users(spark, d)), TOPK.k)
 
 
-@query("T7_topk_info", f"WITH {TOP_SQL} SELECT key, {TOPK.k} AS k, count(*) AS listed, sum(cnt)::BIGINT AS held FROM t GROUP BY key")
+@query("T7_topk_info", f"WITH {TOP_SQL} SELECT key, {TOPK.k} AS k, {TOPK.width}::BIGINT AS width, {TOPK.depth}::BIGINT AS depth, {TOPK.decay}::DOUBLE AS decay, count(*) AS listed, sum(cnt)::BIGINT AS held, ({16 * TOPK.width * TOPK.depth} + sum(24 + strlen(item)))::BIGINT AS bytes FROM t GROUP BY key")
 def t7(spark, d):
-    t = topk.top(topk.counts(users(spark, d)), TOPK.k)
-    return t.groupBy("key").agg(F.lit(TOPK.k).alias("k"), F.count("*").alias("listed"), F.sum("cnt").alias("held"))
+    return topk.info(topk.top(topk.counts(users(spark, d)), TOPK.k), TOPK)
 
 
 # ---- quantiles -----------------------------------------------------------------------------
@@ -403,7 +406,7 @@ def d1(spark, d):
 
 @query("D2_tdigest_reset", "SELECT event_type AS key, 100 AS compression, 0::BIGINT AS n FROM events GROUP BY 1")
 def d2(spark, d):
-    return values(spark, d).select("key").distinct().select("key", F.lit(TDigestOptions().compression).alias("compression"), F.lit(0).cast("long").alias("n"))
+    return tdigest.reset(tdigest.build(values(spark, d))).select("key", "compression", "n")
 
 
 @query("D3_tdigest_add", f"{DIGEST_SQL}, true AS close FROM events GROUP BY 1")
@@ -462,10 +465,107 @@ def d13(spark, d):
     return quantiles.trimmed_mean(quantiles.stepped(values(spark, d)), 0.1, 0.9).select("key", F.round("mean", 6).alias("mean"))
 
 
-@query("D14_tdigest_info", "SELECT event_type AS key, 100 AS compression, 610 AS capacity, count(*) AS observations, 9840::BIGINT AS bytes, true AS fits FROM events GROUP BY 1")
+@query("D14_tdigest_info", "SELECT event_type AS key, 100 AS compression, 610 AS capacity, count(*) AS observations, 9840::BIGINT AS bytes, true AS fits, true AS adds_up FROM events GROUP BY 1")
 def d14(spark, d):
     i = tdigest.info(tdigest.build(values(spark, d)))
-    return i.select("key", "compression", "capacity", "observations", "bytes", (F.col("nodes") <= F.col("capacity")).alias("fits"))
+    return i.select("key", "compression", "capacity", "observations", "bytes", (F.col("nodes") <= F.col("capacity")).alias("fits"), (F.col("merged_weight") + F.col("unmerged_weight") == F.col("observations")).alias("adds_up"))
+
+
+#: What a digest answers, against the exact answers: each within 2 % of the ranks (of the values, for means).
+PROBES_Q, PROBES_X, PROBES_R = [0.01, 0.25, 0.5, 0.9, 0.99], [1.0, 50.0, 77.31, 250.5], [0, 17, 100, 10**9]
+CLOSE_SQL = "SELECT event_type AS key, p, true AS close FROM events CROSS JOIN (SELECT unnest({})::DOUBLE AS p) GROUP BY ALL"
+
+
+def _answers(spark, d, asked: list, column: str, **how) -> DataFrame:
+    """(key, p, n, got): an answer of the digests for each p."""
+    got = tdigest.evaluate(tdigest.build(values(spark, d)), **how)
+    pairs = F.arrays_zip(F.array(*(F.lit(float(x)) for x in asked)).alias("p"), F.col(column).cast("array<double>").alias("got"))
+    return got.select("key", "n", F.explode(pairs).alias("x")).select("key", F.col("x.p").alias("p"), "n", F.col("x.got").alias("got"))
+
+
+def _ranked(spark, d, answers: DataFrame, want) -> DataFrame:
+    """(key, p, close): whether the share of values up to the answer, or that up to the next, reaches what it should."""
+    v = values(spark, d).join(F.broadcast(answers), "key").groupBy("key", "p", "n", "got")
+    share = v.agg(F.avg((F.col("v") < F.col("got")).cast("int")).alias("under"), F.avg((F.col("v") <= F.col("got")).cast("int")).alias("upto"))
+    return share.select("key", "p", ((F.col("under") <= want + 0.02) & (F.col("upto") >= want - 0.02)).alias("close"))
+
+
+@query("D7_digest_quantile", CLOSE_SQL.format(PROBES_Q))
+def d7_digest(spark, d):
+    return _ranked(spark, d, _answers(spark, d, PROBES_Q, "quantiles", qs=PROBES_Q), F.col("p"))
+
+
+@query("D8_digest_byrank", CLOSE_SQL.format(PROBES_R))
+def d8_digest(spark, d):
+    return _ranked(spark, d, _answers(spark, d, PROBES_R, "byranks", ranks=PROBES_R), F.least(F.lit(1.0), F.col("p") / F.col("n")))
+
+
+@query("D9_digest_byrevrank", CLOSE_SQL.format(PROBES_R))
+def d9_digest(spark, d):
+    return _ranked(spark, d, _answers(spark, d, PROBES_R, "byrevranks", ranks=PROBES_R), F.greatest(F.lit(0.0), 1 - F.col("p") / F.col("n")))
+
+
+def _near_exact(spark, d, column: str, exact: DataFrame, name: str, size) -> DataFrame:
+    got = _answers(spark, d, PROBES_X, column, xs=PROBES_X)
+    return got.join(exact.withColumnRenamed("x", "p"), ["key", "p"]).select("key", "p", (F.abs(F.col("got") - F.col(name)) <= 0.02 * size).alias("close"))
+
+
+@query("D10_digest_rank", CLOSE_SQL.format(PROBES_X))
+def d10_digest(spark, d):
+    return _near_exact(spark, d, "ranks", quantiles.rank(values(spark, d), PROBES_X), "rank", F.col("n"))
+
+
+@query("D11_digest_revrank", CLOSE_SQL.format(PROBES_X))
+def d11_digest(spark, d):
+    return _near_exact(spark, d, "revranks", quantiles.rank(values(spark, d), PROBES_X, reverse=True), "rank", F.col("n"))
+
+
+@query("D12_digest_cdf", CLOSE_SQL.format(PROBES_X))
+def d12_digest(spark, d):
+    return _near_exact(spark, d, "cdfs", quantiles.cdf(values(spark, d), PROBES_X), "cdf", F.lit(1.0))
+
+
+@query("D13_digest_trimmed_mean", "SELECT event_type AS key, true AS close FROM events GROUP BY 1")
+def d13_digest(spark, d):
+    got = tdigest.evaluate(tdigest.build(values(spark, d)), trims=[(0.1, 0.9)]).select("key", F.col("trimmed_means")[0].alias("got"))
+    exact = quantiles.trimmed_mean(quantiles.stepped(values(spark, d)), 0.1, 0.9)
+    return got.join(exact, "key").select("key", (F.abs(F.col("got") - F.col("mean")) <= 0.02 * F.col("mean")).alias("close"))
+
+
+# ---- forms that depend on the order of arrival: a fold of one key by seq, beyond SQL ----------
+
+@query("B2_bloom_chain")
+def chain_links(spark, d):
+    """Links of growing filters with what each holds."""
+    return scaling.links(parts(spark, d), BloomOptions(error_rate=0.01, capacity=100))
+
+
+@query("B7_bloom_chain_info")
+def chain_info(spark, d):
+    """Capacity, size in bytes, links and items of growing filters."""
+    x = scaling.links(parts(spark, d), BloomOptions(error_rate=0.01, capacity=100))
+    size = F.lit(bloom.CHAIN_BYTES) + F.sum(bloom.LINK_BYTES + F.col("bits") / 8)
+    return x.groupBy("key").agg(F.sum("capacity").alias("capacity"), size.cast("long").alias("size"), F.count("*").alias("filters"), F.sum("size").alias("items"), F.lit(2).alias("expansion"))
+
+
+@query("C4_cuckoo_packed_insert")
+def packed_insert(spark, d):
+    """What a packed filter that may not expand stores and refuses."""
+    got = cuckoo.packed_flags(parts(spark, d), TIGHT)
+    return got.groupBy("key").agg(F.count_if(F.col("stored") == 1).alias("stored"), F.count_if(F.col("stored") == -1).alias("refused"))
+
+
+@query("C13_cuckoo_packed_info")
+def packed_info(spark, d):
+    """Sub-filters of packed filters that expand."""
+    got = cuckoo.packed(parts(spark, d), CuckooOptions(capacity=512, expansion=2))
+    return got.select("key", "filter", "buckets", F.length("data").cast("long").alias("bytes"))
+
+
+@query("T2_topk_decaying")
+def decaying(spark, d):
+    """The list that decaying counters keep."""
+    return topk.sequential(users(spark, d), TopKOptions(k=10, width=200, depth=5, decay=0.9))
 
 
 # ---- streams -------------------------------------------------------------------------------

@@ -22,20 +22,17 @@ def _read(data: Column, at: Column, size: int) -> Column:
     return F.conv(F.hex(F.substr(data, at + 1, F.lit(size))), 16, 10).cast("long")
 
 
-def _joined(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x))
-
-
 def dump_bloom(headers: DataFrame, pages: DataFrame) -> DataFrame:
-    head = headers.select("key", F.lit(0).cast("long").alias("chunk"), F.to_json(F.struct("capacity", "error", "bits", "hashes", "expansion")).cast("binary").alias("data"))
-    rec = pages.select("key", (F.floor(F.col("page") / PAGES) + 1).cast("long").alias("chunk"), F.struct("page", F.concat(_number(F.col("page"), 16), "bitmap").alias("r")).alias("s"))
-    body = rec.groupBy("key", "chunk").agg(_joined(F.transform(F.sort_array(F.collect_list("s")), lambda x: x.r)).alias("data"))
-    return head.unionByName(body)
+    held = headers.join(pages.groupBy("key").agg(F.count("*").alias("pages")), "key", "left").fillna(0, ["pages"])
+    head = held.select("key", F.lit(0).cast("long").alias("chunk"), F.to_json(F.struct("capacity", "error", "bits", "hashes", "expansion", "pages")).cast("binary").alias("data"))
+    rec = pages.select("key", (F.floor(F.col("page") / PAGES) + 1).cast("long").alias("chunk"), "page", F.concat(_number(F.col("page"), 16), "bitmap").alias("r"))
+    return head.unionByName(rec.groupBy("key", "chunk").agg(F.expr("listagg(r) within group (order by page)").alias("data")))
 
 
 def load_bloom(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(headers, pages) of dumped chunks; a body without a header, of a wrong length or beyond its filter fails."""
-    form = "capacity long, error double, bits long, hashes int, expansion int"
+    """(headers, pages) of dumped chunks; a body without a header, of a wrong length or beyond its filter fails, and so
+    does a filter whose header counts other pages than there are: a lost chunk would make present items absent."""
+    form = "capacity long, error double, bits long, hashes int, expansion int, pages long"
     head = chunks.where("chunk = 0").select("key", F.from_json(F.col("data").cast("string"), form).alias("h")).select("key", "h.*")
     head = head.withColumn("bits", F.when(F.col("bits") > 0, F.col("bits")).otherwise(F.raise_error(F.lit("a header can't be read")).cast("long")))
     size = 8 + PAGE_BYTES
@@ -46,15 +43,19 @@ def load_bloom(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     page = _read(F.col("data"), F.col("i") * size, 8)
     rows = each.select("key", "bits", page.alias("page"), F.substr(F.col("data"), F.col("i") * size + 9, F.lit(PAGE_BYTES)).alias("bitmap"))
     inside = F.when(F.col("page") * 8 * PAGE_BYTES < F.col("bits"), F.col("page")).otherwise(F.raise_error(F.lit("a page lies beyond its filter")).cast("long"))
-    return head, rows.select("key", inside.alias("page"), "bitmap")
+    rows = rows.select("key", inside.alias("page"), "bitmap")
+    there = head.select("key", F.col("pages").alias("wanted")).join(rows.groupBy("key").agg(F.count_distinct("page").alias("there"), F.count("*").alias("n")), "key", "left").fillna(0, ["there", "n"])
+    whole = (F.col("there") == F.coalesce("wanted", F.lit(-1))) & (F.col("n") == F.col("there"))
+    checked = there.select("key", F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("chunks are missing or there twice")).cast("boolean")).alias("ok"))
+    return head.drop("pages").join(checked, "key").where("ok").drop("ok"), rows.join(checked, "key", "left").where(F.coalesce("ok", F.raise_error(F.lit("a chunk has no header")).cast("boolean"))).drop("ok")
 
 
 def dump_cuckoo(store: DataFrame, buckets: int) -> DataFrame:
     keys = store.groupBy("key").agg(F.sum("cnt").alias("items"))
     head = keys.select("key", F.lit(0).cast("long").alias("chunk"), F.to_json(F.struct(F.lit(buckets).cast("long").alias("buckets"), "items")).cast("binary").alias("data"))
     r = F.concat(_number(F.col("fp"), 2), _number(F.col("slot"), 16), _number(F.col("cnt"), 16))
-    rec = store.select("key", (F.floor(F.col("slot") / ENTRIES) + 1).cast("long").alias("chunk"), F.struct("slot", "fp", r.alias("r")).alias("s"))
-    return head.unionByName(rec.groupBy("key", "chunk").agg(_joined(F.transform(F.sort_array(F.collect_list("s")), lambda x: x.r)).alias("data")))
+    rec = store.select("key", (F.floor(F.col("slot") / ENTRIES) + 1).cast("long").alias("chunk"), "slot", "fp", r.alias("r"))
+    return head.unionByName(rec.groupBy("key", "chunk").agg(F.expr("listagg(r) within group (order by slot, fp)").alias("data")))
 
 
 def load_cuckoo(chunks: DataFrame) -> DataFrame:
