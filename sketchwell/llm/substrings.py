@@ -150,7 +150,7 @@ _OWNERS = "gram long, whole long, uid long, first long, last long"
 _RUNS = pa.schema([("uid", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 
 
-def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: int = 800, block: int = 1 << 20, meeting: int = 1 << 19) -> DataFrame:
+def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: int = 800, block: int = 1 << 18, meeting: int = 1 << 16) -> DataFrame:
     """(uid, first, last): runs of places where a string starts that also starts elsewhere. named: (uid, text)."""
     spark = reachable(named.sparkSession)
     schema = pa.schema([(c.split()[0], pa.int64()) for c in _OWNERS.split(", ")])
@@ -341,7 +341,7 @@ def _kept(ids: DataFrame, column: str):
     return perhaps
 
 
-def shared_passages(named: DataFrame, words: int = 51, gram: int = 8, block: int = 1 << 20) -> DataFrame:
+def shared_passages(named: DataFrame, words: int = 51, gram: int = 8, block: int = 1 << 18) -> DataFrame:
     """(uid): texts that hold a passage of `words` words which is in another text too. named: (uid, text)."""
     reachable(named.sparkSession)
     kinds = "gram long, whole long, uid long, first long, last long"
