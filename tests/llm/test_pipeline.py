@@ -1,5 +1,5 @@
 import corpus_pipeline
-from sketchwell.llm import jaccard
+from sketchwell.llm import decontam, jaccard
 from sketchwell.llm.common import stored
 
 
@@ -23,6 +23,29 @@ def test_stages_take_effect(spark, data):
     assert sorted(map(tuple, corpus_pipeline.run(spark, data).collect())) == sorted(map(tuple, out.collect()))
 
 
+def test_filtering_stages_equal_brute_force(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    groups = jaccard.brute_components(rows, num=80, width=5)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()}
+    assert kept == {i for i, (_, c) in groups.items() if i == c} and len(kept) < len(rows)
+    short = docs.where("length(text) < 3000")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    leaks = {d for d, _ in decontam.brute_contaminated([r for r in rows if r[1] and len(r[1]) < 3000], items)}
+    kept = {r.doc_id for r in corpus_pipeline.drop_benchmark_passages(spark, short, data).collect()}
+    gone = {r.doc_id for r in short.select("doc_id").collect()} - kept
+    assert gone <= leaks and len(gone) >= 0.9 * len(leaks) > 0
+
+
+def test_near_duplicates_leave_one_row_of_each_id(spark, odd, odd_rows):
+    got = corpus_pipeline.drop_near_duplicates(spark, odd, "").collect()
+    ids = [r.doc_id for r in got if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and set(ids) == {i for i, (_, c) in jaccard.brute_components([r for r in odd_rows if r[0] is not None], num=80, width=5).items() if i == c}
+    assert sum(r.doc_id is None for r in got) == 1
+    twice = odd.unionAll(odd)
+    assert sorted(map(str, corpus_pipeline.drop_near_duplicates(spark, twice.where("doc_id is not null"), "").collect())) == sorted(str(r) for r in got if r.doc_id is not None)
+
+
 def test_stages_with_odd_rows(spark, odd, none, data):
     for start in (odd, none):
         docs = start
