@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
@@ -71,6 +73,27 @@ def slices(column, limit: int):
         start = min(stop, n)
 
 
+# ---- what a Python worker keeps --------------------------------------------------------
+
+#: Tables that a worker keeps from task to task, and whose they are.
+CACHES: list[dict] = []
+_OWNER: list[str] = [""]
+
+
+def fresh(owner: str) -> None:
+    """Called where a task's function starts: what another step left in this worker is dropped, its memory given back."""
+    if _OWNER[0] == owner:
+        return
+    _OWNER[0] = owner
+    for cache in CACHES:
+        cache.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: it has no such call
+        pass
+
+
 # ---- a filter of bounded size for ids -------------------------------------------------
 
 MOST_BITS = 1 << 26  # 8 MB: the filter never grows beyond this, it only passes more
@@ -93,6 +116,7 @@ def id_filter(ids: DataFrame, column: str) -> np.ndarray:
         bits <<= 1
 
     def build(batches):
+        fresh("id filter")
         mine = np.zeros(bits, bool)
         for b in batches:
             x = b.column(0).drop_null()

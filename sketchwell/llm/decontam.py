@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchwell.llm.common import mix, reachable, slices, text_bytes
+from sketchwell.llm.common import fresh, mix, reachable, slices, text_bytes
 
 
 @dataclass(frozen=True)
@@ -375,6 +375,7 @@ def contaminated(docs: DataFrame, items: DataFrame, o: CgkOptions | None = None)
         sent = spark.sparkContext.broadcast(Index(ids, texts, o))
 
         def run(batches):
+            fresh("decontamination")
             index = sent.value
             for b in batches:
                 for lo, hi in slices(b.column(1), 1 << 20):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sketchwell.llm.common import components, id_filter, in_filter, mix, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import components, fresh, id_filter, in_filter, mix, reachable, slices, stored, text_bytes
 
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -124,6 +124,7 @@ def signatures(docs: DataFrame, num: int, den: int, width: int = 3) -> DataFrame
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("key", pa.binary()), ("prefix", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def run(batches):
+        fresh("signatures")
         to = Shingler(width)
         for b in batches:
             texts = b.column(1)
@@ -176,6 +177,7 @@ def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: in
 
     def keep(batches):
         """Postings without the frequent lists that the bound lets a text skip; n holds size and number skipped."""
+        fresh("postings")
         tokens, hits = sent.value
         for b in batches:
             ids, ns = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
@@ -199,6 +201,7 @@ def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: in
 
     def lists(batches):
         """Streams over postings sorted by token: only one block of one list is held."""
+        fresh("lists")
         token, leader, ids, ns, more = None, None, [], [], False
         ready: list = []
 
@@ -318,6 +321,7 @@ def _stars(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        fresh("stars")
         key, ids, held, found = None, [], [], []
         for b in batches:
             lead, part, who, tok = (b.column(i) for i in range(4))
@@ -368,6 +372,7 @@ def _whole_sets(named: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary())])
 
     def run(batches):
+        fresh("sets")
         to = Shingler(width)
         for b in batches:
             b = b.filter(pc.is_valid(b.column(0)))

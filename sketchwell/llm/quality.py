@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchwell.llm.common import mix, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import CACHES, fresh, mix, reachable, slices, stored, text_bytes
 
 
 @dataclass(frozen=True)
@@ -63,6 +63,7 @@ class Grams:
 
 
 _GRAMS: dict[int, Grams] = {}
+CACHES.append(_GRAMS)
 
 
 def _grams(buckets: int) -> Grams:
@@ -92,6 +93,7 @@ def counts(docs: DataFrame, target: DataFrame, o: ResampleOptions) -> tuple[np.n
         rows = named.join(ids.withColumn("good", F.lit(True)), "id", "left").select("id", "text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def counted(batches):
+        fresh("quality")
         to, total = _grams(o.buckets), np.zeros((2, -(-o.buckets // block) * block), np.int64)
         for b in batches:
             good = b.column(2).to_numpy(zero_copy_only=False)
@@ -134,6 +136,7 @@ def weighed(docs: DataFrame, ratio: np.ndarray, o: ResampleOptions) -> DataFrame
     schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("key", pa.float64())])
 
     def run(batches):
+        fresh("quality")
         to, r = _grams(o.buckets), sent.value
         for b in batches:
             ids = b.column(0)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchwell.llm.common import id_filter, in_filter, mix, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import fresh, id_filter, in_filter, mix, reachable, slices, stored, text_bytes
 
 K1 = np.uint64(0x9E3779B97F4A7C15)
 POS = np.uint64(24)  # bits of a place within one block of bytes
@@ -156,6 +156,7 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
     schema = pa.schema([(c.split()[0], pa.int64()) for c in _OWNERS.split(", ")])
 
     def find(batches):
+        fresh("owners")
         for b in batches:
             uid = b.column(0).to_numpy(zero_copy_only=False)
             for rows, shift, raw, starts, ends in _blocks(b.column(1), length, block):
@@ -192,6 +193,7 @@ def repeated_starts(named: DataFrame, length: int = 400, gram: int = 50, most: i
 
     def meet(batches):
         """Grams in order; a group is complete before it is ranked."""
+        fresh("meetings")
         held, size = [], 0
 
         def ranked(rows):
@@ -348,6 +350,7 @@ def shared_passages(named: DataFrame, words: int = 51, gram: int = 8, block: int
     schema = pa.schema([(c.split()[0], pa.int64()) for c in kinds.split(", ")])
 
     def find(batches):
+        fresh("word owners")
         to = Words()
         for b in batches:
             uid = b.column(0).to_numpy(zero_copy_only=False)
@@ -381,6 +384,7 @@ def shared_passages(named: DataFrame, words: int = 51, gram: int = 8, block: int
     out = pa.schema([("window", pa.int64()), ("uid", pa.int64()), ("many", pa.bool_())])
 
     def windows(batches):
+        fresh("windows")
         to = Words()
         for b in batches:
             for i in range(len(b)):

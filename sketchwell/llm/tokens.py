@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sketchwell.llm.common import parallelism, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import CACHES, fresh, parallelism, reachable, slices, stored, text_bytes
 
 MAGIC = b"DAC1"
 RANK = 64  # bytes of bitmap for each entry of the rank directory
@@ -136,7 +136,7 @@ class Encoder:
     white space alone and keep their case; others are lowered first where the vocabulary does so.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -223,6 +223,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
@@ -238,6 +239,7 @@ def encode(docs: DataFrame, path: str, end: int | None, bounds: list[int]) -> Da
     schema = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches):
+        fresh("encoding")
         to = encoder(path)
         kind = "<u2" if max(to.tok.get_vocab_size(), end or 0) <= 1 << 16 else "<u4"
         edge = np.array(bounds, np.int64)
@@ -265,6 +267,7 @@ def write_shards(docs: DataFrame, path: str, end: int | None = 1, shard_tokens:
     schema = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("tokens", pa.int64()), ("documents", pa.int64()), ("body", pa.binary())])
 
     def run(batches):
+        fresh("shards")
         bucket, seq, ids, who, size, held = None, 0, [], [], [], 0
 
         def shard():

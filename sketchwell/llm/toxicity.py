@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sketchwell.llm.common import reachable, slices
+from sketchwell.llm.common import fresh, reachable, slices
 
 
 @dataclass(frozen=True)
@@ -205,6 +205,7 @@ def score(docs: DataFrame, model: CompressionModel, out: str = "toxicity") -> Da
 
     @F.arrow_udf("double")
     def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        fresh("toxicity")
         for column in texts:
             found = [model.scores(column.slice(lo, hi - lo).to_pylist()) for lo, hi in slices(column, 2 << 20)]
             yield pa.array([x for part in found for x in part], pa.float64())
