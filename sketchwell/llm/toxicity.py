@@ -55,8 +55,9 @@ class ToxicityOptions:
 _WORD_BYTES = bytes((c | 32 if 65 <= c < 91 else c) if 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split()
+def words_of(text: str | None) -> bytes:
+    """The words of a text, one blank between them."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split())
 
 
 class CompressionModel:
@@ -74,14 +75,14 @@ class CompressionModel:
             return self
         rng = random.Random(options.seed)
         bad, good = [d for d, v in zip(docs, y) if v], [d for d, v in zip(docs, y) if not v]
-        in_bad, in_good = Counter(w for d in bad for w in set(d)), Counter(w for d in good for w in set(d))
+        in_bad, in_good = Counter(w for d in bad for w in set(d.split())), Counter(w for d in good for w in set(d.split()))
         scored = sorted(((_keyness(in_bad[w], in_good[w], len(bad), len(good)), w) for w in in_bad), reverse=True)
         telling = {w for k, w in scored[: options.key_words] if k > options.keyness}
-        runs = [[w for w in d if w in telling] for d in bad]
+        runs = [[w for w in d.split() if w in telling] for d in bad]
         toxic = [b" " + b"  ".join(r) + b" " for r in runs if r]
         rng.shuffle(toxic)
         self.toxic = _trained(options.toxic_dict, toxic, 32)
-        plain = [b" " + b" ".join(d[i : i + 16]) + b" " for d in good for i in range(0, len(d), 16)]
+        plain = [b" " + b" ".join(w[i : i + 16]) + b" " for w in map(bytes.split, good) for i in range(0, len(w), 16)]
         rng.shuffle(plain)
         self.ordinary = _trained(options.ordinary_dict, plain[: options.most_passages], 64)
         self.steps = self._calibrated(good)
@@ -93,18 +94,18 @@ class CompressionModel:
         return self
 
     def _gains(self):
-        """words -> bytes that the toxic dictionary saves in each window."""
+        """Words of a text -> bytes that the toxic dictionary saves in each window."""
         o = self.options
         plain, both = (_compressor(x, o) for x in (self.ordinary, self.toxic + self.ordinary))
 
-        def gains(words: list[bytes]) -> np.ndarray:
-            data = b" " + b" ".join(words) + b" "
+        def gains(words: bytes) -> np.ndarray:
+            data = b" " + words + b" "
             windows = [data[i : i + o.window] for i in range(0, max(1, len(data) - (o.window - o.step)), o.step)]
             return np.array([len(plain(w)) - len(both(w)) for w in windows])
 
         return gains
 
-    def _calibrated(self, good: list[list[bytes]]) -> tuple[int, ...]:
+    def _calibrated(self, good: list[bytes]) -> tuple[int, ...]:
         """The least gains that no more than each share of the ordinary windows reach, and the next ones up where shares agree."""
         gains, held = self._gains(), Counter()
         for d in good:
@@ -117,10 +118,10 @@ class CompressionModel:
         return tuple(found)
 
     def measure(self):
-        """words -> features: how many windows shrink by each threshold, their share, the most, their number."""
+        """Words of a text -> features: how many windows shrink by each threshold, their share, the most, their number."""
         gains = self._gains()
 
-        def features(words: list[bytes]) -> list[float]:
+        def features(words: bytes) -> list[float]:
             gain = gains(words)
             over = [int((gain >= t).sum()) for t in self.steps]
             return [*(math.log1p(k) for k in over), math.log(len(gain)), float(gain.max()), over[0] / len(gain), over[1] / len(gain)]
