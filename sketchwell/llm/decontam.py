@@ -102,22 +102,29 @@ _walks = lru_cache(maxsize=64)(Walk)
 
 def symbols_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     """Symbols of texts, each followed by a 0; where each lies in raw; where each text starts, and where the last ends."""
-    n = _SYMBOL[raw]
+    n = _SYMBOL.take(raw)
     at = np.flatnonzero(n)
-    row = np.searchsorted(ends, at, "right")
+    first = np.searchsorted(at, np.r_[starts, ends[-1:]])
+    to = np.repeat(np.arange(len(starts)), np.diff(first))
+    to += np.arange(len(at))
     out, place = np.zeros(len(at) + len(starts), np.uint8), np.zeros(len(at) + len(starts), np.int64)
-    to = np.arange(len(at)) + row
-    out[to], place[to] = n[at], at
-    first = np.searchsorted(at, np.r_[starts, ends[-1:]]) + np.arange(len(starts) + 1)
+    out[to], place[to] = n.take(at), at
+    first += np.arange(len(starts) + 1)
     place[first[1:] - 1] = ends  # the ends
     return out, place, first
 
 
 def gram_buckets(symbols: np.ndarray, q: int) -> np.ndarray:
-    h = np.zeros(max(0, len(symbols) - q + 1), np.uint64)
-    for k in range(q):
-        h = h * _MUL + symbols[k : k + len(h)].astype(np.uint64) + np.uint64(1)
-    return (mix(h) % np.uint64(BUCKETS)).astype(np.int32)
+    out = np.empty(max(0, len(symbols) - q + 1), np.int32)
+    for a in range(0, len(out), 1 << 14):  # in the caches
+        part = symbols[a : a + (1 << 14) + q - 1].astype(np.uint64)
+        h = np.zeros(len(part) - q + 1, np.uint64)
+        for k in range(q):
+            h *= _MUL
+            h += part[k : k + len(h)]
+            h += np.uint64(1)
+        out[a : a + len(h)] = mix(h) & np.uint64(BUCKETS - 1)
+    return out
 
 
 def asked_grams(size: int, o: CgkOptions) -> np.ndarray:
@@ -255,6 +262,12 @@ class Index:
             self.grams[k] = np.packbits(held)
             for r in range(repeats):
                 parts.setdefault((steps, samples, r, grid), []).append((k, x, np.arange(len(x))))
+        self.asked = np.full((len(self.items), o.asked), -1, np.int64)  # -1: fewer than `asked`
+        for k in np.flatnonzero(self.shares):
+            places = asked_grams(int(self.sizes[k]), o)
+            self.asked[k, : len(places)] = places
+        self.reach = self.asked.max(axis=1, initial=0)
+        self.least = self.shares * (self.asked >= 0).sum(axis=1)
         self.tables = {}  # by (steps, samples, repeat, grid); grid 0: starts of words
         for kind, rows in parts.items():
             base = np.cumsum([0, *(len(x) + 1 for _, x, _ in rows[:-1])])
@@ -270,10 +283,10 @@ class Index:
 
     def hits(self, s: np.ndarray, place: np.ndarray, first: np.ndarray, most: int = 1 << 16):
         """Met windows of texts of symbols s: arrays (item, start of the window in s), bounded parts."""
-        new = np.r_[True, place[1:] != place[:-1] + 1]
-        new[first[:-1]] = True  # words start here
-        new |= s == 0
-        own = np.arange(len(s)) - np.repeat(first[:-1], np.diff(first))
+        if any(not kind[3] for kind in self.tables):
+            new = np.r_[True, place[1:] != place[:-1] + 1]
+            new[first[:-1]] = True  # words start here
+            new |= s == 0
         walked: dict[tuple, tuple] = {}
         for kind, (h, item, at, packed) in sorted(self.tables.items()):  # of one walk the finest grid comes first
             if not kind[3]:
@@ -283,18 +296,21 @@ class Index:
                 starts = starts[new[starts + kind[0]]]
                 got = walk_of(*kind[:3], self.o.seed).hashes(s, starts)
             elif kind[:3] in walked:  # each grid is part of the finer ones
-                starts, got = walked[kind[:3]]
-                on = own[starts] % kind[3] == 0
+                starts, own, got = walked[kind[:3]]
+                on = own % kind[3] == 0
                 starts, got = starts[on], got[on]
             else:
-                starts = np.flatnonzero((own % kind[3] == 0) & (s > 0))
+                n = -(-(np.diff(first) - 1) // kind[3])  # starts of each text
+                own = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * kind[3]
+                starts = own + np.repeat(first[:-1], n)
                 got = walk_of(*kind[:3], self.o.seed).hashes(s, starts)
-                walked[kind[:3]] = starts, got
+                walked[kind[:3]] = starts, own, got
             bit = (got & np.uint64(8 * len(packed) - 1)).astype(np.int64)
             on = np.flatnonzero(packed[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)
-            lo, hi = np.searchsorted(h, got[on], "left"), np.searchsorted(h, got[on], "right")
-            n = hi - lo
-            on, lo, n = on[n > 0], lo[n > 0], n[n > 0]
+            lo = np.searchsorted(h, got[on], "left")
+            known = h.take(lo, mode="clip") == got[on]
+            on, lo = on[known], lo[known]
+            n = np.searchsorted(h, got[on], "right") - lo
             ends = np.cumsum(n)
             for a in range(0, int(ends[-1]) if len(ends) else 0, most):  # postings of frequent hashes, part by part
                 each = np.arange(a, min(a + most, int(ends[-1])))
@@ -302,49 +318,64 @@ class Index:
                 p = lo[k] + each - (ends[k] - n[k])
                 yield item[p], starts[on[k]] - at[p]
 
-    def verified(self, s: np.ndarray, place: np.ndarray, first: np.ndarray):
-        """(row, item, distance, symbols, end in raw) of the best match of each text and item."""
-        cuts = first[1:] - 1
-        buckets = gram_buckets(np.append(s, np.zeros(self.o.gram, np.uint8)), self.o.gram)
-        wanted: dict[tuple[int, int], set] = {}
+    def likely(self, item: np.ndarray, start: np.ndarray, row: np.ndarray, first: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Which windows share as many q-grams with their items as `least` asks; item ascends."""
+        out = np.empty(len(item), bool)
+        for a in range(0, len(item), 1 << 9):  # in the caches
+            k, x, r = item[a : a + (1 << 9)], start[a : a + (1 << 9)], row[a : a + (1 << 9)]
+            new = np.r_[True, k[1:] != k[:-1]]
+            held = np.unpackbits(self.grams[k[new]], axis=1).ravel()
+            lo, hi = first[r], first[r + 1] - 1
+            at = self.asked.take(k, axis=0)
+            part = np.flatnonzero((x < lo) | (x + self.reach[k] >= hi) | (at[:, -1] < 0))  # windows over the ends of texts
+            some = at[part]
+            some[some < 0] = len(buckets)  # in no text
+            some += x[part, None]
+            gone = (some < lo[part, None]) | (some >= hi[part, None])
+            at += x[:, None]
+            at = buckets.take(at, mode="clip")
+            at += ((np.cumsum(new) - 1) * BUCKETS)[:, None]
+            got = held.take(at)
+            got[part] &= ~gone
+            out[a : a + len(k)] = got.sum(axis=1, dtype=np.int32) >= self.least[k]
+        return out
+
+    def stretches(self, s: np.ndarray, place: np.ndarray, first: np.ndarray):
+        """(row, item, from, to): stretches of the symbols s in which an item may lie."""
+        buckets = gram_buckets(np.append(s, np.zeros(self.o.gram, np.uint8)), self.o.gram).astype(np.int64)
+        wanted = [np.empty(0, np.int64)]
         for item, start in self.hits(s, place, first):
-            keys = np.unique(item.astype(np.int64) << 32 | start + (1 << 31))  # by item, then by place
+            keys = np.sort(item.astype(np.int64) << 32 | start + (1 << 31))  # by item, then by place
+            keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
             item, start = keys >> 32, (keys & (1 << 32) - 1) - (1 << 31)
             row = np.searchsorted(first, np.clip(start + self.sizes[item] // 2, 0, len(s) - 1), "right") - 1
-            cut = np.flatnonzero(np.r_[True, item[1:] != item[:-1], True])
-            for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):  # windows of an item share its table and size
-                k, x, r = int(item[a]), start[a:z], row[a:z]
-                if self.shares[k]:
-                    grams = asked_grams(int(self.sizes[k]), self.o)
-                    held = np.unpackbits(self.grams[k])
-                    ok = []
-                    for part in range(0, z - a, 1 << 14):
-                        at = x[part : part + (1 << 14), None] + grams
-                        inside = (at >= first[r[part : part + (1 << 14)], None]) & (at < cuts[r[part : part + (1 << 14)], None])
-                        got = held[buckets[np.clip(at, 0, len(buckets) - 1)]] & inside
-                        ok.append(got.sum(axis=1) >= self.shares[k] * len(grams))
-                    on = np.concatenate(ok)
-                    x, r = x[on], r[on]
-                for q, y in zip(r.tolist(), x.tolist()):
-                    wanted.setdefault((q, k), set()).add(y)
+            wanted.append(keys[self.likely(item, start, row, first, buckets)])
+        keys = np.unique(np.concatenate(wanted))
+        item, start = keys >> 32, (keys & (1 << 32) - 1) - (1 << 31)
+        row = np.searchsorted(first, np.clip(start + self.sizes[item] // 2, 0, len(s) - 1), "right") - 1
         spans: list[list[int]] = []
-        for (r, k), starts in sorted(wanted.items()):
+        for r, k, x in sorted(zip(row.tolist(), item.tolist(), start.tolist())):
             edits, n = self.edits(k), int(self.sizes[k])
-            for x in sorted(starts):
-                lo, hi = max(int(first[r]), x - edits), min(int(cuts[r]), x + n + edits)
-                if spans and spans[-1][:2] == [r, k] and lo <= spans[-1][2] + 2 * edits:
-                    spans[-1][3] = max(spans[-1][3], hi)
-                else:
-                    spans.append([r, k, lo, hi])
-        spans.sort(key=lambda x: self.sizes[x[1]])  # pairs of like size go together
-        found: dict[tuple[int, int], tuple] = {}
-        for a in range(0, len(spans), 1024):
-            part = spans[a : a + 1024]
-            for (r, k, lo, _), d, end in zip(part, *fit_many([self.items[k].tobytes() for _, k, _, _ in part], [s[lo:hi].tobytes() for _, _, lo, hi in part])):
-                if d <= self.edits(k):
-                    found[r, k] = min(found.get((r, k), (d, np.inf)), (int(d), int(place[lo + end - 1]) + 1))
-        for (r, k), (d, end) in sorted(found.items()):
-            yield r, k, d, int(self.sizes[k]), end
+            lo, hi = max(int(first[r]), x - edits), min(int(first[r + 1]) - 1, x + n + edits)
+            if spans and spans[-1][:2] == [r, k] and lo <= spans[-1][2] + 2 * edits:
+                spans[-1][3] = max(spans[-1][3], hi)
+            else:
+                spans.append([r, k, lo, hi])
+        return spans
+
+    def matches(self, stretches: list[tuple[int, bytes]]):
+        """(which, distance, end) of the (item, symbols) within the bound; the longest of those that go together have
+        most of their symbols in use."""
+        order = sorted(range(len(stretches)), key=lambda i: (self.sizes[stretches[i][0]] - 1 >> 6, len(stretches[i][1])))
+        while order:
+            most = 1
+            while most < min(len(order), 1024) and len(stretches[order[most]][1]) <= 2 * len(stretches[order[0]][1]) and (most + 1) * len(stretches[order[most]][1]) <= 1 << 22:
+                most += 1
+            part, order = order[:most], order[most:]
+            found = fit_many([self.items[stretches[i][0]].tobytes() for i in part], [stretches[i][1] for i in part])
+            for i, d, end in zip(part, *(x.tolist() for x in found)):
+                if d <= self.edits(stretches[i][0]):
+                    yield i, d, end
 
     def edits(self, item: int) -> int:
         return int(self.o.max_edits * self.sizes[item]) if self.sizes[item] >= self.o.least else 0
@@ -377,18 +408,28 @@ def contaminated(docs: DataFrame, items: DataFrame, o: CgkOptions | None = None)
         def run(batches):
             fresh("decontamination")
             index = sent.value
+            held: list[tuple] = []  # stretches of several batches are verified together: (id, item, symbols, their ends in the text)
+
+            def verified():
+                got = [(held[i][0], held[i][1], d, int(held[i][3][end - 1])) for i, d, end in index.matches([h[1:3] for h in held])]
+                held.clear()
+                columns = [[g[0] for g in got], [index.ids[g[1]] for g in got], [g[2] for g in got], [int(index.sizes[g[1]]) for g in got], [g[3] for g in got]]
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+            size = 0
             for b in batches:
-                for lo, hi in slices(b.column(1), 1 << 20):
+                for lo, hi in slices(b.column(1), 1 << 18):  # for the caches
                     raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
                     raw, off = raw[off[0] : off[-1]], off - off[0]
                     s, place, first = symbols_of(raw, off[:-1], off[1:])
-                    got = list(index.verified(s, place, first))
-                    if got:
-                        row = np.array([g[0] for g in got])
-                        own = b.column(0).take(pa.array(lo + row))
-                        end = np.array([g[4] for g in got]) - off[row]
-                        columns = [[index.ids[g[1]] for g in got], [g[2] for g in got], [g[3] for g in got], end]
-                        yield pa.RecordBatch.from_arrays([own, *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+                    for r, k, x, z in index.stretches(s, place, first):
+                        held.append((b.column(0)[lo + r].as_py(), k, s[x:z].tobytes(), place[x:z] - off[r] + 1))
+                        size += z - x
+                        if len(held) >= 1024 or size >= 1 << 20:
+                            yield verified()
+                            size = 0
+            if held:
+                yield verified()
 
         return named.mapInArrow(run, _FOUND)
 

@@ -270,6 +270,29 @@ def test_contamination_odd_rows(spark, odd, none, odd_rows):
     assert decontam.contaminated(odd, items.limit(0)).count() == 0
 
 
+def test_contamination_filter_equals_a_plain_count_and_verifies_together(monkeypatch):
+    rng = random.Random(12)
+    items = [" ".join(one_word(rng) for _ in range(n)) for n in (6, 9, 30, 45, 60)]
+    index = decontam.Index(list(range(len(items))), [t.encode() for t in items], decontam.CgkOptions())
+    texts = [" ".join([*(one_word(rng) for _ in range(rng.randint(0, 9))), edited_text(t, 0.1, rng), *(one_word(rng) for _ in range(rng.randint(0, 3)))]).encode() for t in items for _ in range(4)]
+    ends = np.cumsum([len(t) for t in texts])
+    s, place, first = decontam.symbols_of(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, ends[:-1]], ends)
+    buckets = decontam.gram_buckets(np.append(s, np.zeros(4, np.uint8)), 4).astype(np.int64)
+    item, start = (np.array(x) for x in zip(*sorted((rng.randrange(len(items)), rng.randrange(-300, len(s) + 50)) for _ in range(4000))))
+    row = np.searchsorted(first, np.clip(start + index.sizes[item] // 2, 0, len(s) - 1), "right") - 1
+    plain = []
+    for k, x, r in zip(item.tolist(), start.tolist(), row.tolist()):
+        places, held = decontam.asked_grams(int(index.sizes[k]), index.o), np.unpackbits(index.grams[k])
+        plain.append(sum(int(held[buckets[x + g]]) for g in places if first[r] <= x + g < first[r + 1] - 1) >= index.shares[k] * len(places))
+    assert index.likely(item, start, row, first, buckets).tolist() == plain and 0 < sum(plain) < len(plain)
+    calls, fit = [], decontam.fit_many
+    monkeypatch.setattr(decontam, "fit_many", lambda *x: calls.append(len(x[0])) or fit(*x))
+    held = [(r, k, s[x:z].tobytes()) for r, k, x, z in index.stretches(s, place, first)]
+    got = {held[i][:2] for i, _, _ in index.matches([h[1:] for h in held])}
+    assert {(r, r // 4) for r in range(len(texts))} <= got
+    assert sum(calls) == len(held) and len(calls) <= 8  # many texts go together
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("abc", max_size=9), st.text("abc", max_size=20))
 def test_fit_distance(item, text):
