@@ -73,6 +73,31 @@ def slices(column, limit: int):
         start = min(stop, n)
 
 
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def words_of(raw: np.ndarray, off: np.ndarray, plain: np.ndarray | None = None, cut: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words (runs of bytes that aren't ASCII white space) of texts from off to off, which of them each word is, and
+    how many words each text has. off starts at 0; plain: bytes that stand for raw's; cut: where words are cut, too."""
+    begin = np.empty(len(raw), bool)
+    space = SPACE.take(raw)
+    begin[:1], begin[1:] = True, space[:-1]
+    if cut is not None:
+        begin |= cut
+    begin[off[:-1][off[:-1] < len(raw)]] = True
+    keep = ~space
+    begin &= keep
+    count = np.diff(np.searchsorted(np.flatnonzero(begin), off))
+    data = (raw if plain is None else plain)[keep]
+    at = np.append(np.flatnonzero(begin[keep]), len(data))
+    words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+    _, at, data = words.dictionary.buffers()
+    at = np.frombuffer(at, np.int64)[: len(words.dictionary) + 1].tolist()
+    data = data.to_pybytes() if data else b""
+    return [data[a:z] for a, z in zip(at, at[1:])], words.indices.to_numpy(), count
+
+
 # ---- what a Python worker keeps --------------------------------------------------------
 
 #: Tables that a worker keeps from task to task, and whose they are.

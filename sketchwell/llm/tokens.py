@@ -19,7 +19,6 @@ import os
 import re
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sketchwell.llm.common import CACHES, fresh, parallelism, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import CACHES, fresh, parallelism, reachable, slices, stored, text_bytes, words_of
 
 MAGIC = b"DAC1"
 RANK = 64  # bytes of bitmap for each entry of the rank directory
@@ -112,8 +111,15 @@ class Shard:
         return out
 
 
-#: A boundary that no token spans: an ASCII letter, then one of these marks.
-_CUT = re.compile(rb"(?<=[A-Za-z])(?=[.,;:!?|#$%&*])")
+#: A boundary that no token spans: a letter of ASCII or Latin-1, then one of these marks.
+_MARK = np.isin(np.arange(256), list(b".,;:!?|#$%&*"))
+_LETTER = np.array([chr(c).isascii() and chr(c).isalpha() for c in range(256)])
+_LATIN = np.array([0x80 <= c < 0xC0 and c not in (0x97, 0xB7) for c in range(256)])  # after 0xC3: letters, but for two signs
+_LOWER = np.array([c + 32 if 65 <= c < 91 else c for c in range(256)], np.uint8)
+#: Words that the pre-tokenizer below keeps whole and that no normalizer changes but for their case.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+_CASED = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
 class _Numbered(dict):
@@ -133,11 +139,12 @@ class Encoder:
     """Ids of whole texts by way of pieces that no token spans: cut at ASCII white space and after words.
 
     Ids of pieces are kept, `most` of them at once. Texts that might hold a special token are cut at
-    white space alone and keep their case; others are lowered first where the vocabulary does so.
+    white space alone and keep their case; others are lowered first where the vocabulary does so. New words of
+    plain letters go to the tokenizer's model without the normalizers and patterns that leave them as they are.
     """
 
     def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tok, self.most = Tokenizer.from_file(path), most
@@ -148,6 +155,10 @@ class Encoder:
         if suffix:
             self.ends = np.zeros(self.tok.get_vocab_size(), bool)
             self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.model = None
+        if self.ends is not None and _leaves_words(form):
+            self.model = Tokenizer(self.tok.model)  # the same model, shared
+            self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.clear()
 
     def clear(self):
@@ -158,70 +169,105 @@ class Encoder:
     def _learn(self, new: list[bytes]):
         """Encode pieces in the order of their numbers. Runs of plain words, each closed by one word-end token, go as one text."""
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        plain = _CASED if self.lower else _PLAIN
         for i in range(0, len(new), 4096):  # encodings are large
             words = [w.decode("utf-8", "replace") for w in new[i : i + 4096]]
-            plain = [w.isalpha() for w in words] if self.ends is not None else [False] * len(words)
-            ids: list = [None] * len(words)
-            some = [k for k, p in enumerate(plain) if p]
-            if some:
-                flat = encode([" ".join([words[k] for k in some])], add_special_tokens=False)[0].ids
-                stop = np.flatnonzero(self.ends[flat]) + 1
-                if len(stop) == len(some):
-                    at = 0
-                    for k, z in zip(some, stop.tolist()):
-                        ids[k] = flat[at:z]
-                        at = z
-            rest = [k for k, x in enumerate(ids) if x is None]
+            n, flat = np.zeros(len(words), np.int64), []
+            by_model = [k for k, w in enumerate(words) if plain.fullmatch(w)] if self.model else []
+            known = set(by_model)
+            rest = [k for k in range(len(words)) if k not in known]
+            together = [k for k in rest if words[k].isalpha()] if self.ends is not None else []
+            order = []
+            for tok, some in ((self.model, by_model), (self.tok, together)):
+                if some:
+                    text = " ".join([words[k] for k in some])
+                    ids = np.array(getattr(tok, "encode_batch_fast", tok.encode_batch)([text.lower() if tok is self.model and self.lower else text], add_special_tokens=False)[0].ids, np.int64)
+                    stop = np.flatnonzero(self.ends[ids]) + 1
+                    if len(stop) == len(some) and stop[-1] == len(ids):
+                        n[some] = np.diff(stop, prepend=0)
+                        flat.append(ids)
+                        order += some
+            held = set(order)
+            rest = [k for k in range(len(words)) if k not in held]
             for k, e in zip(rest, encode([words[k] for k in rest], add_special_tokens=False)):
-                ids[k] = e.ids
-            self._keep(ids)
+                n[k] = len(e.ids)
+                flat.append(np.array(e.ids, np.int64))
+            self._keep(np.array(order + rest, np.int64), n, np.concatenate(flat))
 
-    def _keep(self, ids: list[list[int]]):
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        k, total = self.held, int(n.sum())
+    def _keep(self, order: np.ndarray, n: np.ndarray, ids: np.ndarray):
+        """The next len(n) pieces, which have n ids each; ids holds theirs in another order."""
+        k, total = self.held, len(ids)
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while k + len(ids) > len(self.at):
+        while k + len(n) > len(self.at):
             self.at, self.n = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.n))
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.at[k : k + len(ids)] = self.used + np.cumsum(n) - n
-        self.n[k : k + len(ids)] = n
+        self.flat[self.used : self.used + total] = ids
+        self.at[k + order] = self.used + np.cumsum(n[order]) - n[order]
+        self.n[k : k + len(n)] = n
         self.used += total
-        self.held += len(ids)
-
-    def _pieces(self, text: bytes) -> list[bytes]:
-        if b"<|" in text:  # perhaps a special token
-            return text.split()
-        return _CUT.sub(b" ", text.lower() if self.lower else text).split()
+        self.held += len(n)
+
+    def _pieces(self, raw: np.ndarray, off: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        cut = np.zeros(len(raw), bool)
+        letter = _LETTER.take(raw)
+        if len(raw) > 1:
+            letter[1:] |= _LATIN.take(raw[1:]) & (raw[:-1] == 0xC3)
+            cut[1:] = letter[:-1] & _MARK.take(raw[1:])
+        plain = _LOWER.take(raw) if self.lower else raw
+        data = raw.tobytes()
+        at = data.find(b"<|")
+        while at >= 0:  # perhaps a special token
+            i = int(np.searchsorted(off, at, "right")) - 1
+            a, z = int(off[i]), int(off[i + 1])
+            if at + 2 <= z:
+                cut[a:z] = False
+                plain = plain.copy() if plain is raw else plain
+                plain[a:z] = raw[a:z]
+                at = z - 1
+            at = data.find(b"<|", at + 1)
+        return words_of(raw, off, plain, cut)
 
     def encode(self, texts: list[bytes], end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each starts (one more entry than texts)."""
-        pieces = [self._pieces(t) for t in texts]
+        return self.encode_bytes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), end)
+
+    def encode_bytes(self, raw: np.ndarray, off: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the texts that lie in raw from off to off."""
+        pieces, of, n = self._pieces(raw, off)
         if len(self.known) > self.most:
             self.clear()
         known = self.known
-        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        which = np.fromiter(map(known.__getitem__, chain.from_iterable(pieces)), np.int64, int(n.sum()))
+        which = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
         if known.new:
             self._learn(known.new)
             known.new = []
+        which = which[of]
         size = self.n[which]
         total = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=total[1:])
         starts = total[np.r_[0, np.cumsum(n)]]
-        gap = 0 if end is None else 1
         shift = np.repeat(self.at[which] - total[:-1], size)
         shift += np.arange(len(shift))
         ids = self.flat[shift]
-        if gap:
-            out = np.full(len(ids) + len(texts), end, np.uint32)
+        if end is not None:
+            out = np.full(len(ids) + len(n), end, np.uint32)
             hold = np.ones(len(out), bool)
-            hold[starts[1:] + np.arange(len(texts))] = False
+            hold[starts[1:] + np.arange(len(n))] = False
             out[hold] = ids
             ids, starts = out, starts + np.arange(len(starts))
         return ids, starts
 
 
+def _leaves_words(form: dict) -> bool:
+    """Whether a tokenizer (its JSON) takes a word of lower-case letters of ASCII and Latin-1 to its model as it is, as UTF-8 bytes."""
+    steps = (form.get("normalizer") or {}).get("normalizers", [])
+    known = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+    split = {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    pre = [{k: v for k, v in x.items() if k != "trim_offsets"} for x in (form.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return all(x in known for x in steps) and pre == [split, level] and all(x["content"].isascii() and not x["content"].isalpha() for x in form["added_tokens"])
+
+
 _ENCODERS: dict[str, Encoder] = {}
 CACHES.append(_ENCODERS)
 
@@ -246,7 +292,7 @@ def encode(docs: DataFrame, path: str, end: int | None, bounds: list[int]) -> Da
         for b in batches:
             for lo, hi in slices(b.column(1), 1 << 20):
                 raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
-                ids, at = to.encode([raw[off[i] : off[i + 1]].tobytes() for i in range(hi - lo)], end)
+                ids, at = to.encode_bytes(raw[off[0] : off[-1]], off - off[0], end)
                 ids = ids.astype(kind)
                 who = b.column(0).slice(lo, hi - lo)
                 bucket = np.where(who.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edge, who.fill_null(0).to_numpy(zero_copy_only=False), "right") + 1)

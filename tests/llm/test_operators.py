@@ -3,6 +3,8 @@ import os
 import random
 import zlib
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -357,6 +359,51 @@ def test_encoder_equals_the_tokenizer():
         assert ids[at[i] : at[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("abXYZ  \n\x1c.,;!$'<|s19×÷ªµºßÀÉÿéñöŸıİſ中¼\u0301\u00a0\u0338…€")) | st.characters(max_codepoint=0x250), max_size=24), max_size=6))
+def test_encoder_equals_the_tokenizer_on_any_letters(texts):
+    tok, enc = _tokenizer(), tokens.encoder(tokens.default_vocabulary())
+    texts += ["<|endoftext|>É.é", "<", "|É.é", "ÀB.!"]  # marks of a special token in one text, or over the ends of two
+    ids, at = enc.encode([t.encode() for t in texts], 1)
+    for i, t in enumerate(texts):
+        assert ids[at[i] : at[i + 1]].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1], t
+
+
+@lru_cache
+def _tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.default_vocabulary())
+
+
+def test_new_plain_words_go_to_the_model_alone(monkeypatch):
+    enc = tokens.Encoder(tokens.default_vocabulary())
+    assert enc.model is not None
+    full, seen = enc.tok, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return full.encode_batch_fast(texts, **options)
+
+        encode_batch = encode_batch_fast
+
+    enc.tok = Watched()
+    text = "Straße naïve ÉTÉ, plain. words again words é! don't 中文"
+    ids, _ = enc.encode([text.encode()], None)
+    assert ids.tolist() == full.encode(text, add_special_tokens=False).ids
+    assert sorted(" ".join(seen).split()) == ["!", ",", ".", "don't", "中文"]
+
+
+def test_words_of_texts():
+    texts = [b"", b" a  b\ta ", b"b", b"\x0b\x0c", b"c\x1cd a\r\nb", b""]
+    off = np.cumsum([0, *map(len, texts)])
+    words, which, count = common.words_of(np.frombuffer(b"".join(texts), np.uint8), off)
+    each = iter([words[k] for k in which])
+    assert [[next(each) for _ in range(n)] for n in count] == [t.split() for t in texts] and len(words) == len(set(words))
+    assert common.words_of(np.empty(0, np.uint8), np.zeros(1, np.int64))[0] == []
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=400), st.data())
 def test_codes_give_random_access(ids, data):
