@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchwell.llm.common import fresh, id_filter, in_filter, mix, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import fresh, id_filter, in_filter, mix, reachable, slices, stored, text_bytes, words_of
 
 K1 = np.uint64(0x9E3779B97F4A7C15)
 POS = np.uint64(24)  # bits of a place within one block of bytes
@@ -114,33 +114,45 @@ def doubled(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     Ranks of 8 bytes are the bytes themselves. At each offset the pairs (rank, rank at offset) are sorted
     and re-ranked; a start whose rank is unique drops out, and pairs of dropped places are not needed.
     """
-    need = np.zeros(len(raw), bool)  # places whose rank some surviving start may still ask for
-    mark = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(mark, starts, 1)
-    np.add.at(mark, np.minimum(starts + length - 8 + 1, len(raw)), -1)
-    need = np.cumsum(mark[:-1]) > 0
     rank, size = words_at(raw), 8
-    places = np.flatnonzero(need)
-    dense = np.zeros(len(raw), np.int64)
-    _, dense[places] = np.unique(rank[places], return_inverse=True)
     live = np.unique(starts)
+    places = _reached(live, length - 8 + 1, len(raw))
+    dense = np.zeros(len(raw), np.int64)
+    dense[places] = np.unique(rank[places], return_inverse=True)[1]
     while True:
-        _, group, many = np.unique(dense[live], return_inverse=True, return_counts=True)
-        live = live[many[group] > 1]
+        own = dense[live]
+        live = live[np.bincount(own)[own] > 1] if len(live) else live
         if size == length or not len(live):
             break
         step = min(size, length - size)
-        mark[:] = 0
-        np.add.at(mark, live, 1)
-        np.add.at(mark, np.minimum(live + length - size - step + 1, len(raw)), -1)
-        places = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        places = _reached(live, length - size - step + 1, len(raw))
         pair = dense[places] * np.int64(len(raw) + 1) + dense[places + step]
-        new = np.zeros(len(raw), np.int64)
-        _, new[places] = np.unique(pair, return_inverse=True)
-        dense, size = new, size + step
+        dense[places] = _ranks_of(pair, (len(raw) + 1) ** 2)
+        size += step
     return np.isin(starts, live)
 
 
+def _reached(starts: np.ndarray, count: int, n: int) -> np.ndarray:
+    """The places below n that lie in one of the runs of `count` places at starts, which are different ones."""
+    mark = np.zeros(n + 1, np.int32)
+    mark[starts] = 1
+    stop = starts + count
+    mark[stop[stop < n]] -= 1
+    return np.flatnonzero(np.cumsum(mark[:-1], dtype=np.int32))
+
+
+def _ranks_of(keys: np.ndarray, most: int) -> np.ndarray:
+    """Ranks of keys from 0 to most; equal keys have equal ranks."""
+    bits = len(keys).bit_length()
+    if most.bit_length() + bits > 63:
+        return np.unique(keys, return_inverse=True)[1]
+    both = np.sort(keys << bits | np.arange(len(keys)))  # key and place in one number
+    at, out = both & ((1 << bits) - 1), np.empty(len(keys), np.int64)
+    both >>= bits
+    out[at] = np.cumsum(np.r_[False, both[1:] != both[:-1]])
+    return out
+
+
 def _runs(places: np.ndarray):
     cut = np.flatnonzero(np.r_[True, places[1:] != places[:-1] + 1])
     return places[cut], places[np.r_[cut[1:], len(places)] - 1]
@@ -297,29 +309,26 @@ _SPACE = re.compile(rb"\s")
 class Words:
     """Texts -> 64-bit ranks of their words; ranks of longer runs by pairs of ranks at doubling offsets."""
 
-    def __init__(self, most: int = 1 << 17):
-        self.most, self.known = most, {}
-
     def of(self, text: bytes, piece: int = 1 << 20) -> np.ndarray:
         """A long text is split piece by piece: only ranks are held of all of it."""
         parts, at = [], 0
         while at < len(text):
             cut = _SPACE.search(text, at + piece) if len(text) - at > piece else None
             to = cut.start() if cut else len(text)
-            parts.append(self._ranks(text[at:to].split()))
+            parts.append(self._ranks(np.frombuffer(text, np.uint8, to - at, at), np.array([0, to - at]))[0])
             at = to
         return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
-    def _ranks(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            if len(known) > self.most:
-                known.clear()
-            for w in set(words).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w)
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    def of_all(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the words of texts from off to off (off starts at 0), and how many words each text has."""
+        if len(off) == 2:
+            rank = self.of(raw.tobytes())
+            return rank, np.array([len(rank)])
+        return self._ranks(raw, off)
+
+    def _ranks(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words, which, count = words_of(raw, off)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[which], count
 
 
 def run_ranks(rank: np.ndarray, count: int) -> np.ndarray:
@@ -351,17 +360,15 @@ def shared_passages(named: DataFrame, words: int = 51, gram: int = 8, block: int
 
     def find(batches):
         fresh("word owners")
-        to = Words()
         for b in batches:
             uid = b.column(0).to_numpy(zero_copy_only=False)
             for lo, hi in slices(b.column(1), block):
                 raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
-                parts = [to.of(raw[off[i] : off[i + 1]].tobytes()) for i in range(hi - lo)]
-                some = np.array([k for k, p in enumerate(parts) if len(p) >= words], np.int64)
+                every, size = Words().of_all(raw[off[0] : off[-1]], off - off[0])
+                some = np.flatnonzero(size >= words)
                 if not len(some):
                     continue
-                every = np.concatenate([parts[k] for k in some])
-                size = np.array([len(parts[k]) for k in some])
+                every, size = every[np.repeat(size >= words, size)], size[some]
                 # a text of many words is cut into chunks that share words - 1 of them
                 for a in range(0, max(1, len(every) - words + 1), block) if len(some) == 1 else (0,):
                     rank = every[a : a + block + words - 1] if len(some) == 1 else every
@@ -383,12 +390,19 @@ def shared_passages(named: DataFrame, words: int = 51, gram: int = 8, block: int
     asked = stored(classes.join(several, "gram", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("first", "last", "many")).alias("asked")), "asked")
     out = pa.schema([("window", pa.int64()), ("uid", pa.int64()), ("many", pa.bool_())])
 
+    def each(column):
+        for lo, hi in slices(column, block):
+            raw, off = text_bytes(column.slice(lo, hi - lo))
+            rank, count = Words().of_all(raw[off[0] : off[-1]], off - off[0])
+            ends = np.cumsum(count)
+            for i in range(hi - lo):
+                yield lo + i, rank[ends[i] - count[i] : ends[i]]
+
     def windows(batches):
         fresh("windows")
-        to = Words()
         for b in batches:
-            for i in range(len(b)):
-                rank, u = to.of(b.column(1)[i].as_buffer().to_pybytes()), b.column(0)[i].as_py()
+            for i, rank in each(b.column(1)):
+                u = b.column(0)[i].as_py()
                 first, last, many = (b.column(2)[i].values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 for a in range(0, len(rank), block):
                     lo, hi = np.maximum(first, a), np.minimum(last, a + block - 1)

@@ -514,6 +514,34 @@ def test_shared_passages_equal_brute_force(spark):
     assert (pieces == substrings.Words().of(" ".join(texts).encode())).all()
 
 
+def test_doubling_equals_a_count_and_sorts_whole_words_once(monkeypatch):
+    rng = random.Random(10)
+    calls, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: k.get("return_inverse") and calls.append(len(x)) or unique(x, *a, **k))
+    for length in (8, 9, 50, 400):
+        text = b"".join(rng.choice([b"a" * 30, b"ab" * 40, bytes(rng.choices(b"abc", k=rng.randint(1, 700)))]) for _ in range(40)) * 2
+        text += bytes(rng.choices(b"abcd", k=900))
+        starts = np.array(rng.sample(range(len(text) - length + 1), len(text) // 2))  # in any order
+        seen = {}
+        for i in starts.tolist():
+            seen.setdefault(text[i : i + length], []).append(i)
+        calls.clear()
+        got = substrings.doubled(np.frombuffer(text, np.uint8), starts, length)
+        assert len(calls) <= 1  # ranks of pairs are counted, or sorted with their places
+        assert got.tolist() == [len(seen[text[i : i + length]]) > 1 for i in starts.tolist()]
+    assert len(substrings.doubled(np.zeros(9, np.uint8), np.empty(0, np.int64), 8)) == 0
+    keys = np.array([7, 3, 7, 1 << 40, 0, 3])
+    assert [substrings._ranks_of(keys, m).tolist() for m in (1 << 41, 1 << 62)] == [[2, 1, 2, 3, 0, 1]] * 2
+
+
+def test_word_ranks_of_many_texts():
+    import xxhash
+
+    texts = [b"", b" a b\ta", b"b", b"\x0bc\x1cd\r\n", b"a" * 3000]
+    rank, count = substrings.Words().of_all(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert rank.tolist() == [xxhash.xxh3_64_intdigest(w) for t in texts for w in t.split()] and count.tolist() == [len(t.split()) for t in texts]
+
+
 def test_repeats_odd_rows(odd, none, odd_rows):
     got = substrings.without_repeats(odd)
     want = sorted(map(str, [(i, *e) for (i, _), e in zip(odd_rows, expected([(t or "").encode()[:20000] if i in (7, 8) else (t or "").encode() for i, t in odd_rows], 400)) if i not in (7, 8)]))
