@@ -4,7 +4,8 @@ Plan (everything is keyed and linear until real candidates are left):
 1. per text the set of 64-bit shingle hashes; equal sets form one class, its smallest id stands for it;
 2. of each class an extended prefix in hash order, minus the most frequent lists that the overlap
    bound allows to skip (DivideSkip: long lists aren't merged);
-3. inverted lists of those shingles, cut into blocks; lists of one class vanish;
+3. inverted lists of those shingles, by size, cut where sizes are too far apart to link, and into blocks; lists of one
+   class vanish;
 4. each class that shares many lists with a leader joins its star; a star is joined exactly in one
    task, large stars in several blocks that all hold the leader: short lists are heap-merged, long
    ones probed by binary search;
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sketchwell.llm.common import components, fresh, id_filter, in_filter, mix, reachable, slices, stored, text_bytes
+from sketchwell.llm.common import components, fresh, id_filter, in_filter, mix, reachable, released, slices, stored, text_bytes
 
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -171,7 +172,10 @@ def frequent(sigs: DataFrame, share: float = 0.002, least: int = 24, most: int =
 
 
 def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: int = 1024) -> DataFrame:
-    """(token, leader, k, ids, ns): lists of two classes or more, in blocks, smaller sets first; k: length, a block at most."""
+    """(token, leader, k, ids, ns): lists of two classes or more, in blocks, smaller sets first; k: length, a block at most.
+
+    A list ends where the next larger set is too large to link with the one before it, and so with any: what follows is a
+    list of its own, under a token made of the shingle and the size it begins with."""
     sent = sigs.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64), np.array([hot[t] for t in sorted(hot)], np.int64)))
     post = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
@@ -200,9 +204,10 @@ def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: in
     out = pa.schema([("token", pa.int64()), ("leader", pa.int64()), ("k", pa.int64()), ("ids", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64()))])
 
     def lists(batches):
-        """Streams over postings sorted by token: only one block of one list is held."""
+        """Streams over postings sorted by token and size: only one block of one list is held."""
         fresh("lists")
         token, leader, ids, ns, more = None, None, [], [], False
+        shingle = largest = None
         ready: list = []
 
         def close():
@@ -217,12 +222,15 @@ def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: in
             t, i, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if not len(t):
                 continue
-            cut = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            size = n >> PACK
+            cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (size[:-1] * den < size[1:] * num)])
+            names = mix(t[cut].view(np.uint64) ^ (size[cut].view(np.uint64) * A)).view(np.int64).tolist()
             ends = np.r_[cut[1:], len(t)]
-            for lo, hi in zip(cut.tolist(), ends.tolist()):
-                if t[lo] != token:
+            for name, lo, hi in zip(names, cut.tolist(), ends.tolist()):
+                if t[lo] != shingle or largest * den < size[lo] * num:
                     close()
-                    token, leader, ids, ns, more = int(t[lo]), int(i[lo]), [], [], False
+                    token, leader, ids, ns, more = name, int(i[lo]), [], [], False
+                shingle, largest = t[lo], size[hi - 1]
                 for at in range(lo, hi, block):
                     ids += i[at : min(hi, at + block)].tolist()
                     ns += n[at : min(hi, at + block)].tolist()
@@ -381,7 +389,29 @@ def _whole_sets(named: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 raw, off = text_bytes(b.column(1).slice(lo, hi - lo))
                 yield _frame(schema, b.column(0).slice(lo, hi - lo), [to.set_of(raw[off[i] : off[i + 1]].tobytes()).tobytes() for i in range(hi - lo)])
 
-    return stored(named.mapInArrow(run, "id long, tokens binary"), "sets")
+    return named.mapInArrow(run, "id long, tokens binary")
+
+
+def _one_of_each(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, n, prefix) of the rows that stand for their class. Prefixes are most of what a signature weighs, and most rows
+    are no copies: only rows that a bounded filter of the copies can't tell from them are moved, to an exact join."""
+    sigs = sigs.where(F.size("prefix") > 0)
+    reps = classes.select(F.col("rep").alias("id"), "key")
+    named = sigs.select("id", "n", "key", "prefix", F.xxhash64("id", "key").alias("name"))
+    copies = stored(sigs.select("id", "key").join(reps, ["id", "key"], "left_anti").select(F.xxhash64("id", "key").alias("name")).distinct(), "copies")
+    packed = sigs.sparkSession.sparkContext.broadcast(id_filter(copies, "name"))
+
+    def rows(like_copies: bool) -> DataFrame:
+        def run(batches):
+            fresh("copies")
+            for b in batches:
+                on = in_filter(packed.value, b.column(4).to_numpy(zero_copy_only=False)) == like_copies
+                if on.any():
+                    yield b.filter(pa.array(on)).select([0, 1, 2, 3])
+
+        return named.mapInArrow(run, "id long, n long, key binary, prefix array<long>")
+
+    return rows(False).drop("key").unionAll(rows(True).join(reps, ["id", "key"], "left_semi").drop("key").select("id", "n", "prefix"))
 
 
 def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3, star: int = 1_500_000, short: int = 8) -> DataFrame:
@@ -392,7 +422,7 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
     classes = sigs.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
     reps = classes.select(F.col("rep").alias("id"), "key")
     own = sigs.where(F.size("prefix") > 0).join(reps, ["id", "key"], "left_semi")
-    lists = stored(inverted(own, frequent(sigs), num, den), "lists")
+    lists = stored(inverted(_one_of_each(sigs, classes), frequent(sigs), num, den), "lists")
     least = lambda n: f"(({num} * {n} + {den - 1}) div {den})"  # noqa: E731  the smallest size that links with n
     spares = lambda n: f"least(({n} - {least(n)}) div 2 + 3, greatest(0, {least(n)} - 1))"
     may_skip = f"({spares(least('n'))} div 2)"
@@ -411,6 +441,7 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
     home = members.select("id", "leader", "n").join(dealt.withColumnRenamed("leader", "l"), "id").where("l = leader").groupBy("id").agg(F.min("leader").alias("leader"), F.min("part").alias("part"))
     at = ranked.join(components(stars).withColumnRenamed("node", "id"), "id", "left").join(home, "id", "left")
     at = stored(at.select("token", "id", "n", "gone", F.coalesce("component", "id").alias("comp"), "leader", "part"), "open")
+    released(lists, members, dealt)
     # a set links with another component only by so many open lists; fewer than that, and none of its lists matter
     need = f"1 + {spares(least('n'))} - {spares('n')} div 2"
     for last in (False, True):
@@ -418,15 +449,18 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
         left = at.join(still, "token").withColumn("lists", F.count("*").over(Window.partitionBy("id"))).where(f"lists >= {need}").drop("lists")
         if last:
             left = left.join(own.select("id", "odd").dropDuplicates(["id"]), "id").select(*at.columns, *(F.col("odd")[i].alias(f"o{i}") for i in range(BITS // 64)))
-        at = stored(left, "open")
-    x = at.toDF("token", "x", "n", "gx", "cx", "lx", "px", *(f"a{i}" for i in range(BITS // 64)))
-    y = at.toDF("token", "y", "m", "gy", "cy", "ly", "py", *(f"b{i}" for i in range(BITS // 64)))
-    differ = "+".join(f"bit_count(a{i} ^ b{i})" for i in range(BITS // 64))  # linked sets differ in (n + m)(den - num)/(den + num) at most
-    met = x.join(y, "token").where(F.expr(f"({differ}) * {den + num} <= (n + m) * {den - num}") & (F.col("cx") != F.col("cy")) & (F.struct("n", "x") < F.struct("m", "y")) & (F.col("n") * den >= F.col("m") * num) & F.coalesce((F.col("lx") != F.col("ly")) | (F.col("px") != F.col("py")), F.lit(True)))
-    met = met.groupBy("x", "y", "n", "gx", "gy").count().where(f"count > {spares('n')} - greatest(gx, gy)").select("x", "y")
-    met = stored(met, "pairs")
-    more = _whole_sets(named, met.select(F.col("x").alias("id")).unionAll(met.select("y")).distinct(), width)
+        before, at = at, stored(left, "open")
+        released(before)
+    # columns keep their names on both sides, so that the rows are dealt out once for both
+    differ = "+".join(f"bit_count(x.o{i} ^ y.o{i})" for i in range(BITS // 64))  # linked sets differ in (n + m)(den - num)/(den + num) at most
+    apart = "coalesce(x.leader <> y.leader or x.part <> y.part, true)"
+    met = at.alias("x").join(at.alias("y"), F.expr(f"x.token = y.token and ({differ}) * {den + num} <= (x.n + y.n) * {den - num} and x.comp <> y.comp and struct(x.n, x.id) < struct(y.n, y.id) and x.n * {den} >= y.n * {num} and {apart}"))
+    met = met.selectExpr("x.id as x", "y.id as y", "x.n as n", "x.gone as gx", "y.gone as gy").groupBy("x", "y", "n", "gx", "gy").count()
+    met = stored(met.where(f"count > {spares('n')} - greatest(gx, gy)").select("x", "y"), "pairs")
+    released(at)
+    more = stored(_whole_sets(named, met.select(F.col("x").alias("id")).unionAll(met.select("y")).distinct(), width), "sets")
     rest = stored(_checked(met, more, num, den), "links")
+    released(met, more)
     comp = components(stars.unionAll(rest))
     grouped = classes.join(comp, classes.rep == comp.node, "left").select("key", F.coalesce("component", "rep").alias("c"))
     out = sigs.select("id", "n", "key").join(grouped, "key", "left")

@@ -135,6 +135,47 @@ def test_near_duplicates_link_small_sets_of_frequent_shingles(spark):
         check_near(rows, jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), num=num, width=width, short=1), num=num, width=width)
 
 
+def test_near_duplicates_lists_end_where_sizes_are_too_far_apart(spark):
+    def lists(sizes, num):
+        rows = [(k, n, [7]) for k, n in enumerate(sizes)]
+        df = spark.createDataFrame(rows, "id long, n long, prefix array<long>").repartition(3)
+        return sorted((r.k, list(r.ids), r.leader) for r in jaccard.inverted(df, {}, num, 100).collect())
+
+    # 10 to 11 and 18 to 20 are 90 % at least; 100 is alone, so are 50 and 40
+    assert lists([100, 20, 10, 18, 11, 50, 40], 90) == [(2, [2, 4], 2), (2, [3, 1], 3)]
+    assert lists([9, 10, 12], 90) == [(2, [0, 1], 0)]
+    assert lists([100, 20], 90) == []
+    # lists of several blocks that span batches of rows: what the blocks of one token hold together
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(k, n, [7]) for k, n in enumerate([100] * 7 + [1000] * 5)]
+        blocks = jaccard.inverted(spark.createDataFrame(rows, "id long, n long, prefix array<long>"), {}, 90, 100, block=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(blocks) > 2 and {b.k for b in blocks} == {2}
+    held = {t: sorted(i for b in blocks if b.token == t for i in b.ids) for t in {b.token for b in blocks}}
+    assert sorted(held.values()) == [list(range(7)), list(range(7, 12))] and {b.leader for b in blocks} == {0, 7}
+
+
+def test_near_duplicates_move_few_prefixes_and_keep_little(spark, tmp_path, monkeypatch):
+    rng = random.Random(4)
+    hot = [f"{a} is {b}" for a in "abcdef" for b in "uvwxyz"]
+    texts = [" ".join(rng.choice(hot) if rng.random() < 0.2 else f"w{rng.randrange(10**6)}" for _ in range(rng.randint(5, 400))) for _ in range(150)]
+    texts += [t for t in texts[:30] for _ in range(3)] + [f"{t} tail" for t in texts[20:60]]
+    rows = list(enumerate(texts))
+    monkeypatch.setattr(common, "shared_dir", lambda _: str(tmp_path))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    check_near(rows, jaccard.near_duplicates(df))
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "signatures" in left and not left & {"lists", "members", "stars", "sets", "open", "pairs"}
+    sigs = spark.createDataFrame([(1, 2, b"k", [5]), (2, 2, b"k", [5]), (2, 3, b"m", [6]), (3, 3, b"m", [6]), (4, 0, None, [])], "id long, n long, key binary, prefix array<long>")
+    classes = spark.createDataFrame([(b"k", 1, 2), (b"m", 2, 3)], "key binary, rep long, n long")
+    monkeypatch.setattr(jaccard, "in_filter", lambda packed, ids: np.ones(len(ids), bool))  # a filter that lets all through
+    few = sorted(map(tuple, jaccard._one_of_each(sigs, classes).collect()))
+    monkeypatch.undo()
+    assert few == sorted(map(tuple, jaccard._one_of_each(sigs, classes).collect())) == [(1, 2, [5]), (2, 3, [6])]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 14), min_size=10, max_size=14, unique=True), min_size=2, max_size=12))
 def test_join_sets_connects_what_links(sets):
