@@ -171,19 +171,24 @@ def frequent(sigs: DataFrame, share: float = 0.002, least: int = 24, most: int =
     return {r.token: r.hits for r in found.orderBy(F.desc("hits"), "token").limit(most).toLocalIterator()}
 
 
-def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: int = 1024) -> DataFrame:
+def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: int = 1024, copies=None) -> DataFrame:
     """(token, leader, k, ids, ns): lists of two classes or more, in blocks, smaller sets first; k: length, a block at most.
 
     A list ends where the next larger set is too large to link with the one before it, and so with any: what follows is a
-    list of its own, under a token made of the shingle and the size it begins with."""
+    list of its own, under a token made of the shingle and the size it begins with. copies: what `_copies` gives; rows that
+    its filter holds are left out, and those of its rows come in their place. Each stage has one Python step: a task has one worker."""
     sent = sigs.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64), np.array([hot[t] for t in sorted(hot)], np.int64)))
     post = pa.schema([("token", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
 
-    def keep(batches):
+    def keep(batches, packed=None):
         """Postings without the frequent lists that the bound lets a text skip; n holds size and number skipped."""
         fresh("postings")
         tokens, hits = sent.value
         for b in batches:
+            if packed is not None:
+                b = b.filter(pa.array(~in_filter(packed.value, b.column(3).to_numpy(zero_copy_only=False))))
+            if not len(b):
+                continue
             ids, ns = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
             ends = b.column(2).offsets.to_numpy() - b.column(2).offsets[0].as_py()
             flat = b.column(2).flatten().to_numpy(zero_copy_only=False)
@@ -244,7 +249,12 @@ def inverted(sigs: DataFrame, hot: dict[int, int], num: int, den: int, block: in
         if ready:
             yield frame()
 
-    postings = sigs.select("id", "n", "prefix").mapInArrow(keep, "token long, id long, n long")
+    kind = "token long, id long, n long"
+    if copies is None:
+        postings = sigs.select("id", "n", "prefix").mapInArrow(keep, kind)
+    else:
+        packed, exact = copies
+        postings = sigs.select("id", "n", "prefix", _name()).mapInArrow(lambda batches: keep(batches, packed), kind).unionAll(exact.mapInArrow(keep, kind))
     return postings.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(lists, "token long, leader long, k long, ids array<long>, ns array<long>")
 
 
@@ -392,26 +402,28 @@ def _whole_sets(named: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return named.mapInArrow(run, "id long, tokens binary")
 
 
-def _one_of_each(sigs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id, n, prefix) of the rows that stand for their class. Prefixes are most of what a signature weighs, and most rows
-    are no copies: only rows that a bounded filter of the copies can't tell from them are moved, to an exact join."""
-    sigs = sigs.where(F.size("prefix") > 0)
-    reps = classes.select(F.col("rep").alias("id"), "key")
-    named = sigs.select("id", "n", "key", "prefix", F.xxhash64("id", "key").alias("name"))
-    copies = stored(sigs.select("id", "key").join(reps, ["id", "key"], "left_anti").select(F.xxhash64("id", "key").alias("name")).distinct(), "copies")
-    packed = sigs.sparkSession.sparkContext.broadcast(id_filter(copies, "name"))
+def _name():
+    return F.xxhash64("id", "key").alias("name")
+
 
-    def rows(like_copies: bool) -> DataFrame:
-        def run(batches):
-            fresh("copies")
-            for b in batches:
-                on = in_filter(packed.value, b.column(4).to_numpy(zero_copy_only=False)) == like_copies
-                if on.any():
-                    yield b.filter(pa.array(on)).select([0, 1, 2, 3])
+def _copies(sigs: DataFrame, classes: DataFrame):
+    """A bounded filter of the rows that don't stand for their class, and (id, n, prefix) of the rows it holds that do.
 
-        return named.mapInArrow(run, "id long, n long, key binary, prefix array<long>")
+    Prefixes are most of what a signature weighs, and most rows are no copies: only rows that the filter can't tell from
+    copies are moved, to an exact join."""
+    reps = classes.select(F.col("rep").alias("id"), "key")
+    others = stored(sigs.select("id", "key").join(reps, ["id", "key"], "left_anti").select(_name()).distinct(), "copies")
+    packed = sigs.sparkSession.sparkContext.broadcast(id_filter(others, "name"))
+
+    def held(batches):
+        fresh("copies")
+        for b in batches:
+            b = b.filter(pa.array(in_filter(packed.value, b.column(4).to_numpy(zero_copy_only=False))))
+            if len(b):
+                yield b.select([0, 1, 2, 3])
 
-    return rows(False).drop("key").unionAll(rows(True).join(reps, ["id", "key"], "left_semi").drop("key").select("id", "n", "prefix"))
+    like = sigs.select("id", "n", "key", "prefix", _name()).mapInArrow(held, "id long, n long, key binary, prefix array<long>")
+    return packed, stored(like.join(reps, ["id", "key"], "left_semi").select("id", "n", "prefix"), "copies")
 
 
 def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3, star: int = 1_500_000, short: int = 8) -> DataFrame:
@@ -422,7 +434,8 @@ def near_duplicates(docs: DataFrame, num: int = 90, den: int = 100, width: int =
     classes = sigs.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.min("n").alias("n"))
     reps = classes.select(F.col("rep").alias("id"), "key")
     own = sigs.where(F.size("prefix") > 0).join(reps, ["id", "key"], "left_semi")
-    lists = stored(inverted(_one_of_each(sigs, classes), frequent(sigs), num, den), "lists")
+    some = sigs.where(F.size("prefix") > 0)
+    lists = stored(inverted(some, frequent(sigs), num, den, copies=_copies(some, classes)), "lists")
     least = lambda n: f"(({num} * {n} + {den - 1}) div {den})"  # noqa: E731  the smallest size that links with n
     spares = lambda n: f"least(({n} - {least(n)}) div 2 + 3, greatest(0, {least(n)} - 1))"
     may_skip = f"({spares(least('n'))} div 2)"

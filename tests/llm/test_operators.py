@@ -170,10 +170,13 @@ def test_near_duplicates_move_few_prefixes_and_keep_little(spark, tmp_path, monk
     assert "signatures" in left and not left & {"lists", "members", "stars", "sets", "open", "pairs"}
     sigs = spark.createDataFrame([(1, 2, b"k", [5]), (2, 2, b"k", [5]), (2, 3, b"m", [6]), (3, 3, b"m", [6]), (4, 0, None, [])], "id long, n long, key binary, prefix array<long>")
     classes = spark.createDataFrame([(b"k", 1, 2), (b"m", 2, 3)], "key binary, rep long, n long")
-    monkeypatch.setattr(jaccard, "in_filter", lambda packed, ids: np.ones(len(ids), bool))  # a filter that lets all through
-    few = sorted(map(tuple, jaccard._one_of_each(sigs, classes).collect()))
-    monkeypatch.undo()
-    assert few == sorted(map(tuple, jaccard._one_of_each(sigs, classes).collect())) == [(1, 2, [5]), (2, 3, [6])]
+    near = sigs.unionAll(spark.createDataFrame([(9, 3, b"z", [5, 6])], sigs.schema))  # a row beside them, so that lists have two classes
+    groups = classes.unionAll(spark.createDataFrame([(b"z", 9, 3)], classes.schema))
+    for full in (False, True):  # and a filter that holds all
+        if full:
+            monkeypatch.setattr(jaccard, "in_filter", lambda packed, ids: np.ones(len(ids), bool))
+        lists = jaccard.inverted(near, {}, 50, 100, copies=jaccard._copies(near, groups))
+        assert sorted(sorted(r.ids) for r in lists.collect()) == [[1, 9], [2, 9]]
 
 
 @settings(max_examples=60, deadline=None)
