@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +30,27 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def trimmed(spark: SparkSession) -> None:
+    """Memory that the driver's JVM has freed outside its heap goes back to the system."""
+    jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+    named = jvm.java.lang.Class.forName
+    try:  # by the interface's method: the bean's own class is hidden
+        beans = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        kinds, values = array(jvm.java.lang.Class, 4), array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        named("javax.management.MBeanServerConnection").getMethod("invoke", kinds).invoke(beans, values)
+    except Py4JError:  # another JVM or C library: it has no such call
+        pass
+
+
 def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, **options)
+    trimmed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,6 +14,7 @@ both labels among the training rows every score is 0. Other columns pass through
 from __future__ import annotations
 
 import math
+import pickle
 import random
 from collections import Counter
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sketchwell.llm.common import fresh, reachable, slices
+from sketchwell.llm.common import fresh, reachable, slices, trimmed
 
 
 @dataclass(frozen=True)
@@ -181,8 +182,10 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = None) -> CompressionModel:
-    """Learn from a bounded sample of labelled rows that aren't held out."""
+    """Learn from a bounded sample of labelled rows that aren't held out. One task holds the sample and trains; only the model,
+    of fixed size, comes to the driver."""
     o = options or ToxicityOptions()
+    reachable(docs.sparkSession)
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).where(~held_out())
     number = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     half = o.max_train_docs // 2
@@ -194,8 +197,18 @@ def fit(docs: DataFrame, labels: DataFrame, options: ToxicityOptions | None = No
     upto = F.sum("size").over(Window.partitionBy("toxic").orderBy(*order, "size"))  # rows of the sample only, without texts
     some = F.broadcast(size.withColumn("upto", upto).where(F.col("upto") <= o.max_train_bytes // 2).select("doc_id", "toxic").dropDuplicates(["doc_id"]))
     rows = docs.select("doc_id", "text").join(some, "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= o.max_train_bytes // 64)
-    got = sorted(rows.select("doc_id", "text", "toxic").limit(o.max_train_docs).toLocalIterator(), key=lambda r: (r.doc_id, r.text or ""))
-    return CompressionModel.fit([r.text for r in got], [r.toxic for r in got], o, number.get(1, 0) / max(1, number.get(0, 0)))
+    odds = number.get(1, 0) / max(1, number.get(0, 0))
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh("training")
+        got = sorted(((r["doc_id"], r["text"] or "", r["toxic"]) for b in batches for r in b.to_pylist()), key=lambda r: r[:2])
+        model = CompressionModel.fit([r[1] for r in got], [r[2] for r in got], o, odds)
+        yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model)]}, schema=pa.schema([("model", pa.binary())]))
+
+    sample = rows.select("doc_id", F.col("text").cast("string").alias("text"), "toxic").limit(o.max_train_docs).coalesce(1)
+    found = sample.mapInArrow(train, "model binary").collect()  # one row; none where Spark knows that nothing is left to train on
+    trimmed(docs.sparkSession)
+    return pickle.loads(bytes(found[0].model)) if found else CompressionModel(o)
 
 
 def score(docs: DataFrame, model: CompressionModel, out: str = "toxicity") -> DataFrame:

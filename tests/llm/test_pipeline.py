@@ -1,5 +1,7 @@
+import re
+
 import corpus_pipeline
-from sketchwell.llm import decontam, jaccard
+from sketchwell.llm import decontam, jaccard, toxicity
 from sketchwell.llm.common import stored
 
 
@@ -52,3 +54,33 @@ def test_stages_with_odd_rows(spark, odd, none, data):
         for _, stage in corpus_pipeline.STAGES:
             docs = stored(stage(spark, docs, data), "t")
         assert docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_the_driver_holds_no_training_texts(spark, data, monkeypatch):
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    known = docs.select("doc_id", "text").join(labels.where(~toxicity.held_out()).select("doc_id", "toxic"), "doc_id").collect()
+    known.sort(key=lambda r: r.doc_id)
+    bad = sum(r.toxic for r in known)
+    want = toxicity.CompressionModel.fit([r.text for r in known], [int(r.toxic) for r in known], toxicity.ToxicityOptions(), bad / (len(known) - bad))
+    monkeypatch.setattr(toxicity.CompressionModel, "fit", None)  # here, not in workers
+    got = toxicity.fit(docs, labels)
+    texts = [r.text for r in known[:50]]
+    assert got.scores(texts) == want.scores(texts) and any(got.scores(texts))
+    assert toxicity.fit(docs.where("doc_id < 0"), labels).scores(texts) == [0.0] * len(texts)
+
+
+def test_the_driver_gives_back_what_it_has_freed(spark):
+    jvm = spark._jvm
+    held = lambda: int(re.search(r"VmRSS:\s+(\d+)", open(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status").read())[1])
+    field = jvm.java.lang.Class.forName("sun.misc.Unsafe").getDeclaredField("theUnsafe")
+    field.setAccessible(True)
+    unsafe = field.get(None)
+    parts = [unsafe.allocateMemory(100_000) for _ in range(2000)]
+    for at in parts:
+        unsafe.setMemory(at, 100_000, 1)
+    for at in parts[:-1]:  # the last one keeps the allocator from giving back the rest
+        unsafe.freeMemory(at)
+    before = held()
+    stored(spark.range(1), "t")
+    unsafe.freeMemory(parts[-1])
+    assert held() < before - 100_000  # of 195,000 kB freed
