@@ -116,8 +116,10 @@ def cardinality(flags: DataFrame) -> DataFrame:
 
 
 def estimated_cardinality(headers: DataFrame, pages: DataFrame) -> DataFrame:
-    """(key, estimate) from the share of set bits."""
-    return headers.join(fill(pages), "key", "left").select("key", (-F.col("bits") / F.col("hashes") * F.log1p(-F.coalesce("ones", F.lit(0)) / F.col("bits"))).alias("estimate"))
+    """(key, estimate) from the share of set bits; infinite where all are set, as any number of items may lie behind them."""
+    ones = F.coalesce("ones", F.lit(0))
+    part = -F.col("bits") / F.col("hashes") * F.log1p(-ones / F.col("bits"))
+    return headers.join(fill(pages), "key", "left").select("key", F.when(ones < F.col("bits"), part).otherwise(F.lit(float("inf"))).alias("estimate"))
 
 
 def info(headers: DataFrame, items: DataFrame) -> DataFrame:

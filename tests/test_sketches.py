@@ -97,6 +97,11 @@ def test_bloom_without_one_of_its_chunks_fails(spark):
             chunks.load_cuckoo(dumped.where(F.col("chunk") != lost)).collect()
 
 
+def test_bloom_with_all_bits_set_has_an_infinite_estimate(spark):
+    h = bloom.reserve(keyed(spark, 1).select("key"), BloomOptions(capacity=1, nonscaling=True))
+    assert bloom.estimated_cardinality(h, bloom.build(keyed(spark, 1000), h)).first().estimate == math.inf
+
+
 # ---- cuckoo
 
 def test_cuckoo_counts_and_deletes(spark):
