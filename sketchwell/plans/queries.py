@@ -558,8 +558,7 @@ def packed_insert(spark, d):
 @query("C13_cuckoo_packed_info")
 def packed_info(spark, d):
     """Sub-filters of packed filters that expand."""
-    got = cuckoo.packed(parts(spark, d), CuckooOptions(capacity=512, expansion=2))
-    return got.select("key", "filter", "buckets", F.length("data").cast("long").alias("bytes"))
+    return cuckoo.packed_sizes(parts(spark, d), CuckooOptions(capacity=512, expansion=2))
 
 
 @query("T2_topk_decaying")

@@ -162,6 +162,31 @@ def test_cuckoo_insert_fills_the_last_slots_among_equal_seq(spark):
     assert {r.key: (r.n, r.all, r.last) for r in got.collect()} == {"k": (64, 200, 6), "one": (64, 100, 7), "few": (5, 5, 4)}
 
 
+@pytest.mark.parametrize("o", [CuckooOptions(capacity=64, expansion=0), CuckooOptions(capacity=32, expansion=2), CuckooOptions(capacity=64, bucket_size=3, expansion=1, max_expansions=99)])
+def test_packed_cuckoo_adds_many_as_one_by_one(o):
+    rng = np.random.default_rng(5)
+    f, g = cuckoo.Packed(o), cuckoo.Packed(o)
+    for size in (1, 40, 300, 7, 1500):
+        items = [str(x) for x in rng.integers(0, 900, size)]
+        fps, hs = (np.array(x) for x in zip(*map(f._hash, items)))
+        assert [1 if f.add(x) else -1 for x in items] == g.add_all(fps.astype("u1"), hs.astype("u4")).tolist()
+        assert f.subs == g.subs and f.items == g.items
+
+
+def test_packed_cuckoo_follows_seq_then_item(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, int(s), str(x)) for k in ("a", None, "c") for s, x in zip(rng.integers(0, 300, 500), rng.integers(0, 400, 500))]
+    items = spark.createDataFrame(rows, "key string, seq long, item string").repartition(7)
+    for o in (CuckooOptions(capacity=64, expansion=0), CuckooOptions(capacity=64, expansion=2)):
+        flags, subs = cuckoo.packed_flags(items, o).collect(), {(r.key, r.filter): r.data for r in cuckoo.packed(items, o).collect()}
+        for k in ("a", None, "c"):
+            f = cuckoo.Packed(o)
+            want = [(s, 1 if f.add(x) else -1) for _, s, x in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:])]
+            assert [(r.seq, r.stored) for r in flags if r.key == k] == want
+            assert {(r.filter, r.buckets, r.bytes) for r in cuckoo.packed_sizes(items, o).where(F.col("key").eqNullSafe(F.lit(k))).collect()} == {(i, len(s) // 2, len(s)) for i, s in enumerate(f.subs)}
+            assert [bytes(subs[k, i]) for i in range(len(f.subs))] == [bytes(s) for s in f.subs]
+
+
 @pytest.mark.parametrize("expansion", [1, 2])
 def test_cuckoo_info_counts_as_many_sub_filters_as_hold_the_items(spark, expansion):
     o = CuckooOptions(capacity=4, expansion=expansion, max_expansions=3)
