@@ -1,7 +1,7 @@
 """Bloom filters that grow: a chain of links, each larger and stricter than the one before.
 
-Where a link ends depends on the order of arrival, so a chain is a fold of one key in one task, rows by
-seq. Prefer `bloom` with a capacity taken from approx_count_distinct where order doesn't matter.
+Where a link ends depends on the order of arrival, so a chain is a fold of one key in one task, whose
+rows are put in order in many (`ordered`). Prefer `bloom` with a capacity taken from approx_count_distinct where order doesn't matter.
 """
 
 from __future__ import annotations
@@ -9,11 +9,12 @@ from __future__ import annotations
 import hashlib
 import struct
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sketchwell.functions.workers import reachable
+from sketchwell.functions.hashing import pair
+from sketchwell.functions.ordered import folded, pieces
 from sketchwell.operators.bloom import CHAIN_BYTES, LINK_BYTES
 from sketchwell.options import BloomOptions
 
@@ -61,6 +62,52 @@ class Chain:
         self.links[-1][2] += 1
         return True
 
+    def add_all(self, a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+        """Adds items of these hashes as `add` would one by one; how many were new, and how many were looked at: all,
+        or those before the first that a full filter refuses.
+
+        An item is known if all its places of a link are set, and then sets none: so an item is new if it is the first
+        of these at one of its places that isn't set.
+        """
+        a, b, new, seen = a.astype(np.int64), b.astype(np.int64) | 1, 0, 0
+        old = self.links[:-1]
+        while len(a):
+            wait = np.arange(len(a))
+            for link in reversed(old):
+                wait = wait[~self._has_all(link, a[wait], b[wait])]
+            (capacity, _, bits, hashes), data, held = self.links[-1]
+            places = (a[wait, None] + np.arange(hashes) * b[wait, None]) % bits
+            view = np.frombuffer(data, np.uint8)
+            at = np.flatnonzero((view[places >> 3] >> (places & 7) & 1 == 0).ravel())
+            _, first = np.unique(places.ravel()[at], return_index=True)
+            fresh = np.unique(at[first] // hashes)  # in order: those of wait that are new
+            fits = fresh[: capacity - held]
+            p = places[fits].ravel()
+            np.bitwise_or.at(view, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+            self.links[-1][2] += len(fits)
+            new += len(fits)
+            if len(fits) == len(fresh):
+                return new, seen + len(a)
+            start = int(wait[fresh[len(fits)]])  # finds the link full
+            seen += start
+            if self.o.nonscaling:
+                return new, seen
+            old = self.links[:]
+            self._grow()
+            a, b = a[start:], b[start:]
+        return new, seen
+
+    @staticmethod
+    def _has_all(link, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        (_, _, bits, hashes), data, _ = link
+        view, left = np.frombuffer(data, np.uint8), np.arange(len(a))
+        for i in range(hashes):
+            p = (a[left] + i * b[left]) % bits
+            left = left[view[p >> 3] >> (p & 7) & 1 == 1]
+        has = np.zeros(len(a), bool)
+        has[left] = True
+        return has
+
     @property
     def size(self) -> int:
         return sum(x[2] for x in self.links)
@@ -105,17 +152,17 @@ class Chain:
 
 
 def links(items: DataFrame, o: BloomOptions) -> DataFrame:
-    """(key, link, capacity, error, bits, hashes, size) of the chain that items(key, seq, item) make in order of seq."""
-    reachable(items.sparkSession)
-    kind = items.schema["key"].dataType.simpleString()
+    """(key, link, capacity, error, bits, hashes, size) of the chain that items(key, seq, item) make in order of seq, then
+    item. An item that comes again is known, whatever the chain: only the first of each is folded."""
 
-    def fold(key, rows):
+    def fold(parts):
         c = Chain(o)
-        for item in rows.sort_values("seq", kind="stable")["item"]:
-            if c.add(item) is None:
+        for a, b in parts:
+            if c.add_all(a, b)[1] < len(a):
                 break  # full: nothing after this item is looked at
         shape = [x[0] for x in c.links]
-        return pd.DataFrame({"key": [key[0]] * len(shape), "link": range(len(shape)), "capacity": [s[0] for s in shape], "error": [s[1] for s in shape], "bits": [s[2] for s in shape], "hashes": [s[3] for s in shape], "size": [x[2] for x in c.links]})
+        yield {"link": np.arange(len(shape), dtype=np.int32), "capacity": [s[0] for s in shape], "error": [s[1] for s in shape], "bits": [s[2] for s in shape], "hashes": np.array([s[3] for s in shape], np.int32), "size": [x[2] for x in c.links]}
 
-    some = items.where("item is not null").select("key", "seq", F.col("item").cast("string").alias("item"))
-    return some.groupBy("key").applyInPandas(fold, f"key {kind}, link int, capacity long, error double, bits long, hashes int, size long")
+    firsts = items.where("item is not null").select("key", "seq", F.col("item").cast("string").alias("item")).groupBy("key", "item").agg(F.min("seq").alias("seq"))
+    a, b = pair(F.col("item"))
+    return folded(pieces(firsts, {"a": (a, "u4"), "b": (b, "u4")}), ["u4", "u4"], fold, "link int, capacity long, error double, bits long, hashes int, size long")

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +42,40 @@ def test_chains_by_key(spark):
     assert len(rows) == 2 and all(r.n >= 98 and r.m == 3 for r in rows)
 
 
+@pytest.mark.parametrize("o", [BloomOptions(error_rate=0.2, capacity=10), BloomOptions(error_rate=0.01, capacity=30, expansion=1), BloomOptions(error_rate=0.25, capacity=200, nonscaling=True)])
+def test_many_added_at_once_as_one_by_one(o):
+    rng = np.random.default_rng(7)
+    c, d, full = scaling.Chain(o), scaling.Chain(o), False
+    for size in (1, 50, 3, 400, 900):
+        items = [str(x) for x in rng.integers(0, 1200, size)]
+        want = []
+        for x in items:
+            got = c.add(x)
+            if got is None:
+                full = True
+                break
+            want.append(got)
+        a, b = (np.array(x, np.uint32) for x in zip(*map(c._hash, items)))
+        assert d.add_all(a, b) == (sum(want), len(want))
+        assert c.links == d.links
+        if full:
+            break
+    assert full == o.nonscaling
+
+
+def test_links_follow_seq_then_item(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, int(s), str(x)) for k in ("a", None, "c") for s, x in zip(rng.integers(0, 300, 900), rng.integers(0, 500, 900))]
+    for o in (BloomOptions(error_rate=0.2, capacity=10), BloomOptions(error_rate=0.2, capacity=100, nonscaling=True)):
+        got = scaling.links(spark.createDataFrame(rows, "key string, seq long, item string").repartition(5), o).collect()
+        for k in ("a", None, "c"):
+            c = scaling.Chain(o)
+            for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1:]):
+                if c.add(r[2]) is None:
+                    break
+            assert sorted((r.link, r.capacity, r.error, r.bits, r.hashes, r.size) for r in got if r.key == k) == [(i, *x[0], x[2]) for i, x in enumerate(c.links)]
+
+
 def test_sql_functions_agree_with_the_operators(spark):
     register(spark)
     items = spark.range(300).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("item"), F.lit(1).cast("long").alias("inc"))
