@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sketchwell.functions.hashing import probes
+from sketchwell.functions.spread import spread
 from sketchwell.operators.quantiles import stepped
 from sketchwell.options import BloomOptions
 
@@ -37,7 +38,7 @@ def reserve(keys: DataFrame, options: BloomOptions, capacity: Column | None = No
 
 def _places(items: DataFrame, headers: DataFrame, family: str) -> DataFrame:
     """items(key, item, ...) with pos, one row per probe."""
-    known = items.where(F.col("item").isNotNull()).join(headers.select("key", "bits", "hashes"), "key")
+    known = spread(items.where(F.col("item").isNotNull()), headers.select("key", "bits", "hashes"), ["key"])
     return known.withColumn("pos", F.explode(probes(F.col("item"), F.col("bits"), F.col("hashes"), family)))
 
 
@@ -69,18 +70,17 @@ def bit(bitmap: Column, at: Column) -> Column:
 def exists(probe: DataFrame, headers: DataFrame, pages: DataFrame, family: str = "md5") -> DataFrame:
     """probe(key, item) with found: true if maybe present, false for a missing filter, null for a null item.
 
-    Distinct (key, item) are hashed once; their places meet the pages by a join on (key, page), which
-    Spark broadcasts as far as the pages are small and shuffles beyond.
+    Distinct (key, item) are hashed once; their places meet the pages by a join on (key, page). Where there are few
+    pages these are repeated, so that the places of one page are dealt over many tasks; all of an item's in a page stay together.
     """
     want = probe.select("key", "item").where("item is not null").distinct()
     pos = _places(want, headers, family).withColumn("page", F.floor(F.col("pos") / PAGE).cast("long"))
-    hit = pos.join(pages, ["key", "page"], "left").select("key", "item", F.coalesce(bit(F.col("bitmap"), F.col("pos") % PAGE), F.lit(False)).alias("on"))
-    found = hit.groupBy("key", "item").agg(F.min("on").alias("found"))
+    most = headers.agg(F.coalesce(F.sum(F.ceil(F.col("bits") / PAGE)), F.lit(1)).alias("n"))
+    hit = spread(pos, pages.select("key", "page", "bitmap"), ["key", "page"], counted=most).where(bit(F.col("bitmap"), F.col("pos") % PAGE))
+    found = hit.groupBy("key", "item", "hashes").agg(F.count("*").alias("on")).select("key", "item", (F.col("on") == F.col("hashes")).alias("found"))
     return probe.join(found, ["key", "item"], "left").withColumn("found", F.when(F.col("item").isNotNull(), F.coalesce("found", F.lit(False))))
 
 
-
-
 def add_flags(items: DataFrame, headers: DataFrame, pages: DataFrame | None = None, family: str = "md5") -> DataFrame:
     """items(key, seq, item) with added: whether the item was new when it came, as adding in order of seq would say.
 
@@ -107,7 +107,7 @@ def nonscaling_flags(flags: DataFrame, headers: DataFrame) -> DataFrame:
     steps = stepped(flags.where("added").select("key", F.col("seq").alias("v")))
     over = steps.join(headers.where("expansion = 0").select("key", "capacity"), "key").where("before + n > capacity")
     cut = over.groupBy("key").agg(F.min("v").alias("cut"))
-    return flags.join(cut, "key", "left").withColumn("added", F.when(F.col("cut").isNull() | (F.col("seq") < F.col("cut")), F.col("added"))).drop("cut")
+    return spread(flags, cut, ["key"], "left", by=("seq", "item")).withColumn("added", F.when(F.col("cut").isNull() | (F.col("seq") < F.col("cut")), F.col("added"))).drop("cut")
 
 
 def cardinality(flags: DataFrame) -> DataFrame:
